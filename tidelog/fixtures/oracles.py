@@ -39,6 +39,37 @@ FROM chg WHERE xid < (SELECT max(xid) FROM chg) GROUP BY relation_oid, xid, fina
         """SELECT relation_oid, pos, msg_type, k,
        last_value(xid IGNORE NULLS) OVER w AS xid, last_value(final_lsn IGNORE NULLS) OVER w AS final_lsn
 FROM chg_ctl WINDOW w AS (PARTITION BY relation_oid ORDER BY pos ROWS UNBOUNDED PRECEDING)""",
+    ),
+    # The canonical messages of ``chg`` with their stitched headers.
+    "messages": (
+        ("chg",),
+        """SELECT m.*,
+       last_value(tx IGNORE NULLS) OVER w AS xid, last_value(lsn IGNORE NULLS) OVER w AS final_lsn,
+       last_value(tx_us IGNORE NULLS) OVER w AS commit_us
+FROM (SELECT relation_oid, min(lsn) * 100 - 50 AS pos, 'begin' AS msg_type, xid AS tx, final_lsn AS lsn, epoch_us(max(ts)) AS tx_us,
+             epoch_us(max(ts)) AS own_us, CAST(NULL AS BIGINT) AS k, NULL AS value_kind, NULL AS value, NULL AS props_kind, NULL AS props
+      FROM chg GROUP BY relation_oid, xid, final_lsn
+      UNION ALL
+      SELECT relation_oid, lsn * 100, CASE op WHEN 'I' THEN 'insert' WHEN 'U' THEN 'update' ELSE 'delete' END, NULL, NULL, NULL, NULL,
+             k, value_kind, CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR), props_kind, props FROM chg
+      UNION ALL
+      SELECT relation_oid, max(lsn) * 100 + 50, 'commit', NULL, NULL, NULL, epoch_us(max(ts)), NULL, NULL, NULL, NULL, NULL
+      FROM chg WHERE xid < (SELECT max(xid) FROM chg) GROUP BY relation_oid, xid, final_lsn
+      UNION ALL
+      SELECT relation_oid, min(lsn) * 100 - 25, 'relation', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+      FROM chg GROUP BY relation_oid) m
+WINDOW w AS (PARTITION BY relation_oid ORDER BY pos ROWS UNBOUNDED PRECEDING)""",
+    ),
+    "done": (("chg",), "SELECT * FROM chg WHERE xid < (SELECT max(xid) FROM chg)"),
+    # Live rows after all committed changes.
+    "done_image": (
+        ("done",),
+        """SELECT a.relation_oid, a.k, v.value, p.props
+FROM (SELECT relation_oid, k, max(CASE WHEN op = 'I' THEN lsn END) AS li, max(CASE WHEN op = 'D' THEN lsn END) AS ld,
+             max(CASE WHEN value_kind <> 'u' THEN lsn END) AS mv, max(CASE WHEN props_kind <> 'u' THEN lsn END) AS mp
+      FROM done GROUP BY relation_oid, k) a
+JOIN done v ON v.lsn = a.mv JOIN done p ON p.lsn = a.mp
+WHERE a.li > coalesce(a.ld, 0)""",
     ),
     "base": (
         ("chg",),

@@ -237,7 +237,7 @@ def messages(changes: DataFrame) -> DataFrame:
     null_cell = cell(F.lit("n"), F.lit(None))
     row = F.array(
         text_cell(F.col("k")),
-        cell(F.col("value__kind"), F.col("value")),
+        cell(F.col("value__kind"), F.col("value").cast("decimal(18,2)")),
         cell(F.col("props__kind"), F.col("props")),
     )
     rows = changes.select(
@@ -297,3 +297,68 @@ def with_raw(log: DataFrame) -> DataFrame:
         )
     )
     return log.withColumn("raw", raw)
+
+
+def order_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Update messages over ``orders``: without identity, with the key, with the whole old row."""
+    from tidelog.functions.cells import cell
+
+    key = F.col("o_orderkey")
+    none = F.lit(None)
+    status = cell(F.when(F.col("o_orderstatus") == "P", "n").otherwise("t"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")))
+    priority = cell(F.when(key % 5 == 0, "u").otherwise("t"), F.when(key % 5 != 0, F.col("o_orderpriority")))
+    null_cell = cell(F.lit("n"), none)
+    by_key = F.array(cell(F.lit("t"), key + 1000000), null_cell, null_cell)
+    whole = F.array(cell(F.lit("t"), key), status, cell(F.lit("t"), F.col("o_orderpriority")))
+    return table(spark, sf_dir, "orders").select(
+        F.lit(20001).cast("bigint").alias("relation_oid"),
+        key.alias("pos"),
+        F.lit("update").alias("msg_type"),
+        F.when(key % 3 == 1, by_key).when(key % 3 == 2, whole).alias("ident"),
+        F.when(key % 3 == 1, F.lit(True)).when(key % 3 == 2, F.lit(False)).alias("ident_is_key"),
+        F.array(cell(F.lit("t"), key), status, priority).alias("new_row"),
+        F.lit("public").alias("namespace"),
+        F.lit("orders").alias("name"),
+        columns_literal(ORDER_COLUMNS).alias("columns"),
+    )
+
+
+# The layout of the order fixture.
+ORDER_COLUMNS = [
+    {"is_key": True, "name": "o_orderkey", "type_oid": 20, "typmod": -1},
+    {"is_key": False, "name": "o_orderstatus", "type_oid": 25, "typmod": -1},
+    {"is_key": False, "name": "o_orderpriority", "type_oid": 25, "typmod": -1},
+]
+
+
+def schema_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Old and new schema per supplier: unchanged, reordered, or altered, dropped and added
+    columns; some change their identity or name."""
+
+    def c(name: str, type_oid: int, is_key: bool = False) -> dict:
+        return {"is_key": is_key, "name": name, "type_oid": type_oid, "typmod": -1}
+
+    old_columns = [c("id", 23, True), c("value", 23), c("hash", 25)]
+    altered = [c("id", 23, True), c("value", 20), c("note", 25), c("extra", 16)]
+    reordered = [c("id", 23, True), c("hash", 25), c("value", 23)]
+    key, group = F.col("s_suppkey"), F.col("s_nationkey")
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    name = F.concat(F.lit("s"), key.cast("string"))
+    old = suppliers.select(
+        key.alias("relation_oid"),
+        F.lit("public").alias("namespace"),
+        name.alias("name"),
+        F.lit("d").alias("replica_identity"),
+        columns_literal(old_columns).alias("columns"),
+    )
+    new = suppliers.select(
+        key.alias("relation_oid"),
+        F.lit("public").alias("namespace"),
+        F.when(group % 7 == 0, F.concat(name, F.lit("_new"))).otherwise(name).alias("name"),
+        F.when(key % 5 == 0, "f").otherwise("d").alias("replica_identity"),
+        F.when(group % 3 == 0, columns_literal(altered))
+        .when(group % 3 == 1, columns_literal(old_columns))
+        .otherwise(columns_literal(reordered))
+        .alias("columns"),
+    )
+    return old, new
