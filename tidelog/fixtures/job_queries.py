@@ -1 +1,376 @@
-"""Queries."""
+"""Queries that run whole jobs: archive, restore, compaction, promotion, streaming ingest.
+
+Each builds its archive in a new shared scratch folder from the change log of the given
+tables and reads the result back.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidelog.fixtures import tables as t
+from tidelog.fixtures.catalog_queries import INSPECT_SQL, publication
+from tidelog.fixtures.oracles import with_fixtures
+from tidelog.fixtures.registry import query
+from tidelog.functions.lsn import as_micros
+from tidelog.operators import catalog, segments, transactions
+from tidelog.plans import jobs
+from tidelog.session import scratch_dir
+from tidelog.sources import store
+from tidelog.streaming import ingest as ing
+from tidelog.streaming import live
+
+MESSAGES_PER_SEGMENT = 200
+FILES = 6
+
+
+def archive(spark: SparkSession, sf: str) -> str:
+    """The change log, stored as one batch, with its name history."""
+    root = scratch_dir(spark, "archive")
+    log = t.chg(spark, sf)
+    ing.store_batch(t.messages(log), 0, root, MESSAGES_PER_SEGMENT)
+    store.write_name_history(catalog.name_changes(t.relations(log)), root)
+    return root
+
+
+def _tables(spark: SparkSession, root: str) -> list:
+    """Schemas of the archived tables: metadata, one row per table."""
+    return catalog.latest_relations(jobs.relations_of(store.read_changes(spark, root))).orderBy("relation_oid").collect()
+
+
+def _union(parts: Iterator[DataFrame]) -> DataFrame:
+    out = None
+    for part in parts:
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _restored(spark: SparkSession, root: str, **options) -> DataFrame:
+    """All tables of the archive, restored one by one."""
+    return _union(
+        jobs.restore_table(spark, root, r["relation_oid"], **options).rows.withColumn(
+            "relation_oid", F.lit(r["relation_oid"])
+        )
+        for r in _tables(spark, root)
+    )
+
+
+_BY_OID = "SELECT relation_oid, k, value, props FROM {image}"
+
+
+@query("restore_table", with_fixtures("done_image", body=_BY_OID.format(image="done_image")))
+def restore_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Every table by name, from a first snapshot and the changes after it."""
+    root = archive(spark, sf)
+    tables = _tables(spark, root)
+    half = store.read_changes(spark, root).agg(F.max("final_lsn")).first()[0] // 2
+    for r in tables:
+        jobs.compact(spark, root, r["relation_oid"], half)
+    return _union(
+        jobs.restore(spark, root, r["namespace"], r["name"]).withColumn("relation_oid", F.lit(r["relation_oid"]))
+        for r in tables
+    )
+
+
+_AT = "(SELECT CAST(max(xid) / 2 AS BIGINT) * 8 FROM chg)"
+_IMAGE_AT = f"""(SELECT a.relation_oid, a.k, v.value, p.props
+FROM (SELECT relation_oid, k, max(CASE WHEN op = 'I' THEN lsn END) AS li, max(CASE WHEN op = 'D' THEN lsn END) AS ld,
+             max(CASE WHEN value_kind <> 'u' THEN lsn END) AS mv, max(CASE WHEN props_kind <> 'u' THEN lsn END) AS mp
+      FROM done WHERE final_lsn <= (SELECT max(final_lsn) FROM done) // 2 GROUP BY relation_oid, k) a
+JOIN done v ON v.lsn = a.mv JOIN done p ON p.lsn = a.mp
+WHERE a.li > coalesce(a.ld, 0))"""
+
+
+def _half(spark: SparkSession, root: str) -> int:
+    commits = store.read_changes(spark, root).where("msg_type = 'commit'")
+    return commits.agg(F.max("final_lsn")).first()[0] // 2
+
+
+@query("restore_at_lsn", with_fixtures("done", body=f"SELECT * FROM {_IMAGE_AT} i"))
+def restore_at_lsn(spark: SparkSession, sf: str) -> DataFrame:
+    root = archive(spark, sf)
+    return _restored(spark, root, at_lsn=_half(spark, root))
+
+
+@query("compact", with_fixtures("done", body=f"SELECT * FROM {_IMAGE_AT} i"))
+def compact(spark: SparkSession, sf: str) -> DataFrame:
+    """Snapshots made by replaying the log up to its middle, read back by their manifest."""
+    root = archive(spark, sf)
+    half = _half(spark, root)
+    for r in _tables(spark, root):
+        jobs.compact(spark, root, r["relation_oid"], half)
+    return _snapshots(spark, root)
+
+
+def _snapshots(spark: SparkSession, root: str) -> DataFrame:
+    rows = store.latest_snapshots(store.read_snapshots(spark, root)).select("relation_oid", "path").collect()
+    return _union(
+        spark.read.parquet(r["path"]).withColumn("relation_oid", F.lit(r["relation_oid"])) for r in rows
+    )
+
+
+@query("snapshot_write", with_fixtures("done_image", body=_BY_OID.format(image="done_image")))
+def snapshot_write(spark: SparkSession, sf: str) -> DataFrame:
+    root = archive(spark, sf)
+    for r in _tables(spark, root):
+        restored = jobs.restore_table(spark, root, r["relation_oid"])
+        store.write_snapshot(restored.rows, restored.relation, _half(spark, root), root)
+    return _snapshots(spark, root)
+
+
+@query(
+    "restore_append",
+    with_fixtures(
+        "done",
+        "done_image",
+        body=f"""SELECT relation_oid, k, value, props, count(*) AS n
+FROM (SELECT relation_oid, k, value, props FROM done_image UNION ALL SELECT * FROM {_IMAGE_AT} i) u GROUP BY relation_oid, k, value, props""",
+    ),
+)
+def restore_append(spark: SparkSession, sf: str) -> DataFrame:
+    """The table as of the middle of the log, replaced; then its latest state, appended."""
+    root = archive(spark, sf)
+    half = _half(spark, root)
+
+    def both(r) -> DataFrame:
+        target = f"{root}/restored/{r['relation_oid']}"
+        jobs.restore(spark, root, r["namespace"], r["name"], target, mode="overwrite", at_lsn=half)
+        rows = jobs.restore(spark, root, r["namespace"], r["name"], target, mode="append")
+        return rows.withColumn("relation_oid", F.lit(r["relation_oid"]))
+
+    rows = _union(both(r) for r in _tables(spark, root))
+    return rows.groupBy("relation_oid", "k", "value", "props").agg(F.count("*").alias("n"))
+
+
+@query(
+    "initial_base",
+    """SELECT n_nationkey AS relation_oid, c_custkey, c_name, c_mktsegment FROM nation JOIN customer ON c_nationkey = n_nationkey
+WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_custkey % 50 = 0)""",
+)
+def initial_base(spark: SparkSession, sf: str) -> DataFrame:
+    """A first snapshot of every published table; the customers of a nation are its rows."""
+    root = scratch_dir(spark, "archive")
+    customers = t.table(spark, sf, "customer")
+    columns = t.columns_literal(
+        [
+            {"is_key": True, "name": "c_custkey", "type_oid": 20, "typmod": -1},
+            {"is_key": False, "name": "c_name", "type_oid": 25, "typmod": -1},
+            {"is_key": False, "name": "c_mktsegment", "type_oid": 25, "typmod": -1},
+        ]
+    )
+    relations = publication(spark, sf).select(
+        F.col("oid").cast("bigint").alias("relation_oid"),
+        F.lit(1).cast("bigint").alias("lsn"),
+        F.col("nspname").alias("namespace"),
+        F.col("relname").alias("name"),
+        "replica_identity",
+        columns.alias("columns"),
+    )
+
+    def rows(relation) -> DataFrame:
+        own = customers.where(F.col("c_nationkey") == relation["relation_oid"])
+        return own.select("c_custkey", "c_name", "c_mktsegment")
+
+    jobs.initial_base(spark, relations.collect(), rows, 1, root)
+    return _snapshots(spark, root)
+
+
+@query(
+    "promote_audit",
+    with_fixtures(
+        "stitched",
+        "base",
+        body="""SELECT s.relation_oid, s.segment_id, s.n AS source_rows, s.n AS target_rows, true AS ok
+FROM (SELECT relation_oid, segment_id, count(*) AS n, max(final_lsn) AS max_lsn
+      FROM (SELECT *, CAST(floor((row_number() OVER (PARTITION BY relation_oid ORDER BY pos) - 1) / 50) AS BIGINT) AS segment_id FROM stitched) c
+      GROUP BY relation_oid, segment_id) s JOIN base b ON b.relation_oid = s.relation_oid WHERE s.max_lsn > b.start_lsn""",
+    ),
+)
+def promote_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Staged segments that the base does not supersede move to the archive, audited."""
+    staging, target = scratch_dir(spark, "staging"), scratch_dir(spark, "archive")
+    log = t.chg(spark, sf)
+    stitched = transactions.stitch_transactions(t.chg_ctl(log))
+    store.write_segments(segments.segment_by_count(stitched, 50), staging)
+    audit = jobs.promote_segments(spark, staging, target, t.base(log))
+    return audit.select("relation_oid", "segment_id", "source_rows", "target_rows", "ok")
+
+
+# --- streaming -----------------------------------------------------------------------------
+
+
+def land(spark: SparkSession, log: DataFrame, landing: str, parts: int = FILES) -> None:
+    """The log as landed files, in log order, one file per slice of positions."""
+    top = log.agg(F.max("pos")).first()[0] + 1
+    sliced = log.withColumn("__slice", (F.col("pos") * parts / F.lit(top)).cast("int"))
+    for i in range(parts):
+        sliced.where(F.col("__slice") == i).drop("__slice").coalesce(1).write.mode("append").parquet(landing)
+
+
+def _ingested(spark: SparkSession, sf: str, **options) -> tuple[str, str]:
+    landing, root = scratch_dir(spark, "landing"), scratch_dir(spark, "archive")
+    land(spark, t.messages(t.chg(spark, sf)), landing)
+    run = ing.ingest(spark, landing, root, f"{root}/checkpoint", max_files=2, messages_per_segment=MESSAGES_PER_SEGMENT, **options)
+    run.awaitTermination()
+    return landing, root
+
+
+_STORED = "SELECT relation_oid, pos, msg_type, xid, final_lsn, commit_us FROM messages"
+
+
+def _stored(spark: SparkSession, root: str) -> DataFrame:
+    return store.read_changes(spark, root).select(
+        "relation_oid", "pos", "msg_type", "xid", "final_lsn", F.unix_micros("commit_ts").alias("commit_us")
+    )
+
+
+@query("stream_ingest", with_fixtures("messages", body=_STORED))
+def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """Transactions are cut by batch borders and stitched across them."""
+    _, root = _ingested(spark, sf)
+    return _stored(spark, root)
+
+
+@query("stream_restart", with_fixtures("messages", body=_STORED))
+def stream_restart(spark: SparkSession, sf: str) -> DataFrame:
+    """Ingest stops half way, is started again, and gets the second quarter once more."""
+    landing, root = scratch_dir(spark, "landing"), scratch_dir(spark, "archive")
+    log = t.messages(t.chg(spark, sf))
+    top = log.agg(F.max("pos")).first()[0] + 1
+
+    def run() -> None:
+        ing.ingest(spark, landing, root, f"{root}/checkpoint", max_files=1).awaitTermination()
+
+    begins = log.where("msg_type = 'begin'").groupBy("relation_oid")
+    # A redelivery starts with a begin in every relation.
+    start = begins.agg(F.max(F.when(F.col("pos") <= top // 4, F.col("pos"))).alias("__start"))
+    land(spark, log.where(F.col("pos") < top // 2), landing, 2)
+    run()
+    again = log.join(start, "relation_oid").where(f"pos >= __start and pos < {top // 2}").drop("__start")
+    again.coalesce(1).write.mode("append").parquet(landing)
+    run()
+    land(spark, log.where(F.col("pos") >= top // 2), landing, 2)
+    run()
+    return _stored(spark, root)
+
+
+@query(
+    "stream_late_drop",
+    with_fixtures(
+        "messages",
+        "base",
+        body="""SELECT m.relation_oid, m.pos, m.msg_type, m.xid, m.final_lsn, m.commit_us FROM messages m JOIN base b ON b.relation_oid = m.relation_oid
+WHERE m.final_lsn >= b.start_lsn""",
+    ),
+)
+def stream_late_drop(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages of transactions before a table's base are dropped while they stream in."""
+    log = t.chg(spark, sf)
+    landing, root = scratch_dir(spark, "landing"), scratch_dir(spark, "archive")
+    land(spark, t.messages(log), landing)
+    t.base(log).select(
+        "relation_oid", "start_lsn", F.current_timestamp().alias("created_at"), F.lit("").alias("path")
+    ).write.parquet(f"{root}/snapshots")
+    ing.ingest(spark, landing, root, f"{root}/checkpoint", max_files=2).awaitTermination()
+    return _stored(spark, root)
+
+
+@query(
+    "stream_replay",
+    with_fixtures("done_image", body=_BY_OID.format(image="done_image")),
+)
+def stream_replay(spark: SparkSession, sf: str) -> DataFrame:
+    """A maintained image: ingest takes a snapshot every second batch, readers replay the tail."""
+    oids = [16384 + i for i in range(4)]
+    landing, root = scratch_dir(spark, "landing"), scratch_dir(spark, "archive")
+    land(spark, t.messages(t.chg(spark, sf)), landing)
+    hook = live.compact_every(root, 2, oids)
+    ing.ingest(spark, landing, root, f"{root}/checkpoint", max_files=2, after_store=hook).awaitTermination()
+    return _restored(spark, root)
+
+
+def _event_stream(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
+    """The stitched change rows of the log as a stream of files."""
+    work = scratch_dir(spark, "stream")
+    log = t.chg(spark, sf).select(
+        "relation_oid",
+        F.col("lsn").alias("pos"),
+        F.when(F.col("op") == "I", "insert").when(F.col("op") == "U", "update").otherwise("delete").alias("msg_type"),
+        "final_lsn",
+        F.col("ts").cast("timestamp").alias("commit_ts"),
+    )
+    land(spark, log, f"{work}/in", 3)
+    schema = spark.read.parquet(f"{work}/in").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/in"), work
+
+
+_SESSIONS = """(SELECT relation_oid, sess, epoch_us(min(ts)) AS min_us, epoch_us(max(ts)) + {gap} AS closed_us, count(*) AS messages, min(final_lsn) AS min_lsn, max(final_lsn) AS max_lsn
+FROM (SELECT *, sum(brk) OVER (PARTITION BY relation_oid ORDER BY ts, lsn ROWS UNBOUNDED PRECEDING) AS sess
+      FROM (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > {gap} THEN 1 ELSE 0 END AS brk
+            FROM chg WINDOW w AS (PARTITION BY relation_oid ORDER BY ts, lsn)) g) h GROUP BY relation_oid, sess)"""
+# The final watermark in whole milliseconds decides which sessions are closed.
+_CLOSED = "closed_us <= ((SELECT epoch_us(max(ts)) FROM chg) // 1000 * 1000)"
+
+
+@query(
+    "stream_sessions",
+    with_fixtures(
+        "chg",
+        body=f"SELECT relation_oid, min_us, closed_us, messages, min_lsn, max_lsn FROM {_SESSIONS.format(gap=3600000000)} s WHERE {_CLOSED}",
+    ),
+)
+def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    stream, work = _event_stream(spark, sf)
+    closed = live.stream_segments(stream, "1 hour", "0 seconds")
+    live.write_append(closed, f"{work}/out", f"{work}/checkpoint").awaitTermination()
+    out = spark.read.parquet(f"{work}/out")
+    return out.select(
+        "relation_oid",
+        as_micros(F.col("min_ts")).alias("min_us"),
+        as_micros(F.col("closed_at")).alias("closed_us"),
+        "messages",
+        "min_lsn",
+        "max_lsn",
+    )
+
+
+@query(
+    "stream_idle",
+    with_fixtures(
+        "chg",
+        body=f"SELECT relation_oid, closed_us AS idle_us, messages, max_lsn FROM {_SESSIONS.format(gap=7200000000)} s WHERE {_CLOSED}",
+    ),
+)
+def stream_idle(spark: SparkSession, sf: str) -> DataFrame:
+    stream, work = _event_stream(spark, sf)
+    idle = live.stream_idle_tables(stream, "2 hours", "0 seconds")
+    live.write_append(idle, f"{work}/out", f"{work}/checkpoint").awaitTermination()
+    out = spark.read.parquet(f"{work}/out")
+    return out.select("relation_oid", as_micros(F.col("idle_since")).alias("idle_us"), "messages", "max_lsn")
+
+
+@query(
+    "stream_metrics",
+    with_fixtures(
+        "chg",
+        body="""SELECT relation_oid, CASE op WHEN 'I' THEN 'insert' WHEN 'U' THEN 'update' ELSE 'delete' END AS msg_type, count(*) AS messages, 0 AS bytes, epoch_us(max(ts)) AS last_us
+FROM chg GROUP BY relation_oid, op""",
+    ),
+)
+def stream_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    stream, work = _event_stream(spark, sf)
+    live.write_updates(live.stream_metrics(stream), f"{work}/out", f"{work}/checkpoint").awaitTermination()
+    out = live.latest_updates(spark, f"{work}/out", ["relation_oid", "msg_type"])
+    return out.withColumn("last_us", as_micros(F.col("last_message_ts"))).drop("last_message_ts")
+
+
+@query("stream_inspect", with_fixtures("messages", body=INSPECT_SQL))
+def stream_inspect(spark: SparkSession, sf: str) -> DataFrame:
+    work = scratch_dir(spark, "stream")
+    land(spark, t.messages(t.chg(spark, sf)), f"{work}/in", 3)
+    lines = live.stream_inspect(ing.stream_changes(spark, f"{work}/in"))
+    live.write_append(lines, f"{work}/out", f"{work}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{work}/out")

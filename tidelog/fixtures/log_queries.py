@@ -405,16 +405,16 @@ def global_flush_lsn(spark: SparkSession, sf: str) -> DataFrame:
     "flush_progress",
     with_fixtures(
         "chg",
-        body="""SELECT at, candidate_lsn, max(candidate_lsn) OVER (ORDER BY at ROWS UNBOUNDED PRECEDING) AS flush_lsn
-FROM (SELECT epoch_us(ts) AS at, max(final_lsn - 700 * (relation_oid - 16384)) AS candidate_lsn FROM chg GROUP BY epoch_us(ts)) c""",
+        body="""SELECT at_us, candidate_lsn, max(candidate_lsn) OVER (ORDER BY at_us ROWS UNBOUNDED PRECEDING) AS flush_lsn
+FROM (SELECT epoch_us(ts) AS at_us, max(final_lsn - 700 * (relation_oid - 16384)) AS candidate_lsn FROM chg GROUP BY epoch_us(ts)) c""",
     ),
 )
 def flush_progress(spark: SparkSession, sf: str) -> DataFrame:
     history = t.chg(spark, sf).select(
-        as_micros(F.col("ts")).alias("at"),
+        as_micros(F.col("ts")).alias("at_us"),
         (F.col("final_lsn") - 700 * (F.col("relation_oid") - 16384)).alias("flush_lsn"),
     )
-    return state.flush_progress(history)
+    return state.flush_progress(history, at="at_us")
 
 
 @query("metrics_by_type", with_fixtures("chg_ctl", body="SELECT msg_type, count(*) AS messages FROM chg_ctl GROUP BY msg_type"))

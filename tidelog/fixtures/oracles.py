@@ -46,7 +46,7 @@ FROM chg_ctl WINDOW w AS (PARTITION BY relation_oid ORDER BY pos ROWS UNBOUNDED
         """SELECT m.*,
        last_value(tx IGNORE NULLS) OVER w AS xid, last_value(lsn IGNORE NULLS) OVER w AS final_lsn,
        last_value(tx_us IGNORE NULLS) OVER w AS commit_us
-FROM (SELECT relation_oid, min(lsn) * 100 - 50 AS pos, 'begin' AS msg_type, xid AS tx, final_lsn AS lsn, epoch_us(max(ts)) AS tx_us,
+FROM (SELECT relation_oid, min(lsn) * 100 - 40 AS pos, 'begin' AS msg_type, xid AS tx, final_lsn AS lsn, epoch_us(max(ts)) AS tx_us,
              epoch_us(max(ts)) AS own_us, CAST(NULL AS BIGINT) AS k, NULL AS value_kind, NULL AS value, NULL AS props_kind, NULL AS props
       FROM chg GROUP BY relation_oid, xid, final_lsn
       UNION ALL
@@ -56,7 +56,7 @@ FROM (SELECT relation_oid, min(lsn) * 100 - 50 AS pos, 'begin' AS msg_type, xid
       SELECT relation_oid, max(lsn) * 100 + 50, 'commit', NULL, NULL, NULL, epoch_us(max(ts)), NULL, NULL, NULL, NULL, NULL
       FROM chg WHERE xid < (SELECT max(xid) FROM chg) GROUP BY relation_oid, xid, final_lsn
       UNION ALL
-      SELECT relation_oid, min(lsn) * 100 - 25, 'relation', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+      SELECT relation_oid, min(lsn) * 100 - 20, 'relation', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
       FROM chg GROUP BY relation_oid) m
 WINDOW w AS (PARTITION BY relation_oid ORDER BY pos ROWS UNBOUNDED PRECEDING)""",
     ),

@@ -252,7 +252,7 @@ def messages(changes: DataFrame) -> DataFrame:
         F.min("lsn").alias("lo"), F.max("lsn").alias("hi"), F.max("ts").alias("commit_ts")
     )
     begins = per_tx.select(
-        "relation_oid", (F.col("lo") * 100 - 50).alias("pos"), F.lit("begin").alias("msg_type"), "xid", "final_lsn", "commit_ts"
+        "relation_oid", (F.col("lo") * 100 - 40).alias("pos"), F.lit("begin").alias("msg_type"), "xid", "final_lsn", "commit_ts"
     )
     last = changes.agg(F.max("xid").alias("__last"))
     commits = per_tx.join(last, F.col("xid") == F.col("__last"), "left_anti").select(
@@ -266,7 +266,7 @@ def messages(changes: DataFrame) -> DataFrame:
     )
     schemas = relations(changes).select(
         "relation_oid",
-        (F.col("lsn") * 100 - 25).alias("pos"),
+        (F.col("lsn") * 100 - 20).alias("pos"),
         F.lit("relation").alias("msg_type"),
         "namespace",
         "name",

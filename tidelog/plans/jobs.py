@@ -202,6 +202,19 @@ def purge(spark: SparkSession, root: str, dry_run: bool = True) -> DataFrame:
     return obsolete
 
 
+def promote_segments(spark: SparkSession, staging: str, archive: str, snapshots: DataFrame, batch_id: int = 0) -> DataFrame:
+    """Copy staged segments to the archive, without those the bases supersede, and audit the
+    copy: one row per segment, ``ok`` where rows and content agree. The staging copy may go
+    once all are ok."""
+    manifest = store.read_segment_manifest(spark, staging)
+    live = segments.live_segments(manifest, snapshots).select("relation_oid", "segment_id")
+    staged = store.read_changes(spark, staging).drop("batch_id")
+    source = staged.join(live, ["relation_oid", "segment_id"], "left_semi")
+    store.write_segments(source, archive, batch_id)
+    target = spark.read.parquet(f"{archive}/changes/batch_id={batch_id}")
+    return segments.audit(source, target.select(*source.columns))
+
+
 def inspect(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
     """Lines that describe the messages of binary segments, in order of ``pos``."""
     frames = read_segments(spark, path, mode)
