@@ -18,7 +18,7 @@ from tidelog.fixtures.registry import query
 from tidelog.functions.lsn import as_micros
 from tidelog.operators import catalog, segments, transactions
 from tidelog.plans import jobs
-from tidelog.session import scratch_dir
+from tidelog.session import cut_lineage, scratch_dir
 from tidelog.sources import store
 from tidelog.streaming import ingest as ing
 from tidelog.streaming import live
@@ -204,6 +204,7 @@ def promote_audit(spark: SparkSession, sf: str) -> DataFrame:
 
 def land(spark: SparkSession, log: DataFrame, landing: str, parts: int = FILES) -> None:
     """The log as landed files, in log order, one file per slice of positions."""
+    log = cut_lineage(log)
     top = log.agg(F.max("pos")).first()[0] + 1
     sliced = log.withColumn("__slice", (F.col("pos") * parts / F.lit(top)).cast("int"))
     for i in range(parts):
@@ -238,7 +239,7 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
 def stream_restart(spark: SparkSession, sf: str) -> DataFrame:
     """Ingest stops half way, is started again, and gets the second quarter once more."""
     landing, root = scratch_dir(spark, "landing"), scratch_dir(spark, "archive")
-    log = t.messages(t.chg(spark, sf))
+    log = cut_lineage(t.messages(t.chg(spark, sf)))
     top = log.agg(F.max("pos")).first()[0] + 1
 
     def run() -> None:

@@ -24,57 +24,44 @@ def _with_previous_type(spark: SparkSession, sf_dir: str, *columns: str) -> Data
 def chg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyed change log over ``events``: one row per change, four relations."""
     ev = _with_previous_type(spark, sf_dir, "ts", "value", "props")
-    error = F.col("event_type") == "error"
-    fresh = F.col("prev_type").isNull() | (F.col("prev_type") == "error")
-    tx = F.col("event_id") - F.col("event_id") % 8
-    value_null = F.col("event_id") % 10 == 0
-    unchanged = (F.col("event_type") == "view") & ~fresh
-    return ev.where(~(error & fresh)).select(
-        (F.lit(16384) + F.col("user_id") % 4).cast("bigint").alias("relation_oid"),
-        (F.col("event_id") + 1).alias("lsn"),
-        (tx / 8).cast("bigint").alias("xid"),
-        (tx + 8).alias("final_lsn"),
+    fresh = "(prev_type IS NULL OR prev_type = 'error')"
+    unchanged = f"(event_type = 'view' AND NOT {fresh})"
+    return ev.where(f"NOT (event_type = 'error' AND {fresh})").selectExpr(
+        "CAST(16384 + user_id % 4 AS BIGINT) AS relation_oid",
+        "event_id + 1 AS lsn",
+        "CAST((event_id - event_id % 8) / 8 AS BIGINT) AS xid",
+        "event_id - event_id % 8 + 8 AS final_lsn",
         "ts",
-        F.col("user_id").alias("k"),
-        F.when(error, "D").when(fresh, "I").otherwise("U").alias("op"),
-        F.when(error, None).when(value_null, "n").otherwise("t").alias("value__kind"),
-        F.when(~(error | value_null), F.col("value")).alias("value"),
-        F.when(error, None).when(unchanged, "u").otherwise("t").alias("props__kind"),
-        F.when(~(error | unchanged), F.col("props")).alias("props"),
+        "user_id AS k",
+        f"CASE WHEN event_type = 'error' THEN 'D' WHEN {fresh} THEN 'I' ELSE 'U' END AS op",
+        "CASE WHEN event_type = 'error' THEN NULL WHEN event_id % 10 = 0 THEN 'n' ELSE 't' END AS value__kind",
+        "CASE WHEN event_type <> 'error' AND event_id % 10 <> 0 THEN value END AS value",
+        f"CASE WHEN event_type = 'error' THEN NULL WHEN {unchanged} THEN 'u' ELSE 't' END AS props__kind",
+        f"CASE WHEN event_type <> 'error' AND NOT {unchanged} THEN props END AS props",
     )
 
 
 def chg_ctl(changes: DataFrame) -> DataFrame:
     """The same log with begin and commit rows per touched relation; the last transaction
     has no commit."""
-    last = changes.agg(F.max("xid").alias("__last"))
+    last = changes.agg(F.max("xid").alias("xid"))
     per_tx = changes.groupBy("relation_oid", "xid", "final_lsn").agg(
         F.min("lsn").alias("lo"), F.max("lsn").alias("hi")
     )
-    null = F.lit(None).cast("bigint")
-    begins = per_tx.select(
-        "relation_oid",
-        (F.col("lo") * 10 - 1).alias("pos"),
-        F.lit("begin").alias("msg_type"),
-        "xid",
-        "final_lsn",
-        null.alias("k"),
+    none = "CAST(NULL AS BIGINT)"
+    begins = per_tx.selectExpr(
+        "relation_oid", "lo * 10 - 1 AS pos", "'begin' AS msg_type", "xid", "final_lsn", f"{none} AS k"
     )
-    rows = changes.select(
+    rows = changes.selectExpr(
         "relation_oid",
-        (F.col("lsn") * 10).alias("pos"),
-        F.when(F.col("op") == "I", "insert").when(F.col("op") == "U", "update").otherwise("delete").alias("msg_type"),
-        null.alias("xid"),
-        null.alias("final_lsn"),
+        "lsn * 10 AS pos",
+        "CASE op WHEN 'I' THEN 'insert' WHEN 'U' THEN 'update' ELSE 'delete' END AS msg_type",
+        f"{none} AS xid",
+        f"{none} AS final_lsn",
         "k",
     )
-    commits = per_tx.join(last, F.col("xid") == F.col("__last"), "left_anti").select(
-        "relation_oid",
-        (F.col("hi") * 10 + 1).alias("pos"),
-        F.lit("commit").alias("msg_type"),
-        null.alias("xid"),
-        null.alias("final_lsn"),
-        null.alias("k"),
+    commits = per_tx.join(last, "xid", "left_anti").selectExpr(
+        "relation_oid", "hi * 10 + 1 AS pos", "'commit' AS msg_type", f"{none} AS xid", f"{none} AS final_lsn", f"{none} AS k"
     )
     return begins.unionByName(rows).unionByName(commits)
 

@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.session import block_bits as _block_bits
+from tidelog.session import cut_lineage
+from tidelog.session import materialise as _materialise
 
 
 @dataclass(frozen=True)
@@ -120,6 +122,7 @@ def ordered_scan(
     *,
     bits: int | None = None,
     levels: int = 1,
+    materialise: bool | None = None,
 ) -> DataFrame:
     """Add one column per spec to ``df``: running values per ``keys`` along ``order``.
 
@@ -132,6 +135,11 @@ def ordered_scan(
     window partition per level. ``levels=1`` suits dense positions (a trillion messages are
     a million blocks of 2**20); ``levels=2`` suits byte positions and times, where a hot key
     may have hundreds of millions of blocks.
+
+    ``materialise`` computes the carry-in (one row per key and block) at once and keeps it as
+    a checkpoint. A chain of scans then reads its input once per scan and plans in linear
+    size; left to itself each scan of a chain doubles the plan below it. The default comes
+    from the session setting ``tidelog.scan.materialise``.
     """
     bits = bits or _block_bits(df.sparkSession)
     order = list(order)
@@ -141,17 +149,16 @@ def ordered_scan(
     else:
         lead, ties = order, []
     full_order = [*lead, *ties]
-    keys = list(keys)
-    work = df
-    if not keys:
-        keys = ["__all"]
-        work = work.withColumn("__all", F.lit(0))
+    added = [F.lit(0).alias("__all")] if not keys else []
+    keys = list(keys) or ["__all"]
     block = [f"__b{i}" for i in range(len(lead))]
-    for i, name in enumerate(lead[:-1]):
-        work = work.withColumn(block[i], F.col(name))
-    work = work.withColumn(block[-1], F.shiftright(F.col(lead[-1]), bits))
-    for spec in specs:
-        work = work.withColumn(f"{spec.name}__in", spec.expr)
+    cuts = [F.col(name) for name in lead[:-1]] + [F.shiftright(F.col(lead[-1]), bits)]
+    work = df.select(
+        "*",
+        *added,
+        *[cut.alias(b) for b, cut in zip(block, cuts)],
+        *[s.expr.alias(f"{s.name}__in") for s in specs],
+    )
 
     summary = work.groupBy(*keys, *block).agg(
         *[_summarise(s, F.col(f"{s.name}__in"), _tuple(full_order)).alias(s.name) for s in specs]
@@ -159,6 +166,8 @@ def ordered_scan(
     coarse = [f"__c{i}" for i in range(levels - 1)]
     carried = _carry_in(summary, keys, block, coarse, specs, bits)
     carried = carried.select(*keys, *block, *[F.col(s.name).alias(f"{s.name}__carry") for s in specs])
+    if materialise if materialise is not None else _materialise(df.sparkSession):
+        carried = cut_lineage(carried)
 
     frame = Window.partitionBy(*keys, *block).orderBy(*full_order)
     upto = frame.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -186,6 +195,7 @@ def asof_join(
     *,
     bits: int | None = None,
     levels: int = 2,
+    materialise: bool | None = None,
 ) -> DataFrame:
     """For each left row the newest right row of its keys with ``right_order <= left_order``.
 
@@ -207,6 +217,7 @@ def asof_join(
     )
     both = marks.unionByName(rows, allowMissingColumns=True)
     scanned = ordered_scan(
-        both, keys, ["__at", None, "__side"], [Last("__found", F.col("__right"))], bits=bits, levels=levels
+        both, keys, ["__at", None, "__side"], [Last("__found", F.col("__right"))],
+        bits=bits, levels=levels, materialise=materialise,
     )
     return scanned.where("__side = 1").select("__left.*", *[F.col(f"__found.{c}").alias(c) for c in payload])

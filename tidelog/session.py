@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 BLOCK_BITS_CONF = "tidelog.scan.blockBits"
 DEFAULT_BLOCK_BITS = 20
+MATERIALISE_CONF = "tidelog.scan.materialise"
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -39,3 +40,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def block_bits(spark: SparkSession) -> int:
     return int(spark.conf.get(BLOCK_BITS_CONF, str(DEFAULT_BLOCK_BITS)))
+
+
+def materialise(spark: SparkSession) -> bool:
+    return spark.conf.get(MATERIALISE_CONF, "false").lower() == "true"

@@ -52,7 +52,8 @@ def write_segments(changes: DataFrame, root: str, batch_id: int = 0) -> DataFram
     clustered.sortWithinPartitions("relation_oid", "segment_id", "pos").write.mode("overwrite").partitionBy(
         "relation_oid"
     ).parquet(path)
-    stored = spark.read.parquet(path)
+    # The schema is given: a batch may hold nothing new and then has no files.
+    stored = spark.read.schema(changes.schema).parquet(path)
     manifest = segment_stats(stored).withColumn(
         "path", F.concat(F.lit(f"{path}/relation_oid="), F.col("relation_oid").cast("string"))
     )

@@ -22,6 +22,7 @@ from tidelog.operators import segments as seg
 from tidelog.operators import transactions
 from tidelog.operators.scan import Last, RowNumber, ordered_scan
 from tidelog.schema import CHANGES
+from tidelog.session import cut_lineage
 from tidelog.sources import store
 from tidelog.sources.segments import split_frames
 from tidelog.sources.wire import decode_messages
@@ -97,7 +98,7 @@ def advance(batch: DataFrame, state: DataFrame) -> DataFrame:
         F.col("msg_type") == "begin",
         F.struct("xid", "final_lsn", "commit_ts", F.col("pos").alias("tx_pos"), F.coalesce("__stored", F.lit(0)).alias("stored")),
     )
-    stitched = ordered_scan(with_carry, ["relation_oid"], ["pos"], [Last("__h", header)])
+    stitched = ordered_scan(with_carry, ["relation_oid"], ["pos"], [Last("__h", header)], materialise=True)
     rest = [c for c in batch.columns if c not in ("xid", "final_lsn", "commit_ts", "tx_pos", "seq")]
     headed = stitched.where(F.col("pos") != _CARRY_POS).select(
         *rest,
@@ -108,7 +109,7 @@ def advance(batch: DataFrame, state: DataFrame) -> DataFrame:
         F.coalesce("__h.tx_pos", F.lit(_CARRY_POS - 1)).alias("tx_pos"),
         F.col("__h.stored").alias("__stored"),
     )
-    numbered = ordered_scan(headed, ["relation_oid", "tx_pos"], ["pos"], [RowNumber("__n")])
+    numbered = ordered_scan(headed, ["relation_oid", "tx_pos"], ["pos"], [RowNumber("__n")], materialise=True)
     numbered = numbered.withColumn("seq", (F.col("__n") + F.coalesce("__stored", F.lit(0))).cast("int")).drop(
         "__n", "__stored"
     )
@@ -179,7 +180,8 @@ def store_batch(
         routed = transactions.tracked(routed, tables)
     # Only messages of a relation have a place in its stream.
     routed = routed.where("relation_oid is not null")
-    rows = advance(routed, state)
+    # Written out once: the stored changes and the next state both come from it.
+    rows = cut_lineage(advance(routed, state))
     snapshots = store.read_snapshots(spark, root)
     kept = rows
     if snapshots is not None:
