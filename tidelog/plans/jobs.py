@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidelog.functions.types import typed
 from tidelog.operators import catalog, replay, segments, transactions, verify as verification
 from tidelog.operators.render import inspect as inspect_lines
+from tidelog.operators.scan import Prev, ordered_scan
 from tidelog.schema import RELATIONS
 from tidelog.session import cut_lineage
 from tidelog.sources import store
@@ -91,45 +92,124 @@ def restore_table(
     if at_lsn is not None:
         log = log.where((F.col("final_lsn") <= at_lsn) | F.col("final_lsn").isNull())
 
-    if snapshot is not None:
-        relation = snapshot["relation"]
-    else:
-        relation = catalog.latest_relations(relations_of(log)).first()
-        if relation is None:
-            raise LookupError(f"no schema for table {oid}")
+    effective = transactions.committed(log)
+    layouts = _layouts(log, effective, None if snapshot is None else snapshot["relation"])
+    if not layouts:
+        raise LookupError(f"no schema for table {oid}")
+    relation = layouts[-1][1]
     if expected is not None:
-        pair = [spark.createDataFrame([r], schema=RELATIONS) for r in (_as_relation(relation), _as_relation(expected))]
+        pair = [spark.createDataFrame([_as_relation(r)], schema=RELATIONS) for r in (relation, expected)]
         differences = catalog.schema_mismatches(*pair)
         if not differences.isEmpty():
             raise ValueError(f"tables are different: {[r.asDict() for r in differences.take(20)]}")
 
-    log = transactions.committed(log)
     columns = relation["columns"]
     names = [c["name"] for c in columns]
-    truncates = transactions.explode_truncate(log).where(F.col("relation_oid") == oid)
-    rows = log.where(F.col("msg_type").isin("insert", "update", "delete"))
+    # Ingest has routed every truncate to each relation it lists.
+    truncates = effective.where("msg_type = 'truncate'")
+    rows = effective.where(F.col("msg_type").isin("insert", "update", "delete"))
+    rows = replay.after_truncate(rows, truncates)
     base = None if snapshot is None else spark.read.parquet(snapshot["path"])
-    text = None if base is None else base.select(*[F.col(n).cast("string").alias(n) for n in names])
-    keyed = any(c["is_key"] for c in columns) and relation["replica_identity"] != "n"
-
-    if keyed:
-        changes, keys, data = replay.row_changes(rows, columns)
+    text = None
+    if base is not None:
+        # Columns added since the snapshot are null in its rows.
+        text = base.select(
+            *[(F.col(n).cast("string") if n in base.columns else F.lit(None).cast("string")).alias(n) for n in names]
+        )
+        text = text.withColumn("relation_oid", F.lit(oid).cast("bigint")).withColumn("start_lsn", F.lit(start).cast("bigint"))
+        # A later truncate removes all of them.
+        text = text.join(truncates.select("relation_oid").distinct(), "relation_oid", "left_anti")
+
+    if any(c["is_key"] for c in columns) and relation["replica_identity"] != "n":
+        changes = None
+        for low, high, layout in _spans(layouts):
+            part, keys, _ = replay.row_changes(_between(rows, low, high), layout["columns"])
+            part = _as_layout(part, keys, columns)
+            changes = part if changes is None else changes.unionByName(part)
+        keys, data = [c["name"] for c in columns if c["is_key"]], [c["name"] for c in columns if not c["is_key"]]
         if text is not None:
-            inserts = text.withColumn("relation_oid", F.lit(oid).cast("bigint")).withColumn("start_lsn", F.lit(start))
-            changes = replay.base_plus_tail(inserts, changes, ["relation_oid", *keys], data)
-        changes = replay.after_truncate(changes, truncates)
+            changes = replay.base_plus_tail(text, changes, ["relation_oid", *keys], data)
         image = replay.replay(changes, ["relation_oid", *keys], data)
     else:
-        tail = replay.after_truncate(rows, truncates)
-        signed = replay.signed_rows(tail, columns).select(*names, "w")
+        signed = None
+        for low, high, layout in _spans(layouts):
+            part = replay.signed_rows(_between(rows, low, high), layout["columns"])
+            have = set(part.columns)
+            part = part.select(
+                *[(F.col(n) if n in have else F.lit(None).cast("string")).alias(n) for n in names], "w"
+            )
+            signed = part if signed is None else signed.unionByName(part)
         if text is not None:
-            barrier = truncates.select(F.lit(1).alias("__one")).limit(1)
-            kept = text.withColumn("__one", F.lit(1)).join(barrier, "__one", "left_anti").drop("__one")
-            signed = signed.unionByName(kept.withColumn("w", F.lit(1).cast("bigint")))
+            signed = signed.unionByName(text.select(*names, F.lit(1).cast("bigint").alias("w")))
         image = replay.replay_full(signed, names)
     return Restored(typed(image, columns, errors=None), relation, start)
 
 
+def _layouts(log: DataFrame, effective: DataFrame, pinned: Row | None) -> list[tuple[int | None, Row]]:
+    """Schemas in force along a table's log: the position each one starts at, and the schema.
+
+    The snapshot pins the first one. Schema changes are few and are read to the driver;
+    messages that repeat the schema in force are dropped before that. Without a snapshot,
+    schemas sent outside any transaction count too.
+    """
+    sent = effective.where("msg_type = 'relation'")
+    if pinned is None:
+        sent = sent.unionByName(log.where("msg_type = 'relation' and final_lsn is null"))
+    sent = sent.select(
+        "relation_oid",
+        "pos",
+        F.coalesce("final_lsn", F.lit(0)).cast("bigint").alias("lsn"),
+        "namespace",
+        "name",
+        "replica_identity",
+        "columns",
+    )
+    version = F.struct("namespace", "name", "replica_identity", "columns")
+    marked = ordered_scan(sent, ["relation_oid"], ["pos"], [Prev("__prev", version)])
+    found = marked.where(~F.col("__prev").eqNullSafe(version)).orderBy("pos").collect()
+    layouts = [(r["pos"], r) for r in found]
+    if pinned is not None:
+        return [(None, pinned), *layouts]
+    return [(None, layouts[0][1]), *layouts[1:]] if layouts else []
+
+
+def _spans(layouts: list[tuple[int | None, Row]]):
+    """Position ranges with one column layout each, as (from, to, schema)."""
+    merged: list[tuple[int | None, Row]] = []
+    for start, relation in layouts:
+        if not merged or merged[-1][1]["columns"] != relation["columns"]:
+            merged.append((start, relation))
+    for i, (start, relation) in enumerate(merged):
+        yield start, merged[i + 1][0] if i + 1 < len(merged) else None, relation
+
+
+def _between(rows: DataFrame, low: int | None, high: int | None) -> DataFrame:
+    if low is not None:
+        rows = rows.where(F.col("pos") >= low)
+    if high is not None:
+        rows = rows.where(F.col("pos") < high)
+    return rows
+
+
+def _as_layout(part: DataFrame, keys: list[str], columns: Sequence) -> DataFrame:
+    """Row changes of an older layout under the newest one: dropped columns go, columns
+    added later are null."""
+    wanted = [c["name"] for c in columns if c["is_key"]]
+    if sorted(keys) != sorted(wanted):
+        raise ValueError(f"the key changed from {keys} to {wanted}; take a snapshot after the change")
+    have = set(part.columns)
+    out = [F.col(c) for c in ("relation_oid", *replay.ORDER, "op", *wanted, *[f"old_{k}" for k in wanted])]
+    for c in columns:
+        if c["is_key"]:
+            continue
+        name = c["name"]
+        if name in have:
+            out += [F.col(name), F.col(f"{name}__kind")]
+        else:
+            out += [F.lit(None).cast("string").alias(name), F.when(F.col("op") != "D", "n").alias(f"{name}__kind")]
+    return part.select(*out)
+
+
 def _as_relation(row: Row) -> tuple:
     return tuple(row[n] for n in ("relation_oid", "lsn", "namespace", "name", "replica_identity", "columns"))
 

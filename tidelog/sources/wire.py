@@ -159,6 +159,8 @@ def _decode_bodies(raw: pa.Array, fail_fast: bool) -> pa.Array:
     both = (letter[old_rows] == ord("U")) & ident.ok
     follows = both & (ident.after < end[old_rows]) & (buf[ident.after] == ord("N"))
     new_at[old_rows[follows]] = ident.after[follows] + 1
+    # An insert or update without its new image, or a delete without an identity, was cut.
+    corrupt |= (has("I", "U") & (new_at < 0)) | (has("D") & ~old)
     new_rows = np.flatnonzero(new_at >= 0)
     new = _Tuples(buf, new_rows, new_at[new_rows], end[new_rows])
     corrupt[new_rows] |= ~new.ok
