@@ -31,7 +31,7 @@ def archive(spark: SparkSession, sf: str) -> str:
     """The change log, stored as one batch, with its name history."""
     root = scratch_dir(spark, "archive")
     log = t.chg(spark, sf)
-    ing.store_batch(t.messages(log), 0, root, MESSAGES_PER_SEGMENT)
+    ing.store_batch(cut_lineage(t.messages(log)), 0, root, MESSAGES_PER_SEGMENT)
     store.write_name_history(catalog.name_changes(t.relations(log)), root)
     return root
 
@@ -106,10 +106,9 @@ def compact(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _snapshots(spark: SparkSession, root: str) -> DataFrame:
-    rows = store.latest_snapshots(store.read_snapshots(spark, root)).select("relation_oid", "path").collect()
-    return _union(
-        spark.read.parquet(r["path"]).withColumn("relation_oid", F.lit(r["relation_oid"])) for r in rows
-    )
+    """Rows of the newest snapshot of every table, through the manifest."""
+    rows = store.latest_snapshots(store.read_snapshots(spark, root)).collect()
+    return _union(store.read_snapshot(spark, r).withColumn("relation_oid", F.lit(r["relation_oid"])) for r in rows)
 
 
 @query("snapshot_write", with_fixtures("done_image", body=_BY_OID.format(image="done_image")))

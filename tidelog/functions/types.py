@@ -71,6 +71,37 @@ def typed_value(text: Column, type_oid: int, typmod: int = -1) -> Column:
     return text.try_cast(target)
 
 
+def canonical_text(text: Column, type_oid: int, typmod: int = -1) -> Column:
+    """One text per value, so that equal values compare equal however they were written
+    (``1.50`` and ``1.5``, ``t`` and ``true``). Text without a typed value stays as it is."""
+    target = spark_type(type_oid, typmod)
+    if target in ("string", "binary") or target.startswith("array"):
+        return text
+    return F.coalesce(typed_value(text, type_oid, typmod).cast("string"), text)
+
+
+def as_text(df: DataFrame, columns: Sequence) -> DataFrame:
+    """Rows in the text form the log carries. Columns that are text already stay as they are."""
+    kinds = dict(df.dtypes)
+
+    def one(name: str, type_oid: int) -> Column:
+        kind, col = kinds[name], F.col(name)
+        if kind == "string":
+            return col
+        if kind == "boolean":
+            return F.when(col, "t").when(~col, "f")
+        if kind == "binary":
+            return F.concat(F.lit("\\x"), F.lower(F.hex(col)))
+        if kind == "timestamp" and type_oid == TIMESTAMPTZ:
+            return F.concat(F.to_utc_timestamp(col, F.current_timezone()).cast("string"), F.lit("+00"))
+        if kind.startswith("array"):
+            item = F.transform(col, lambda v: F.coalesce(v.cast("string"), F.lit("NULL")))
+            return F.concat(F.lit("{"), F.array_join(item, ","), F.lit("}"))
+        return col.cast("string")
+
+    return df.select(*[one(c["name"], c["type_oid"]).alias(c["name"]) for c in columns])
+
+
 def typed(df: DataFrame, columns: Sequence, keep: Sequence[str] = (), errors: str | None = "cast_errors") -> DataFrame:
     """Select ``columns`` (name, type_oid, typmod) as typed columns.
 

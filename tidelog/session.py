@@ -30,12 +30,13 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder, so that a lost executor
-    replays from files and not from the whole chain of rounds before it."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_root(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as a table in the shared folder and read it back.
+
+    A lost executor then replays from these files and not from the whole chain of rounds
+    before them, and readers fetch only the columns they use."""
+    path = scratch_dir(df.sparkSession, "cut")
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def block_bits(spark: SparkSession) -> int:

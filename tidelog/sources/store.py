@@ -23,6 +23,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.functions.types import as_text, typed
 from tidelog.operators.segments import segment_stats
 from tidelog.schema import CHANGES, NAME_HISTORY, SEGMENTS, SNAPSHOTS
 
@@ -94,12 +95,13 @@ def read_changes(
 def write_snapshot(df: DataFrame, relation: Row, start_lsn: int, root: str) -> str:
     """Store a full snapshot: rows first, the manifest row last.
 
-    ``relation`` describes the table (fields of the relations schema)."""
+    ``relation`` describes the table (fields of the relations schema). Rows are kept in the
+    text form of the log, which loses no value and compares with the changes after it."""
     spark = df.sparkSession
     began = time.time()
     oid = relation["relation_oid"]
     path = f"{root}/data/{oid}/{start_lsn:016x}-{uuid.uuid4().hex[:8]}"
-    df.write.mode("errorifexists").parquet(path)
+    as_text(df, relation["columns"]).write.mode("errorifexists").parquet(path)
     row = Row(**{n: relation[n] for n in ("relation_oid", "lsn", "namespace", "name", "replica_identity", "columns")})
     entry = spark.createDataFrame(
         [(oid, start_lsn, None, time.time() - began, row, path)], SNAPSHOTS
@@ -108,6 +110,13 @@ def write_snapshot(df: DataFrame, relation: Row, start_lsn: int, root: str) -> s
     return path
 
 
+def read_snapshot(spark: SparkSession, snapshot: Row, text: bool = False) -> DataFrame:
+    """Rows of one snapshot, typed or in text form."""
+    columns = snapshot["relation"]["columns"]
+    rows = spark.read.parquet(snapshot["path"])
+    return rows if text else typed(rows, columns, errors=None)
+
+
 def read_snapshots(spark: SparkSession, root: str) -> DataFrame | None:
     return _read(spark, f"{root}/snapshots")
 

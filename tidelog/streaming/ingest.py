@@ -4,7 +4,8 @@ A micro-batch is decoded, stitched, numbered, cleaned of redelivered and superse
 messages, cut into segments and written under its batch id. What one batch must tell the
 next is one row per relation: how far it is committed and which transaction is still open.
 That row is stored per batch, so that a repeated batch starts from the same state and
-replaces its own output. Files arrive in log order; a redelivery starts with a ``begin``.
+replaces its own output. Files arrive in log order; a redelivery starts with a ``begin``. A
+batch that shows a hole in the log fails before anything of it is stored.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql.streaming import StreamingQuery
 from tidelog.functions.lsn import segment_lsn, segment_postfix_of
 from tidelog.operators import segments as seg
 from tidelog.operators import transactions
-from tidelog.operators.scan import Last, RowNumber, ordered_scan
-from tidelog.schema import CHANGES
+from tidelog.operators.scan import Last, Prev, RowNumber, ordered_scan
+from tidelog.schema import CHANGES, DML_TYPES
 from tidelog.session import cut_lineage
 from tidelog.sources import store
 from tidelog.sources.segments import split_frames
@@ -31,6 +32,8 @@ from tidelog.sources.wire import decode_messages
 _FRAME_BITS, _FILE_BITS = 24, 16
 MAX_FILES_PER_BATCH = 1 << _FILE_BITS
 _CARRY_POS = -1
+GAP = "__gap"
+LOG_STREAM = 0  # no table has this id
 
 STATE = T.StructType(
     [
@@ -78,11 +81,69 @@ def decode_batch(files: DataFrame, batch_id: int, mode: str = "FAILFAST") -> Dat
     return decode_messages(frames.select("relation_oid", "pos", "raw"), mode)
 
 
+def route_log(batch: DataFrame, state: DataFrame) -> DataFrame:
+    """Messages of the whole log as one stream per relation.
+
+    In the log itself ``begin`` and ``commit`` belong to no relation. Each transaction's
+    header is carried along the log and its control messages are written to exactly the
+    relations it touched, in this batch or, for the transaction still open, in an earlier
+    one. The control messages also stay as a stream of their own, relation ``LOG_STREAM``.
+    """
+    carried = state.where(f"relation_oid = {LOG_STREAM} and open_lsn is not null").select(
+        F.lit(_CARRY_POS).cast("bigint").alias("pos"),
+        F.lit("begin").alias("msg_type"),
+        F.col("open_xid").alias("xid"),
+        F.col("open_lsn").alias("final_lsn"),
+        F.col("open_ts").alias("commit_ts"),
+    )
+    header = F.when(F.col("msg_type") == "begin", F.struct("xid", "final_lsn", "commit_ts", F.col("pos").alias("tx_pos")))
+    scanned = ordered_scan(
+        batch.unionByName(carried, allowMissingColumns=True), [], ["pos"], [Last("__h", header)], materialise=True
+    )
+    own_ts = F.when(F.col("msg_type") == "commit", F.col("commit_ts")).otherwise(F.col("__h.commit_ts"))
+    headed = scanned.where(F.col("pos") != _CARRY_POS).select(
+        *[c for c in batch.columns if c not in ("xid", "final_lsn", "commit_ts")],
+        F.col("__h.xid").alias("xid"),
+        F.col("__h.final_lsn").alias("final_lsn"),
+        own_ts.alias("commit_ts"),
+        F.col("__h.tx_pos").alias("tx_pos"),
+    )
+    is_control = F.col("msg_type").isin("begin", "commit")
+    control = headed.where(is_control)
+    spread = transactions.explode_truncate(headed)
+    rows = headed.where(~is_control & (F.col("msg_type") != "truncate")).unionByName(spread)
+    rows = rows.where("relation_oid is not null").withColumn("pos", F.col("pos") * 4 + 1)
+
+    touched = rows.where("tx_pos is not null").groupBy("relation_oid", "final_lsn", "tx_pos").agg(
+        F.min("pos").alias("first"), F.max("xid").alias("xid")
+    )
+    still_open = state.where(f"relation_oid <> {LOG_STREAM} and open_lsn is not null").select(
+        "relation_oid", F.col("open_lsn").alias("final_lsn"), F.lit(_CARRY_POS).cast("bigint").alias("tx_pos")
+    )
+    tx = ["relation_oid", "final_lsn", "tx_pos"]
+    times = control.where("msg_type = 'begin'").select("tx_pos", F.col("commit_ts").alias("ts")).unionByName(
+        carried.select(F.col("pos").alias("tx_pos"), F.col("commit_ts").alias("ts"))
+    )
+    begins = touched.join(still_open, tx, "left_anti").join(times, "tx_pos", "left").select(
+        "relation_oid", (F.col("first") - 1).alias("pos"), F.lit("begin").alias("msg_type"), "xid", "final_lsn", F.col("ts").alias("commit_ts")
+    )
+    concerned = touched.select(*tx).unionByName(still_open).distinct()
+    ends = control.where("msg_type = 'commit'").drop("relation_oid").withColumn("pos", F.col("pos") * 4 + 2)
+    commits = ends.join(concerned, ["final_lsn", "tx_pos"])
+    stream = control.withColumn("relation_oid", F.lit(LOG_STREAM).cast("bigint")).withColumn("pos", F.col("pos") * 4 + 1)
+    parts = [stream, commits.select(stream.columns), begins]
+    out = rows
+    for part in parts:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out.drop("tx_pos")
+
+
 def advance(batch: DataFrame, state: DataFrame) -> DataFrame:
     """Stitched, numbered and new messages of a batch, given the state before it.
 
     A message is new if its transaction is beyond the committed position and, for the
-    transaction that was open, if its number is beyond what is stored already.
+    transaction that was open, if its number is beyond what is stored already. ``GAP`` marks
+    messages that cannot follow what came before them.
     """
     carried = state.where("open_lsn is not null").select(
         "relation_oid",
@@ -98,7 +159,22 @@ def advance(batch: DataFrame, state: DataFrame) -> DataFrame:
         F.col("msg_type") == "begin",
         F.struct("xid", "final_lsn", "commit_ts", F.col("pos").alias("tx_pos"), F.coalesce("__stored", F.lit(0)).alias("stored")),
     )
-    stitched = ordered_scan(with_carry, ["relation_oid"], ["pos"], [Last("__h", header)], materialise=True)
+    control = F.when(F.col("msg_type").isin("begin", "commit"), F.struct("msg_type", "final_lsn"))
+    stitched = ordered_scan(
+        with_carry, ["relation_oid"], ["pos"], [Last("__h", header), Prev("__before", control)], materialise=True
+    )
+    # Files that are missing or out of order leave traces: a message outside any transaction,
+    # a commit of another transaction, or a later begin while one is still open.
+    inside = F.col("msg_type").isin(*DML_TYPES, "commit")
+    gap = (
+        (inside & ~F.col("__before.msg_type").eqNullSafe(F.lit("begin")))
+        | ((F.col("msg_type") == "commit") & (F.col("commit_lsn") != F.col("__h.final_lsn")))
+        | (
+            (F.col("msg_type") == "begin")
+            & F.col("__before.msg_type").eqNullSafe(F.lit("begin"))
+            & (F.col("final_lsn") > F.col("__before.final_lsn"))
+        )
+    )
     rest = [c for c in batch.columns if c not in ("xid", "final_lsn", "commit_ts", "tx_pos", "seq")]
     headed = stitched.where(F.col("pos") != _CARRY_POS).select(
         *rest,
@@ -108,6 +184,7 @@ def advance(batch: DataFrame, state: DataFrame) -> DataFrame:
         # Messages before any begin share a marker of their own.
         F.coalesce("__h.tx_pos", F.lit(_CARRY_POS - 1)).alias("tx_pos"),
         F.col("__h.stored").alias("__stored"),
+        F.coalesce(gap, F.lit(False)).alias(GAP),
     )
     numbered = ordered_scan(headed, ["relation_oid", "tx_pos"], ["pos"], [RowNumber("__n")], materialise=True)
     numbered = numbered.withColumn("seq", (F.col("__n") + F.coalesce("__stored", F.lit(0))).cast("int")).drop(
@@ -118,7 +195,7 @@ def advance(batch: DataFrame, state: DataFrame) -> DataFrame:
     joined = once.join(known, "relation_oid", "left")
     beyond = F.col("committed_lsn").isNull() | (F.col("final_lsn") > F.col("committed_lsn"))
     stored = F.coalesce((F.col("final_lsn") == F.col("open_lsn")) & (F.col("seq") <= F.col("open_seq")), F.lit(False))
-    fresh = joined.where(F.col("final_lsn").isNull() | (beyond & ~stored))
+    fresh = joined.where(F.col(GAP) | F.col("final_lsn").isNull() | (beyond & ~stored))
     return fresh.drop("committed_lsn", "open_lsn", "open_seq")
 
 
@@ -170,18 +247,32 @@ def store_batch(
     messages_per_segment: int = 10_000,
     tables: DataFrame | None = None,
     after_store: Callable[[SparkSession, int], None] | None = None,
+    whole_log: bool = False,
 ) -> None:
-    """Write one batch of decoded changes; repeating it replaces what it wrote."""
+    """Write one batch of decoded changes; repeating it replaces what it wrote.
+
+    ``whole_log``: the messages are the log itself, in one order, and control messages
+    belong to no relation. Otherwise every relation has a stream of its own."""
     spark = batch.sparkSession
     state = read_state(spark, root, batch_id)
-    spread = transactions.explode_truncate(batch)
-    routed = batch.where("msg_type <> 'truncate'").unionByName(spread)
+    if whole_log:
+        routed = route_log(batch, state)
+    else:
+        spread = transactions.explode_truncate(batch)
+        routed = batch.where("msg_type <> 'truncate'").unionByName(spread)
     if tables is not None:
-        routed = transactions.tracked(routed, tables)
+        known = tables.select("relation_oid").unionByName(
+            spark.range(1).select(F.lit(LOG_STREAM).cast("bigint").alias("relation_oid"))
+        )
+        routed = transactions.tracked(routed, known)
     # Only messages of a relation have a place in its stream.
     routed = routed.where("relation_oid is not null")
     # Written out once: the stored changes and the next state both come from it.
     rows = cut_lineage(advance(routed, state))
+    broken = rows.where(F.col(GAP)).select("relation_oid", "pos", "msg_type").take(5)
+    if broken:
+        raise ValueError(f"batch {batch_id} is not in log order or misses files before {[tuple(r) for r in broken]}")
+    rows = rows.drop(GAP)
     snapshots = store.read_snapshots(spark, root)
     kept = rows
     if snapshots is not None:
@@ -208,13 +299,14 @@ def ingest(
     mode: str = "FAILFAST",
     after_store: Callable[[SparkSession, int], None] | None = None,
     continuous: str | None = None,
+    whole_log: bool = False,
 ) -> StreamingQuery:
     """Start the ingest of a landing directory. Processes what is there and stops, or with
     ``continuous`` (a processing interval) keeps running."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         changes = decode_batch(batch, batch_id, mode) if binary else batch
-        store_batch(changes, batch_id, root, messages_per_segment, tables, after_store)
+        store_batch(changes, batch_id, root, messages_per_segment, tables, after_store, whole_log)
 
     writer = stream_changes(spark, landing, binary, max_files).writeStream.foreachBatch(run)
     writer = writer.option("checkpointLocation", checkpoint)
