@@ -368,7 +368,7 @@ def packed(m):
 
 
 def test_binary_stream_end_to_end(spark, tmp_path):
-    log = sequential.random_log(55, 60)
+    log = sequential.random_log(55, 60, moves=False)
     messages = transactions_of(log)
     landing = tmp_path / "landing" / str(OID) / "deltas"
     landing.mkdir(parents=True)
