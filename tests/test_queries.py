@@ -38,7 +38,7 @@ SOME = [
     "stream_sessions",
     "stream_metrics",
 ]
-CHOSEN = list(entry.queries()) if os.environ.get("TIDELOG_ALL_QUERIES") else SOME
+CHOSEN = list(entry.QUERIES) if os.environ.get("TIDELOG_ALL_QUERIES") else SOME
 
 
 @pytest.fixture(scope="module")
@@ -47,7 +47,7 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.QUERIES) == set(entry.ORACLES)
 
 
 def test_entry(spark):
