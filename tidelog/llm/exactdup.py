@@ -2,9 +2,9 @@
 
 The first pass moves only (hash, id): groups of one row, nearly all, are settled by it. Only
 the documents of larger groups are compared byte by byte, by grouping on (hash, text): copies
-collapse map-side, so a group that holds a third of all rows costs one row per map task. The
-table of repeated hashes is written to the shared folder first; Spark then knows its size and
-broadcasts it below its threshold, and beyond it joins by shuffle, splitting hot hashes.
+collapse map-side, so a group that holds a third of all rows costs one row per map task. Tables
+of repeated hashes are written to the shared folder and counted: up to a bound they are
+broadcast, and beyond it joined by shuffle, where Spark splits hot hashes.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.registry import documents, query
+from tidelog.llm.registry import bounded, documents, query
 from tidelog.session import cut_lineage
 
 MARKS = ("keep_id", "group_size", "kept")
@@ -32,8 +32,9 @@ def exact_duplicates(
     *,
     keep: str = "smallest",
     hash_of: Callable[[Column], Column] = content_hash,
+    carry: list[str] | None = None,
 ) -> DataFrame:
-    """``docs`` with ``keep_id``, ``group_size`` and ``kept`` added; one row out per row in.
+    """``docs`` (or its ``carry`` columns, id among them) with ``keep_id``, ``group_size`` and ``kept`` added; one row out per row in.
 
     Texts are equal when their bytes are. A null text counts as the empty text. Of equal texts
     the row with the smallest (or ``keep="largest"``) id stays; ids must be comparable. A null
@@ -52,7 +53,7 @@ def exact_duplicates(
     # Bytes are compared here: equal texts meet, colliding ones stay apart.
     groups = cut_lineage(
         docs.select(F.col(id_col).alias("__id"), text.alias("__text"), hash_of(text).alias("__hash"))
-        .join(repeated, "__hash", "left_semi")
+        .join(bounded(repeated), "__hash", "left_semi")
         .groupBy("__hash", "__text")
         .agg(best.alias("keep_id"), F.count("*").alias("group_size"))
         .select("__hash", F.sha2("__text", 256).alias("__sha"), "keep_id", "group_size")
@@ -60,16 +61,16 @@ def exact_duplicates(
     collided = cut_lineage(
         groups.groupBy("__hash").agg(F.count("*").alias("__n")).where("__n > 1").select("__hash")
     )
-    keyed = docs.withColumn("__hash", hash_of(text))
+    carry = docs.columns if carry is None else carry
+    keyed = docs.select(*carry, hash_of(text).alias("__hash"), *([] if collided.isEmpty() else [F.sha2(text, 256).alias("__sha")]))
     on = ["__hash"]
-    if not collided.isEmpty():
-        # Different texts share a hash: within those hashes a second digest tells them apart.
-        keyed = keyed.withColumn("__sha", F.sha2(text, 256))
+    if "__sha" in keyed.columns:
+        # Different texts share a hash: a second digest tells them apart.
         on = ["__hash", "__sha"]
     else:
         groups = groups.drop("__sha")
     return (
-        keyed.join(groups, on, "left")
+        keyed.join(bounded(groups), on, "left")
         .withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("bigint")))
         .withColumn("keep_id", F.when(F.col("group_size") > 1, F.col("keep_id")).otherwise(F.col(id_col)))
         .withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")))
@@ -95,8 +96,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """,
 )
 def op8_exact_dedup(spark, sf_dir):
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    found = exact_duplicates(docs, keep="largest")
-    return found.select(
-        "doc_id", "keep_id", "group_size", "kept", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")
+    docs = documents(spark, sf_dir).select(
+        "doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")
     )
+    return exact_duplicates(docs, keep="largest", carry=["doc_id", "text_sha256"])

@@ -5,6 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a narrow written table that may be broadcast: some 50 MB in memory.
+BROADCAST_ROWS = 500_000
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,3 +28,10 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def bounded(table: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A narrow written table, marked for broadcast if it is counted to be small enough.
+
+    Beyond the bound it stays unmarked, and joins shuffle."""
+    return F.broadcast(table) if table.count() <= most else table
