@@ -1,4 +1,4 @@
 """All queries of this package; importing it registers them."""
 
-from tidelog.llm import classifier, exactdup, lines, mixing, pieces, rules, sharding, simhash  # noqa: F401
+from tidelog.llm import classifier, exactdup, lines, mixing, pieces, privacy, rules, sharding, simhash  # noqa: F401
 from tidelog.llm.registry import ORACLES, QUERIES  # noqa: F401
