@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.registry import documents, query
-from tidelog.llm.textstats import with_statistics
+from tidelog.llm.textstats import FEATURES, with_statistics
 from tidelog.llm.trees import Forest, fit
 
 #: Labelled rows used to fit, at most; the sample is the broadcast side of a join, so this bounds it.
@@ -45,7 +45,7 @@ def fit_quality(
     )
     rows = with_statistics(known, "__text", ["__id", "__label"], features=True).toArrow()
     order = np.lexsort((np.arange(len(rows)), rows["__id"].to_numpy()))
-    features = np.array(rows["features"].to_pylist(), np.float64).reshape(len(rows), -1)
+    features = np.array(rows["features"].to_pylist(), np.float64).reshape(len(rows), len(FEATURES))
     return fit(features[order], rows["__label"].to_numpy()[order], **options)
 
 
