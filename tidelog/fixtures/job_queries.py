@@ -147,7 +147,8 @@ def restore_append(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "initial_base",
     """SELECT n_nationkey AS relation_oid, c_custkey, c_name, c_mktsegment FROM nation JOIN customer ON c_nationkey = n_nationkey
-WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_custkey % 50 = 0)""",
+WHERE n_nationkey IN (SELECT c_nationkey FROM customer GROUP BY c_nationkey
+                      HAVING count(*) >= (SELECT avg(n) FROM (SELECT count(*) AS n FROM customer GROUP BY c_nationkey)))""",
 )
 def initial_base(spark: SparkSession, sf: str) -> DataFrame:
     """A first snapshot of every published table; the customers of a nation are its rows."""

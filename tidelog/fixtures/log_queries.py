@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.fixtures import tables as t
-from tidelog.fixtures.oracles import with_fixtures
+from tidelog.fixtures.oracles import at_share, with_fixtures
 from tidelog.fixtures.registry import query
 from tidelog.functions.lsn import as_micros
 from tidelog.operators import catalog, replay, segments, state, transactions, verify
@@ -150,12 +150,12 @@ def ingest_late_drop(spark: SparkSession, sf: str) -> DataFrame:
 
 def _early_tables(log: DataFrame) -> DataFrame:
     """Registered tables: those whose base is early."""
-    return t.base(log).where("start_lsn <= 1600")
+    return t.base(log).where(F.col("start_lsn") <= t.at_share(log, 2))
 
 
 @query(
     "tracked_semi",
-    with_fixtures("chg", "base", body="SELECT relation_oid, lsn, op FROM chg WHERE relation_oid IN (SELECT relation_oid FROM base WHERE start_lsn <= 1600)"),
+    with_fixtures("chg", "base", body=f"SELECT relation_oid, lsn, op FROM chg WHERE relation_oid IN (SELECT relation_oid FROM base WHERE start_lsn <= {at_share(2)})"),
 )
 def tracked_semi(spark: SparkSession, sf: str) -> DataFrame:
     log = t.chg(spark, sf)
@@ -164,14 +164,14 @@ def tracked_semi(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "orphan_anti",
-    with_fixtures("chg", "base", body="SELECT relation_oid, lsn, op FROM chg WHERE relation_oid NOT IN (SELECT relation_oid FROM base WHERE start_lsn <= 1600)"),
+    with_fixtures("chg", "base", body=f"SELECT relation_oid, lsn, op FROM chg WHERE relation_oid NOT IN (SELECT relation_oid FROM base WHERE start_lsn <= {at_share(2)})"),
 )
 def orphan_anti(spark: SparkSession, sf: str) -> DataFrame:
     log = t.chg(spark, sf)
     return transactions.orphans(log, _early_tables(log)).select("relation_oid", "lsn", "op")
 
 
-@query("tx_touched", with_fixtures("chg", body="SELECT DISTINCT xid, relation_oid FROM chg"))
+@query("tx_touched", with_fixtures("chg", body="SELECT DISTINCT xid, final_lsn, relation_oid FROM chg"))
 def tx_touched(spark: SparkSession, sf: str) -> DataFrame:
     return transactions.touched(t.chg(spark, sf))
 
@@ -180,12 +180,13 @@ def tx_touched(spark: SparkSession, sf: str) -> DataFrame:
     "tx_control_fanout",
     with_fixtures(
         "chg",
-        body="""SELECT t.xid, t.relation_oid, m.msg_type, t.final_lsn FROM (SELECT DISTINCT xid, relation_oid, final_lsn FROM chg) t
+        body="""SELECT t.xid % 97 AS xid, t.relation_oid, m.msg_type, t.final_lsn FROM (SELECT DISTINCT xid, relation_oid, final_lsn FROM chg) t
 JOIN (SELECT 'begin' AS msg_type UNION ALL SELECT 'commit') m ON true""",
     ),
 )
 def tx_control_fanout(spark: SparkSession, sf: str) -> DataFrame:
-    log = t.chg(spark, sf)
+    # Transaction ids wrap; the end of the transaction tells them apart.
+    log = t.chg(spark, sf).withColumn("xid", F.col("xid") % 97)
     kinds = F.explode(F.array(F.lit("begin"), F.lit("commit")))
     control = log.select("xid", "final_lsn").distinct().select("xid", "final_lsn", kinds.alias("msg_type"))
     fanned = transactions.fan_out_control(control, transactions.touched(log))
@@ -344,15 +345,16 @@ def obsolete_segments(spark: SparkSession, sf: str) -> DataFrame:
     with_fixtures(
         "stitched",
         "base",
-        body=f"""SELECT relation_oid, segment_id, messages, CASE WHEN max_lsn > 1600 THEN 'staging' ELSE 'archive' END AS location
+        body=f"""SELECT relation_oid, segment_id, messages, CASE WHEN max_lsn > {at_share(2)} THEN 'staging' ELSE 'archive' END AS location
 FROM {_MANIFEST} m""",
     ),
 )
 def segments_union(spark: SparkSession, sf: str) -> DataFrame:
     """Late segments lie in staging and, as older copies, in the archive too."""
     every = manifest(spark, sf)
-    staging = every.where("max_lsn > 1600")
-    archive = every.withColumn("messages", F.when(F.col("max_lsn") > 1600, 0).otherwise(F.col("messages")))
+    late = F.col("max_lsn") > t.at_share(t.chg(spark, sf), 2)
+    staging = every.where(late)
+    archive = every.withColumn("messages", F.when(late, 0).otherwise(F.col("messages")))
     both = segments.all_segments(staging, archive)
     return both.select("relation_oid", "segment_id", "messages", "location")
 
@@ -495,14 +497,14 @@ _THRESHOLD, _IDLE_SECONDS, _NOW = 20, 7200, "2030-01-01 00:00:00"
 FROM (SELECT *, CASE WHEN base_lsn IS NULL THEN 'no_base' WHEN messages_since_base = 0 THEN NULL
                      WHEN deltas_since_base >= {_THRESHOLD} THEN 'threshold'
                      WHEN epoch_us(TIMESTAMP '{_NOW}') - last_message_us > {_IDLE_SECONDS} * 1000000 THEN 'idle' END AS reason
-      FROM {_STATE.format(bases="(SELECT * FROM base WHERE start_lsn <= 2400)")} s) p
+      FROM {_STATE.format(bases=f"(SELECT * FROM base WHERE start_lsn <= {at_share(3)})")} s) p
 WHERE reason IS NOT NULL ORDER BY CASE reason WHEN 'no_base' THEN 2 WHEN 'threshold' THEN 1 ELSE 0 END DESC,
   deltas_since_base DESC, messages_since_base DESC, relation_oid LIMIT 3""",
     ),
 )
 def compaction_plan(spark: SparkSession, sf: str) -> DataFrame:
     log = _log(spark, sf)
-    bases = t.base(log).where("start_lsn <= 2400")
+    bases = t.base(log).where(F.col("start_lsn") <= t.at_share(log, 3))
     # A base is as old as the last change it covers.
     taken = (
         log.join(bases, "relation_oid")

@@ -73,7 +73,8 @@ WHERE a.li > coalesce(a.ld, 0)""",
     ),
     "base": (
         ("chg",),
-        "SELECT relation_oid, 8 * 100 * (relation_oid - 16383) AS start_lsn FROM chg GROUP BY relation_oid",
+        """SELECT relation_oid, share - share % 8 AS start_lsn
+FROM (SELECT DISTINCT relation_oid, (SELECT max(final_lsn) FROM chg) * (relation_oid - 16383) // 5 AS share FROM chg) shares""",
     ),
     "chg_full": (
         (),
@@ -91,8 +92,10 @@ WHERE pt IS NOT NULL AND pt <> 'error'""",
        pk.s_nationkey IS NOT NULL AS has_pk,
        CASE n.n_nationkey % 4 WHEN 0 THEN 'd' WHEN 1 THEN 'n' WHEN 2 THEN 'i' ELSE 'f' END AS replica_identity
 FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey
-     JOIN (SELECT DISTINCT c_nationkey FROM customer WHERE c_custkey % 50 = 0) pub ON pub.c_nationkey = n.n_nationkey
-     LEFT JOIN (SELECT DISTINCT s_nationkey FROM supplier WHERE s_suppkey % 10 < 2) pk ON pk.s_nationkey = n.n_nationkey""",
+     JOIN (SELECT c_nationkey FROM customer GROUP BY c_nationkey
+           HAVING count(*) >= (SELECT avg(n) FROM (SELECT count(*) AS n FROM customer GROUP BY c_nationkey))) pub ON pub.c_nationkey = n.n_nationkey
+     LEFT JOIN (SELECT s_nationkey FROM supplier GROUP BY s_nationkey
+                HAVING count(*) >= (SELECT avg(n) FROM (SELECT count(*) AS n FROM supplier GROUP BY s_nationkey))) pk ON pk.s_nationkey = n.n_nationkey""",
     ),
     "renames": (
         (),
@@ -152,6 +155,11 @@ WHERE pv.li > coalesce(pv.ld, 0)""",
 }
 
 
+def at_share(fifths: int) -> str:
+    """The transaction end at so many fifths of the log ``chg``."""
+    return f"(SELECT (max(final_lsn) * {fifths} // 5) - (max(final_lsn) * {fifths} // 5) % 8 FROM chg)"
+
+
 def _needed(names: tuple[str, ...], seen: list[str]) -> list[str]:
     for name in names:
         if name not in seen:

@@ -5,11 +5,10 @@ Each function mirrors one named SQL fixture in ``oracles.py``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions.lsn import as_micros
-from tidelog.operators.scan import Prev, ordered_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _with_previous_type(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """A plain window, so that the log is read once and not made by an operator under test."""
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", *columns)
-    return ordered_scan(events, ["user_id"], ["event_id"], [Prev("prev_type", F.col("event_type"))])
+    before = Window.partitionBy("user_id").orderBy("event_id")
+    return events.withColumn("prev_type", F.lag("event_type").over(before))
 
 
 def chg(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,14 +68,21 @@ def chg_ctl(changes: DataFrame) -> DataFrame:
 
 
 def base(changes: DataFrame) -> DataFrame:
-    """A snapshot position per relation, always the end of a transaction."""
+    """A snapshot position per relation, at a share of the log, always the end of a transaction."""
+    last = changes.agg(F.max("final_lsn").alias("last"))
+    share = F.expr("last * (relation_oid - 16383) div 5")
     return (
-        changes.select("relation_oid")
-        .distinct()
-        .select("relation_oid", (F.lit(800) * (F.col("relation_oid") - 16383)).alias("start_lsn"))
+        changes.select("relation_oid").distinct().join(F.broadcast(last))
+        .select("relation_oid", (share - share % 8).alias("start_lsn"))
     )
 
 
+def at_share(changes: DataFrame, fifths: int):
+    """The transaction end at so many fifths of the log, to compare positions with."""
+    last = changes.agg(F.max("final_lsn")).first()[0] or 0
+    return F.lit(last * fifths // 5 // 8 * 8)
+
+
 def chg_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full-identity log as signed rows."""
     ev = _with_previous_type(spark, sf_dir).withColumn("g", F.col("user_id") % 7)
@@ -88,6 +96,13 @@ def chg_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select("g", (F.col("event_id") + 1).alias("lsn"), F.inline(sides))
 
 
+def _above_average(rows: DataFrame, key: str) -> DataFrame:
+    """Keys that have at least as many rows as keys have on average."""
+    counts = rows.groupBy(F.col(key).alias("oid")).agg(F.count("*").alias("n"))
+    mean = counts.agg(F.avg("n").alias("mean"))
+    return counts.join(F.broadcast(mean), F.col("n") >= F.col("mean")).select("oid")
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Catalog stand-ins: ordinary tables, namespaces, publication members, primary keys."""
     nation = table(spark, sf_dir, "nation")
@@ -103,14 +118,8 @@ def catalog(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "namespaces": table(spark, sf_dir, "region").select(
             F.col("r_regionkey").alias("oid"), F.col("r_name").alias("nspname")
         ),
-        "published": table(spark, sf_dir, "customer")
-        .where("c_custkey % 50 = 0")
-        .select(F.col("c_nationkey").alias("oid"), F.lit("pub").alias("pubname"))
-        .distinct(),
-        "primary_keys": table(spark, sf_dir, "supplier")
-        .where("s_suppkey % 10 < 2")
-        .select(F.col("s_nationkey").alias("oid"))
-        .distinct(),
+        "published": _above_average(table(spark, sf_dir, "customer"), "c_nationkey").select("oid", F.lit("pub").alias("pubname")),
+        "primary_keys": _above_average(table(spark, sf_dir, "supplier"), "s_nationkey"),
     }
 
 

@@ -137,9 +137,9 @@ def ordered_scan(
     may have hundreds of millions of blocks.
 
     ``materialise`` computes the carry-in (one row per key and block) at once and keeps it as
-    a checkpoint. A chain of scans then reads its input once per scan and plans in linear
-    size; left to itself each scan of a chain doubles the plan below it. The default comes
-    from the session setting ``tidelog.scan.materialise``.
+    a written table, so a chain of scans reads its input once per scan and plans in linear
+    size. Without it each scan of a chain doubles the plan below it. The default comes
+    from the session setting ``tidelog.scan.materialise``, which is on.
     """
     bits = bits or _block_bits(df.sparkSession)
     order = list(order)

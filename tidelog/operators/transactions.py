@@ -52,13 +52,14 @@ def committed(changes: DataFrame) -> DataFrame:
 
 
 def touched(changes: DataFrame) -> DataFrame:
-    """Relations each transaction touched."""
-    return changes.select("xid", "relation_oid").distinct()
+    """Relations each transaction touched. A transaction is named by its id and its end: ids
+    alone are 32-bit counters that wrap."""
+    return changes.select("xid", "final_lsn", "relation_oid").distinct()
 
 
 def fan_out_control(control: DataFrame, touched_relations: DataFrame) -> DataFrame:
     """One begin and one commit for exactly the relations a transaction touched."""
-    return control.drop("relation_oid").join(touched_relations, "xid")
+    return control.drop("relation_oid").join(touched_relations, ["xid", "final_lsn"])
 
 
 def tx_summary(changes: DataFrame, bytes_column: str | None = "bytes") -> DataFrame:

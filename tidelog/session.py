@@ -13,12 +13,15 @@ MATERIALISE_CONF = "tidelog.scan.materialise"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a local folder only where none is set (tests)."""
+    """Shared folder named by the cluster. A local folder only where none is set and driver and
+    executors are one process: elsewhere no other machine would see it, so that is refused."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     root = tempfile.mkdtemp(prefix="tidelog-")
     spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -44,4 +47,4 @@ def block_bits(spark: SparkSession) -> int:
 
 
 def materialise(spark: SparkSession) -> bool:
-    return spark.conf.get(MATERIALISE_CONF, "false").lower() == "true"
+    return spark.conf.get(MATERIALISE_CONF, "true").lower() == "true"
