@@ -425,3 +425,46 @@ def test_fixture_schemas_are_the_canonical_ones(spark):
     assert [f.name for f in log.schema.fields] == [f.name for f in CHANGES.fields]
     assert catalog.latest_relations(jobs.relations_of(log)).count() == 4
     assert log.groupBy("relation_oid", "pos").count().where(F.col("count") > 1).isEmpty()
+
+
+def test_uncastable_values_are_kept_and_told(spark, tmp_path):
+    relation = Row(
+        relation_oid=OID, lsn=1, namespace="public", name="test", replica_identity="d",
+        columns=[Row(is_key=k, name=n, type_oid=o, typmod=m) for k, n, o, m in ((True, "k", 23, -1), (False, "d", 1082, -1), (False, "n", 1700, (10 << 16 | 2) + 4))],
+    )
+    rows = spark.createDataFrame([("1", "infinity", "1.50"), ("2", "2024-01-01", "NaN"), ("3", "0044-03-15 BC", None)], "k string, d string, n string")
+    root = str(tmp_path / "archive")
+    store.write_snapshot(rows, relation, 8, root)
+    restored = jobs.restore_table(spark, root, OID)
+    assert restored.uncastable == {"d": 2, "n": 1}
+    assert sorted(map(tuple, restored.rows.collect())) == [(1, "infinity", "1.50"), (2, "2024-01-01", "NaN"), (3, "0044-03-15 BC", None)]
+    with pytest.raises(Exception, match="no date in column d"):
+        store.read_snapshot(spark, store.latest_snapshot(spark, root, OID)).collect()
+
+
+def test_time_stops_before_the_first_later_commit(spark):
+    at = lambda m: T0 + datetime.timedelta(minutes=m)
+    log = spark.createDataFrame([("commit", 1000, at(1)), ("commit", 2000, at(5)), ("commit", 3000, at(2))], "msg_type string, final_lsn long, commit_ts timestamp")
+    assert jobs._lsn_at(log, at(3)) == 1000
+    assert jobs._lsn_at(log, at(5)) == 3000
+    assert jobs._lsn_at(log, at(0)) is None
+
+
+def test_strange_file_names_are_an_error(spark, tmp_path):
+    from tidelog.sources.segments import list_segments
+
+    (tmp_path / "1").mkdir()
+    (tmp_path / "1" / f"{1:016x}").write_bytes(b"x" * 40)
+    assert list_segments(spark, str(tmp_path)).count() == 1
+    (tmp_path / "1" / f"{2:016x}.bak").write_bytes(b"x" * 40)
+    with pytest.raises(ValueError, match="not named like a segment"):
+        list_segments(spark, str(tmp_path))
+
+
+def test_miscounted_copy_lines_fail(spark):
+    from tidelog.sources.copytext import parse_copy_lines
+
+    columns = [{"name": "a", "type_oid": 20, "typmod": -1}, {"name": "b", "type_oid": 25, "typmod": -1}]
+    for line, told in (("1", "without 2 fields"), ("1\tx\ty", "without 2 fields"), ("z\tx", "no bigint in column a")):
+        with pytest.raises(Exception, match=told):
+            parse_copy_lines(spark.createDataFrame([(line,)], "value string"), columns).collect()

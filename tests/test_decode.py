@@ -120,7 +120,9 @@ def test_torn_segment(spark):
     df = spark.createDataFrame([("f", bytearray(whole[:-5]))], "path string, content binary")
     with pytest.raises(Exception, match="torn frame"):
         split_frames(df).collect()
-    assert split_frames(df, mode="PERMISSIVE").count() == 2
+    frames = split_frames(df, mode="PERMISSIVE").orderBy("frame_no").collect()
+    assert len(frames) == 3
+    assert [r._corrupt for r in decode_messages(spark.createDataFrame([(bytes(f.raw),) for f in frames[2:]], "raw binary"), "PERMISSIVE").collect()] == [True]
 
 
 def test_many_frames_cross_batches(spark):

@@ -144,6 +144,36 @@ def restore_append(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("relation_oid", "k", "value", "props").agg(F.count("*").alias("n"))
 
 
+@query(
+    "restore_uncastable",
+    """SELECT o_orderkey AS id,
+       CASE WHEN o_orderkey % 5 = 0 THEN 'infinity' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS ordered,
+       CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_custkey END AS customer,
+       (SELECT count(*) FROM orders WHERE o_orderkey % 5 = 0) AS uncastable FROM orders""",
+)
+def restore_uncastable(spark: SparkSession, sf: str) -> DataFrame:
+    """A column with dates that Spark cannot hold is restored as text and reported."""
+    root = scratch_dir(spark, "archive")
+    key = F.col("o_orderkey")
+    rows = t.table(spark, sf, "orders").select(
+        key.alias("id"),
+        F.when(key % 5 == 0, "infinity").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("ordered"),
+        F.when(key % 9 > 0, F.col("o_custkey")).alias("customer"),
+    )
+    columns = [
+        {"is_key": True, "name": "id", "type_oid": 20, "typmod": -1},
+        {"is_key": False, "name": "ordered", "type_oid": 1082, "typmod": -1},
+        {"is_key": False, "name": "customer", "type_oid": 20, "typmod": -1},
+    ]
+    relation = spark.range(1).select(
+        F.lit(1).cast("bigint").alias("relation_oid"), F.lit(1).cast("bigint").alias("lsn"), F.lit("public").alias("namespace"),
+        F.lit("orders").alias("name"), F.lit("d").alias("replica_identity"), t.columns_literal(columns).alias("columns"),
+    ).first()
+    store.write_snapshot(rows, relation, 8, root)
+    restored = jobs.restore_table(spark, root, 1)
+    return restored.rows.withColumn("uncastable", F.lit(restored.uncastable["ordered"]).cast("bigint"))
+
+
 @query(
     "initial_base",
     """SELECT n_nationkey AS relation_oid, c_custkey, c_name, c_mktsegment FROM nation JOIN customer ON c_nationkey = n_nationkey

@@ -254,6 +254,47 @@ def copy_text_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return copytext.read_copy_text(spark, path, _DOC_COLUMNS)
 
 
+@query(
+    "copy_text_corrupt",
+    """SELECT CASE WHEN o_orderkey % 7 > 1 THEN o_orderkey END AS id,
+       CASE WHEN o_orderkey % 7 > 1 AND o_orderkey % 11 > 0 THEN o_custkey END AS custkey,
+       CASE WHEN o_orderkey % 7 > 1 THEN o_orderstatus END AS status,
+       CASE o_orderkey % 7 WHEN 0 THEN concat_ws(chr(9), o_orderkey, o_custkey)
+                           WHEN 1 THEN concat_ws(chr(9), o_orderkey, o_custkey, o_orderstatus, 'more') END AS corrupt_line,
+       CASE WHEN o_orderkey % 7 > 1 AND o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS cast_errors
+FROM orders""",
+)
+def copy_text_corrupt(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines with a field too few or too many, and texts that are no number, are told."""
+    key, customer = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    line = (
+        F.when(key % 7 == 0, copytext.copy_line(key, customer))
+        .when(key % 7 == 1, copytext.copy_line(key, customer, F.col("o_orderstatus"), F.lit("more")))
+        .otherwise(copytext.copy_line(key, F.when(key % 11 == 0, F.lit("z")).otherwise(customer), F.col("o_orderstatus")))
+    )
+    path = scratch_dir(spark, "copy")
+    t.table(spark, sf, "orders").select(line.alias("value")).write.text(path)
+    columns = [{"name": n, "type_oid": o, "typmod": -1} for n, o in (("id", 20), ("custkey", 20), ("status", 25))]
+    rows = copytext.read_copy_text(spark, path, columns, mode="PERMISSIVE")
+    return rows.withColumnsRenamed({"_corrupt_line": "corrupt_line", "_cast_errors": "cast_errors"})
+
+
+@query(
+    "segment_torn",
+    """SELECT o_orderkey AS id, f.frame_no, CASE WHEN f.frame_no = 2 THEN NULL ELSE 'insert' END AS msg_type, f.frame_no = 2 AS corrupt
+FROM orders, (SELECT unnest([0, 1, 2]) AS frame_no) f""",
+)
+def segment_torn(spark: SparkSession, sf: str) -> DataFrame:
+    """Three messages per segment, the last one cut off: it is kept and marked."""
+    message = wire.insert(F.col("o_orderkey"), F.array(text_cell(F.col("o_orderkey")), text_cell(F.col("o_orderpriority"))))
+    frame = F.concat(F.unhex(F.lpad(F.hex((F.octet_length("raw") + 8).cast("bigint")), 16, "0")), F.col("raw"))
+    orders = t.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), message.alias("raw")).withColumn("frame", frame)
+    whole = F.concat(F.unhex(F.lit("00" * 40)), "frame", "frame", "frame")
+    torn = orders.select("id", F.substring(whole, F.lit(1), F.octet_length(whole) - 3).alias("content"))
+    decoded = decode_messages(split_frames(torn, mode="PERMISSIVE"), mode="PERMISSIVE")
+    return decoded.select("id", "frame_no", F.when(~F.col("_corrupt"), F.col("msg_type")).alias("msg_type"), F.col("_corrupt").alias("corrupt"))
+
+
 @query(
     "latest_snapshot",
     """SELECT o_custkey AS relation_oid, max(o_orderkey + 1) AS start_lsn, arg_max(o_orderpriority, o_orderkey) AS name

@@ -102,6 +102,39 @@ def as_text(df: DataFrame, columns: Sequence) -> DataFrame:
     return df.select(*[one(c["name"], c["type_oid"]).alias(c["name"]) for c in columns])
 
 
+def strictly_typed(df: DataFrame, columns: Sequence, keep: Sequence[str] = ()) -> DataFrame:
+    """``columns`` as typed columns; a text without a value of its type fails the job."""
+
+    def one(c) -> Column:
+        text, value = F.col(c["name"]), typed_value(F.col(c["name"]), c["type_oid"], c["typmod"])
+        if spark_type(c["type_oid"], c["typmod"]) == "string":
+            return text.alias(c["name"])
+        told = F.raise_error(F.concat(F.lit(f"no {spark_type(c['type_oid'], c['typmod'])} in column {c['name']}: "), text))
+        return F.when(text.isNull() | value.isNotNull(), value).otherwise(told).alias(c["name"])
+
+    return df.select(*keep, *[one(c) for c in columns])
+
+
+def typed_or_text(df: DataFrame, columns: Sequence, keep: Sequence[str] = ()) -> tuple[DataFrame, dict[str, int]]:
+    """``columns`` as typed columns, but a column stays text if it holds values that have no
+    Spark value (an infinite date, a NaN decimal, a date BC). Also how many, per such column.
+
+    Counts in one aggregate over ``df``, so hand in something cheap to read."""
+    doubtful = [c for c in columns if spark_type(c["type_oid"], c["typmod"]) != "string"]
+    if not doubtful:
+        return df.select(*keep, *[c["name"] for c in columns]), {}
+    lost = df.agg(*[
+        F.count_if(F.col(c["name"]).isNotNull() & typed_value(F.col(c["name"]), c["type_oid"], c["typmod"]).isNull()).alias(c["name"])
+        for c in doubtful
+    ]).first().asDict()
+    lost = {name: n for name, n in lost.items() if n}
+    out = [
+        F.col(c["name"]) if c["name"] in lost else typed_value(F.col(c["name"]), c["type_oid"], c["typmod"]).alias(c["name"])
+        for c in columns
+    ]
+    return df.select(*keep, *out), lost
+
+
 def typed(df: DataFrame, columns: Sequence, keep: Sequence[str] = (), errors: str | None = "cast_errors") -> DataFrame:
     """Select ``columns`` (name, type_oid, typmod) as typed columns.
 

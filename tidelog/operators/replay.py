@@ -90,8 +90,8 @@ def replay_moves(
     affected = (
         moves.select(*fixed, *moving).unionByName(moves.select(*fixed, *old)).distinct()
     )
-    plain = changes.join(affected, keys, "left_anti")
-    untouched = replay_keyed(plain, keys, columns, order)
+    # Aggregated first: the anti-join then meets one row per key, not all changes of a hot one.
+    untouched = replay_keyed(changes, keys, columns, order).join(affected, keys, "left_anti")
 
     cells = [x for c in columns for x in (c, f"{c}__kind")]
     keep = [*keys, *order, *cells]
@@ -154,21 +154,23 @@ def resolve_roots(links: DataFrame) -> DataFrame:
     """``(child, parent)`` links to ``(child, root)`` by pointer doubling.
 
     A null parent is a dead end (the move found no row): everything behind it gets a null
-    root. Each round halves the distance to the root and is cut by a reliable checkpoint.
+    root. Each round halves the distance to the root and is written to the shared folder;
+    links that are settled are not written again.
     """
-    state = cut_lineage(links.select("child", F.col("parent").alias("root"), F.lit(True).alias("open")))
+    written = cut_lineage(links.select("child", F.col("parent").alias("root"), F.lit(True).alias("open")))
     unsettled = F.col("open") & F.col("root").isNotNull()
-    while not state.where(unsettled).isEmpty():
-        hop = state.select(F.col("child").alias("__child"), F.col("root").alias("__root"))
+    settled, pending = written.where(~unsettled), written.where(unsettled)
+    while not pending.isEmpty():
+        hop = settled.unionByName(pending).select(F.col("child").alias("__child"), F.col("root").alias("__root"))
         # A root that is itself a child is an inner node and is followed; others are final.
-        joined = state.where(unsettled).join(hop, F.col("root") == F.col("__child"), "left")
-        followed = joined.select(
+        joined = pending.join(hop, F.col("root") == F.col("__child"), "left")
+        written = cut_lineage(joined.select(
             "child",
             F.when(F.col("__child").isNotNull(), F.col("__root")).otherwise(F.col("root")).alias("root"),
             F.col("__child").isNotNull().alias("open"),
-        )
-        state = cut_lineage(followed.unionByName(state.where(~unsettled)))
-    return state.select("child", "root")
+        ))
+        settled, pending = settled.unionByName(written.where(~unsettled)), written.where(unsettled)
+    return settled.select("child", "root")
 
 
 def replay(

@@ -179,4 +179,4 @@ def compaction_plan(
     plan = state.withColumn("reason", reason).where("reason is not null").withColumn("priority", rank)
     order = [F.desc("priority"), F.desc("deltas_since_base"), F.desc("messages_since_base"), F.asc("relation_oid")]
     plan = plan.orderBy(*order)
-    return plan.limit(limit) if limit else plan
+    return plan.limit(limit) if limit is not None else plan

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidelog.operators.scan import Last, RowNumber, ordered_scan
 from tidelog.schema import DML_TYPES
+from tidelog.session import cut_lineage
 
 
 def by_type(changes: DataFrame, *types: str) -> DataFrame:
@@ -46,9 +47,18 @@ def with_seq(changes: DataFrame, tx: Sequence[str] = ("relation_oid", "final_lsn
 
 
 def committed(changes: DataFrame) -> DataFrame:
-    """Messages of transactions that have a commit; an open tail takes no effect."""
-    commits = changes.where("msg_type = 'commit' and final_lsn is not null").select("relation_oid", "final_lsn")
-    return changes.join(commits.distinct(), ["relation_oid", "final_lsn"], "left_semi")
+    """Messages of transactions that have a commit; an open tail takes no effect.
+
+    Open transactions are few, one per relation as a rule. They are found in one narrow
+    aggregate and written, so Spark knows how few and leaves the log itself where it is."""
+    headed = changes.where("final_lsn is not null")
+    tail = (
+        headed.groupBy("relation_oid", "final_lsn")
+        .agg(F.bool_or(F.col("msg_type") == "commit").alias("done"))
+        .where("not done")
+        .select("relation_oid", "final_lsn")
+    )
+    return headed.join(cut_lineage(tail), ["relation_oid", "final_lsn"], "left_anti")
 
 
 def touched(changes: DataFrame) -> DataFrame:

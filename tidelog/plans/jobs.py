@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.functions.types import canonical_text, typed
+from tidelog.functions.types import canonical_text, spark_type, typed_or_text
 from tidelog.operators import catalog, replay, segments, transactions, verify as verification
 from tidelog.operators.render import inspect as inspect_lines
 from tidelog.operators.scan import Prev, ordered_scan
@@ -19,15 +20,32 @@ from tidelog.sources.segments import read_segments
 from tidelog.sources.wire import decode_messages
 
 
-@dataclass(frozen=True)
+@dataclass
 class Restored:
-    """Rows of a table, typed and in the text form of the log, and how they came about."""
+    """Rows of a table in the text form of the log, and how they came about.
+
+    ``rows`` are typed. A column with values that Spark's type cannot hold stays text, and
+    ``uncastable`` says how many it has."""
 
-    rows: DataFrame
     text: DataFrame
     relation: Row
     start_lsn: int | None
 
+    @cached_property
+    def _typed(self) -> tuple[DataFrame, dict[str, int]]:
+        columns = self.relation["columns"]
+        # Replayed once: the text is written, then counted and converted from there.
+        plain = all(spark_type(c["type_oid"], c["typmod"]) == "string" for c in columns)
+        return typed_or_text(self.text if plain else cut_lineage(self.text), columns)
+
+    @property
+    def rows(self) -> DataFrame:
+        return self._typed[0]
+
+    @property
+    def uncastable(self) -> dict[str, int]:
+        return self._typed[1]
+
 
 def relations_of(changes: DataFrame) -> DataFrame:
     """Relation messages of a decoded log as schema versions."""
@@ -64,10 +82,15 @@ def resolve_table(spark: SparkSession, root: str, namespace: str, name: str, at_
 
 
 def _lsn_at(changes: DataFrame, at_ts) -> int | None:
-    """Newest commit position at or before a time."""
-    return changes.where((F.col("msg_type") == "commit") & (F.col("commit_ts") <= F.lit(at_ts))).agg(
-        F.max("final_lsn")
-    ).first()[0]
+    """Newest commit position before the first commit that is later than a time.
+
+    Commit times need not grow with positions. Stopping at the first later one restores a
+    state the table really had, and nothing committed after ``at_ts``."""
+    commits = changes.where((F.col("msg_type") == "commit") & F.col("final_lsn").isNotNull())
+    later = F.min(F.when(F.col("commit_ts") > F.lit(at_ts), F.col("final_lsn")))
+    first = commits.agg(later).first()[0]
+    upto = commits if first is None else commits.where(F.col("final_lsn") < first)
+    return upto.agg(F.max("final_lsn")).first()[0]
 
 
 def restore_table(
@@ -153,7 +176,7 @@ def restore_table(
         )
         image = replay.replay_full(signed, names)
     image = image.select(*names)
-    return Restored(typed(image, columns, errors=None), image, relation, start)
+    return Restored(image, relation, start)
 
 
 def _layouts(log: DataFrame, effective: DataFrame, pinned: Row | None) -> list[tuple[int | None, Row]]:
@@ -243,10 +266,17 @@ def restore(
     at_lsn: int | None = None,
     at_ts=None,
     expected: Row | None = None,
+    casts: str = "PERMISSIVE",
 ) -> DataFrame:
-    """Restore a table by name; with ``target``, write it there (``append`` or ``overwrite``)."""
+    """Restore a table by name; with ``target``, write it there (``append`` or ``overwrite``).
+
+    A column with values that have no Spark value is restored as text; with
+    ``casts="FAILFAST"`` it stops the restore instead."""
     oid = resolve_table(spark, root, namespace, name, at_lsn or 0)
-    rows = restore_table(spark, root, oid, at_lsn, at_ts, expected).rows
+    restored = restore_table(spark, root, oid, at_lsn, at_ts, expected)
+    rows = restored.rows
+    if casts == "FAILFAST" and restored.uncastable:
+        raise ValueError(f"values without a Spark value, per column: {restored.uncastable}")
     if target is None:
         return rows
     if mode not in ("append", "overwrite"):

@@ -19,16 +19,24 @@ LENGTH_BYTES = 8
 _FRAMES_PER_BATCH = 4096
 _BYTES_PER_BATCH = 32 * 1024 * 1024
 POS_BITS_PER_FILE = 32
+SEGMENT_NAME = r"^[0-9a-f]{16}(\.\d+)?$"
 
 
 def list_segments(spark: SparkSession, path: str) -> DataFrame:
-    """Segment files below ``path`` by name and size; contents are not read."""
+    """Segment files below ``path`` by name and size; contents are not read.
+
+    Segments lie in a directory called ``deltas`` or after the relation's number. A file there
+    that is not named like a segment may hold messages, so it is an error; files elsewhere
+    (state, snapshots) are no segments."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.substring_index(F.col("path"), "/", -1)
+    strangers = files.where(~name.rlike(SEGMENT_NAME) & F.col("path").rlike(r"/(deltas|\d+)/[^/]+$")).select("path").take(5)
+    if strangers:
+        raise ValueError(f"files not named like a segment: {[r['path'] for r in strangers]}")
     return (
         files.select("path", "length")
         .withColumn("segment_name", name)
-        .where(F.col("segment_name").rlike(r"^[0-9a-f]{16}(\.\d+)?$"))
+        .where(F.col("segment_name").rlike(SEGMENT_NAME))
         .select(
             F.regexp_extract("path", r"/(\d+)/[^/0-9]*/?[^/]+$", 1).try_cast("bigint").alias("relation_oid"),
             "segment_name",
@@ -61,7 +69,8 @@ def split_frames(files: DataFrame, content: str = "content", mode: str = "FAILFA
     """One row per frame: ``frame_no`` from 0 and the message ``raw``.
 
     One segment is one unit of work; its size is bounded by the messages per segment. A
-    torn tail fails the job, or ends the segment's frames under ``PERMISSIVE``.
+    torn tail fails the job. Under ``PERMISSIVE`` it is the segment's last frame, length bytes
+    included, which no message begins with, so decoding marks it as corrupt.
     """
     fail_fast = mode == "FAILFAST"
     kept = [f for f in files.schema.fields if f.name != content]
@@ -86,6 +95,7 @@ def split_frames(files: DataFrame, content: str = "content", mode: str = "FAILFA
                         if length < LENGTH_BYTES or at + length > size:
                             if fail_fast:
                                 raise ValueError(f"torn frame {number + len(frames)} at byte {at} of {size}")
+                            frames.append(view[at:size])
                             at = size
                         else:
                             frames.append(view[at + LENGTH_BYTES : at + length])

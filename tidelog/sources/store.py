@@ -23,7 +23,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.functions.types import as_text, typed
+from tidelog.functions.types import as_text, strictly_typed
 from tidelog.operators.segments import segment_stats
 from tidelog.schema import CHANGES, NAME_HISTORY, SEGMENTS, SNAPSHOTS
 
@@ -111,10 +111,11 @@ def write_snapshot(df: DataFrame, relation: Row, start_lsn: int, root: str) -> s
 
 
 def read_snapshot(spark: SparkSession, snapshot: Row, text: bool = False) -> DataFrame:
-    """Rows of one snapshot, typed or in text form."""
+    """Rows of one snapshot in text form, or typed; then a text without a value of its type
+    fails the job (``typed_or_text`` keeps such columns as text)."""
     columns = snapshot["relation"]["columns"]
     rows = spark.read.parquet(snapshot["path"])
-    return rows if text else typed(rows, columns, errors=None)
+    return rows if text else strictly_typed(rows, columns)
 
 
 def read_snapshots(spark: SparkSession, root: str) -> DataFrame | None:
@@ -198,7 +199,9 @@ def delete_directories(spark: SparkSession, paths: Sequence[str]) -> None:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for path in paths:
         target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
+        files = target.getFileSystem(conf)
+        if not files.delete(target, True) and files.exists(target):
+            raise OSError(f"could not delete {path}")
 
 
 def empty_changes(spark: SparkSession) -> DataFrame:
