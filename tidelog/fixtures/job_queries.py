@@ -6,6 +6,7 @@ tables and reads the result back.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -383,6 +384,41 @@ def stream_idle(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("relation_oid", as_micros(F.col("idle_since")).alias("idle_us"), "messages", "max_lsn")
 
 
+@query(
+    "stream_idle_clock",
+    with_fixtures("chg", body="SELECT relation_oid, count(*) AS messages, max(final_lsn) AS max_lsn FROM chg GROUP BY relation_oid"),
+)
+def stream_idle_clock(spark: SparkSession, sf: str) -> DataFrame:
+    """The log arrives and nothing follows; every table is told idle by the clock."""
+    work = scratch_dir(spark, "stream")
+    log = cut_lineage(t.chg(spark, sf).select("relation_oid", "final_lsn"))
+    tables = log.select("relation_oid").distinct().count()
+    log.write.parquet(f"{work}/in")
+    idle = live.stream_idle_by_clock(spark.readStream.schema(log.schema).parquet(f"{work}/in"), 2000)
+    running = (
+        idle.writeStream.format("parquet").option("path", f"{work}/out").option("checkpointLocation", f"{work}/checkpoint")
+        .outputMode("append").trigger(processingTime="1 second").start()
+    )
+    try:
+        told, until = 0, time.monotonic() + 300
+        while told < tables and time.monotonic() < until and running.isActive:
+            time.sleep(0.5)
+            if any(p.numInputRows for p in running.recentProgress):
+                told = spark.read.schema(idle.schema).parquet(f"{work}/out").count()
+    finally:
+        running.stop()
+    return spark.read.schema(idle.schema).parquet(f"{work}/out")
+
+
+@query("stream_flush_lsn", with_fixtures("chg", body="SELECT max(final_lsn) - 1 AS flush_lsn FROM chg"))
+def stream_flush_lsn(spark: SparkSession, sf: str) -> DataFrame:
+    """The last transaction is still open when the ingest stops."""
+    landing, root = scratch_dir(spark, "landing"), scratch_dir(spark, "archive")
+    land(spark, t.messages(t.chg(spark, sf)), landing, 2)
+    ing.ingest(spark, landing, root, f"{root}/checkpoint").awaitTermination()
+    return live.stream_flush_lsn(spark, root)
+
+
 @query(
     "stream_metrics",
     with_fixtures(

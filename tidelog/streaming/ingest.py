@@ -227,7 +227,14 @@ def next_state(rows: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def read_state(spark: SparkSession, root: str, before_batch: int) -> DataFrame:
-    """State the given batch starts from: the newest one stored by an earlier batch."""
+    """State the given batch starts from: the newest one stored by an earlier batch.
+
+    As a rule that is the batch just before, whose path is opened directly."""
+    try:
+        return spark.read.schema(STATE).parquet(f"{root}/ingest_state/batch_id={before_batch - 1}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
     try:
         states = spark.read.option("basePath", f"{root}/ingest_state").parquet(f"{root}/ingest_state")
     except AnalysisException as e:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
+from tidelog.operators import state
 from tidelog.operators.render import inspect as inspect_lines
 from tidelog.plans import jobs
+from tidelog.streaming import ingest as ing
 
 
 def stream_segments(changes: DataFrame, gap: str, delay: str, ts: str = "commit_ts", lsn: str = "final_lsn") -> DataFrame:
@@ -30,6 +34,48 @@ def stream_idle_tables(changes: DataFrame, idle: str, delay: str, ts: str = "com
     return closed.select("relation_oid", F.col("closed_at").alias("idle_since"), "messages", "max_lsn")
 
 
+def stream_idle_by_clock(changes: DataFrame, idle_ms: int, lsn: str = "final_lsn") -> DataFrame:
+    """One row each time a table has changed and then sent nothing for ``idle_ms`` of wall clock.
+
+    Event time stands still when a whole database goes quiet; a processing-time timer per
+    table fires all the same. State is one count and one position per table. Needs a
+    processing-time trigger, so that batches run without new data."""
+    kind = dict(changes.dtypes)["relation_oid"]
+
+    def run(key, chunks, held):
+        if held.hasTimedOut:
+            messages, max_lsn = held.get
+            held.remove()
+            yield pd.DataFrame({"relation_oid": [key[0]], "messages": [messages], "max_lsn": [max_lsn]})
+            return
+        messages, max_lsn = held.get if held.exists else (0, 0)
+        for chunk in chunks:
+            messages += len(chunk)
+            newest = chunk[lsn].max()
+            if pd.notna(newest):
+                max_lsn = max(max_lsn, int(newest))
+        held.update((messages, max_lsn))
+        held.setTimeoutDuration(idle_ms)
+
+    return (
+        changes.select("relation_oid", F.col(lsn).cast("bigint").alias(lsn))
+        .groupBy("relation_oid")
+        .applyInPandasWithState(
+            run, f"relation_oid {kind}, messages bigint, max_lsn bigint", "messages bigint, max_lsn bigint",
+            "append", GroupStateTimeout.ProcessingTimeTimeout,
+        )
+    )
+
+
+def stream_flush_lsn(spark: SparkSession, root: str, before_batch: int | None = None) -> DataFrame:
+    """Position up to which an ingest has stored every transaction of every table: just before
+    the first one that is still open, else the newest commit. One row, null before any commit."""
+    known = ing.read_state(spark, root, 1 << 62 if before_batch is None else before_batch)
+    return state.global_flush_lsn(
+        known.select(F.col("open_lsn").alias("first_buffered_lsn"), F.col("committed_lsn").alias("final_lsn"))
+    )
+
+
 def stream_metrics(changes: DataFrame) -> DataFrame:
     """Running messages and bytes by relation and type, and the newest commit seen. State is
     one row per relation and type."""
