@@ -152,7 +152,7 @@ def build(model: Model):
         # No piece runs across the start of a word, so words can be encoded, and cached, alone.
         tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
     strip = [decoders.Strip(" ", 1, 0)] if model.dummy_prefix else []
-    tokenizer.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *strip])
+    tokenizer.decoder = decoders.Sequence([decoders.ByteFallback(), decoders.Fuse(), decoders.Replace(MARK, " "), *strip])
     return tokenizer
 
 
