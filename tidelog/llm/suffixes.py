@@ -26,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.registry import bounded, documents, query
+from tidelog.llm.registry import documents, query
 from tidelog.session import cut_lineage
 
 WIDTH, GRAM = 200, 64
@@ -137,7 +137,9 @@ def cut_contexts(listed: DataFrame, width: int) -> DataFrame:
         if held:
             yield flush()
 
-    return listed.select(*KEY, "text", "anchors").mapInArrow(run, schema)
+    # The id is not needed here, but with it the shuffled texts are those that the end of the
+    # job joins again, and Spark shuffles them once.
+    return listed.select("doc_id", *KEY, "text", "anchors").mapInArrow(run, schema)
 
 
 # ---------------------------------------------------------------- deep-shallow sorting
@@ -297,10 +299,17 @@ def _sorted_part(table: pa.Table, width: int) -> Iterator[pa.RecordBatch]:
             [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["k1", "k2", "from", "to"])
 
 
+def runs_of(nths: Column, width: int) -> Column:
+    """Sorted window numbers as byte intervals, one per run of neighbours."""
+    begins = F.filter(nths, lambda n: ~F.array_contains(nths, n - 1))
+    ends = F.filter(nths, lambda n: ~F.array_contains(nths, n + 1))
+    return F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("from"), (b + width).alias("to")))
+
+
 def count_windows(contexts: DataFrame, width: int) -> DataFrame:
     """The same for grams too common for one task: distinct contexts are spread window by window
     and the windows counted."""
-    each = cut_lineage(contexts.withColumn("context_hash", F.unhex(F.md5("context"))))
+    each = contexts.withColumn("context_hash", F.unhex(F.md5("context")))
     distinct = each.groupBy("gram", "at", "context_hash").agg(F.sum(F.size("members")).alias("weight"), F.max("context").alias("context"))
     spread = distinct.select(
         "gram", "at", "context_hash", "weight",
@@ -308,14 +317,13 @@ def count_windows(contexts: DataFrame, width: int) -> DataFrame:
             F.sequence(F.lit(1), F.octet_length("context") - (width - 1)), lambda i: F.unhex(F.md5(F.substring("context", i, F.lit(width))))
         )).alias("nth", "window"),
     )
-    spread = cut_lineage(spread)
-    twice = cut_lineage(spread.groupBy("gram", "window").agg(F.sum("weight").alias("n")).where("n > 1").select("gram", "window"))
-    hits = spread.join(bounded(twice), ["gram", "window"], "left_semi").groupBy("gram", "at", "context_hash").agg(F.collect_set("nth").alias("nths"))
-    # Single windows as intervals: the merge at the end joins them.
+    twice = spread.groupBy("gram", "window").agg(F.sum("weight").alias("n")).where("n > 1").select("gram", "window")
+    hits = spread.join(twice, ["gram", "window"], "left_semi").groupBy("gram", "at", "context_hash").agg(F.collect_set("nth").alias("nths"))
     return (
-        each.join(bounded(cut_lineage(hits)), ["gram", "at", "context_hash"])
-        .select(F.explode("members").alias("m"), "nths").select("m.*", F.explode("nths").alias("nth"))
-        .select("k1", "k2", (F.col("first") + F.col("nth")).alias("from"), (F.col("first") + F.col("nth") + width).alias("to"))
+        each.select("gram", "at", "context_hash", "members").join(hits, ["gram", "at", "context_hash"])
+        .withColumn("runs", runs_of(F.array_sort("nths"), width))
+        .select(F.explode("members").alias("m"), "runs").select("m.*", F.inline("runs"))
+        .select("k1", "k2", (F.col("first") + F.col("from")).alias("from"), (F.col("first") + F.col("to")).alias("to"))
     )
 
 
@@ -346,7 +354,8 @@ def remove_repeats(
     keyed = docs.select(
         F.xxhash64(F.col(id_col).cast("string")).alias("k1"), F.xxhash64(text).alias("k2"), F.col(id_col).alias("doc_id"), text.alias("text")
     )
-    places = cut_lineage(find_anchors(keyed, width, gram))
+    # Found twice rather than stored: the rows outweigh the work.
+    places = find_anchors(keyed, width, gram)
     repeated = cut_lineage(places.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"))
     found = places.join(repeated, "gram")
 
