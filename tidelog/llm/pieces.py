@@ -28,6 +28,8 @@ MODEL = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers") + "/piece_bpe_32k.mod
 MARK = "▁"
 #: Characters handled at a time, a longer text alone.
 CHARS = 1 << 20
+#: Threads that encode for one task.
+THREADS = 2
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
 
@@ -157,9 +159,11 @@ def build(model: Model):
 
 
 @functools.lru_cache(maxsize=2)
-def loaded(raw: bytes):
-    """(tokenizer, sentencepiece processor) of a model, once per Python worker."""
+def loaded(raw: bytes, threads: int = THREADS):
+    """(tokenizer, sentencepiece processor) of a model, once per Python worker. The thread pool
+    is sized before its first use: idle threads of a larger one cost more than they bring."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+    os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
     import sentencepiece
 
     return build(parse(raw)), sentencepiece.SentencePieceProcessor(model_proto=raw)
@@ -170,7 +174,7 @@ def loaded(raw: bytes):
 
 def encode_batch(raw: bytes, texts: list[str], threads: int) -> tuple[list[list[int]], list[bool]]:
     """(ids, whether both libraries agree) of each text."""
-    tokenizer, processor = loaded(raw)
+    tokenizer, processor = loaded(raw, threads)
     own = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     model = processor.encode(texts, num_threads=threads)
     return model, [a == b for a, b in zip(own, model)]
@@ -196,7 +200,7 @@ def _model_bytes(path: str) -> bytes:
 
 
 def encode(
-    docs: DataFrame, text_col: str = "text", *, model: str = MODEL, carry: list[str] | None = None, threads: int = 2, digest: bool = False
+    docs: DataFrame, text_col: str = "text", *, model: str = MODEL, carry: list[str] | None = None, threads: int = THREADS, digest: bool = False
 ) -> DataFrame:
     """The ``carry`` columns (all by default) with ``n_tokens``, ``ids`` and ``parity`` (both
     libraries agree); with ``digest`` the SHA-256 of the ids as 32-bit little-endian numbers and
@@ -219,7 +223,7 @@ def encode(
                 out = [batch.column(c).slice(first, len(texts)) for c in carry]
                 out += [pa.array([len(i) for i in ids], pa.int64()), pa.array(parity)]
                 if digest:
-                    decoded = loaded(raw)[0].decode_batch(ids, skip_special_tokens=False)
+                    decoded = loaded(raw, threads)[0].decode_batch(ids, skip_special_tokens=False)
                     out.append(pa.array([hashlib.sha256(np.array(i, "<i4").tobytes()).hexdigest() for i in ids]))
                     out.append(pa.array([a == b for a, b in zip(decoded, texts)]))
                 else:
