@@ -2,7 +2,7 @@
 
 import random
 
-COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, score double, shard int, size long"
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, score double, shard int, size long, runs int, id string, weight int, proposed string"
 
 
 def rows(seed=1, n=60):
@@ -19,7 +19,7 @@ def rows(seed=1, n=60):
     out += [(100, out[3][1], "en", "a", 1), (101, out[3][1], None, None, None), (102, None, "en", "a", 0), (103, "", None, "b", 0)]
     out += [(104, " ".join(vocabulary) * 40, "en", "a", 9), (105, "x" * 30_000, "en", "b", 9), (106, "a b c\n" * 400, "en", "b", 9)]
     out += [out[7], (None, "no id at all", "en", "a", 3), (None, out[5][1], "en", "a", 3), (107, out[5][1] + " end", "en", "a", 3)]
-    return [(*r, False, 0.25, 7, 9) for r in out]
+    return [(*r, False, 0.25, 7, 9, 4, "own", 5, "mine") for r in out]
 
 
 def table(spark, **options):

@@ -41,7 +41,7 @@ def test_colliding_hashes_are_told_apart(spark):
 def test_drop_exact_duplicates(spark):
     docs = table(spark)
     kept = exactdup.drop_exact_duplicates(docs)
-    assert kept.columns == docs.columns
+    assert kept.columns == docs.columns and {(r.kept, r.id) for r in kept.collect()} == {(False, "own")}
     texts = Counter(r.text or "" for r in kept.collect())
     assert set(texts) == set(expected_groups(docs.collect()))
     assert {t for t, n in texts.items() if n > 1} == {docs.where("doc_id = 7").first().text}  # one row twice
@@ -84,7 +84,7 @@ def test_mix(spark):
 def test_mixed_documents(spark):
     docs = table(spark)
     mixed = mixing.mixed_documents(docs)
-    assert mixed.columns == docs.columns
+    assert mixed.columns == docs.columns and {(r.size, r.weight) for r in mixed.collect()} == {(9, 5)}
     words = sum(len(WORD.findall(r.text or "")) for r in mixed.collect())
     wanted = 1.5 * sum(len(WORD.findall(r.text or "")) for r in docs.collect())
     assert abs(words - wanted) < 0.2 * wanted

@@ -138,6 +138,7 @@ def test_personal_data_edges(spark):
     docs = table(spark, n=20)
     judge = privacy.fit_judge(docs)
     assert judge.cuts == (float("inf"),) * 4  # nothing proposed, nothing added
+    assert {r.proposed for r in privacy.find_personal_data(docs, judge).collect()} == {"mine"}
     assert privacy.find_personal_data(docs, judge).count() == docs.count()
     assert privacy.find_personal_data(empty(spark), judge).collect() == []
 
@@ -187,6 +188,7 @@ def test_lines(spark):
     got = {r.doc_id: r.text or "" for r in found.collect()}
     assert got == without_repeated_lines([(r.doc_id, r.text) for r in docs.collect()])
     assert found.agg(F.sum("n_removed")).first()[0] > 400
+    assert {(r.runs, r.id) for r in found.collect()} == {(4, "own")}
     assert lines.dedup_lines(empty(spark)).collect() == []
 
 

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.registry import bounded, documents, query
+from tidelog.llm.registry import bounded, documents, query, set_aside
 from tidelog.session import cut_lineage
 
 MARKS = ("keep_id", "group_size", "kept")
@@ -80,7 +80,8 @@ def exact_duplicates(
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, keep: str = "smallest"):
     """The documents that stay, with the columns they came with."""
-    return exact_duplicates(docs, id_col, text_col, keep=keep).where("kept").select(*docs.columns)
+    plain, columns = set_aside(docs, MARKS)
+    return exact_duplicates(plain, id_col, text_col, keep=keep).where("kept").select(*columns)
 
 
 @query(

@@ -78,20 +78,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.drop(*ADDED)
     runs = cut_lineage(covered_runs(cut_lineage(windows(docs, id_col, text_col, width)), width))
     total = runs.agg(F.sum(F.size("runs"))).first()[0] or 0
+    runs = runs.withColumnsRenamed({"id": "__run_id", "digest": "__run_digest", "runs": "__runs"})
     marked = docs.withColumns({"__id": F.col(id_col), "__digest": F.xxhash64(F.coalesce(text_col, F.lit("")))})
     joined = marked.join(
         F.broadcast(runs) if total <= BROADCAST_ROWS else runs,
-        F.col("__id").eqNullSafe(F.col("id")) & (F.col("__digest") == F.col("digest")),
+        F.col("__id").eqNullSafe(F.col("__run_id")) & (F.col("__digest") == F.col("__run_digest")),
         "left",
     ).withColumn("__lines", lines_of(text_col))
-    removed = F.aggregate("runs", F.lit(0), lambda n, r: n + r["to"] - r["from"] + 1)
+    removed = F.aggregate("__runs", F.lit(0), lambda n, r: n + r["to"] - r["from"] + 1)
     return joined.select(
         *[F.col(c) if c != text_col else
-          F.when(F.col("runs").isNull(), F.col(c)).otherwise(F.array_join(without_runs(F.col("__lines"), F.col("runs")), "\n")).alias(c)
+          F.when(F.col("__runs").isNull(), F.col(c)).otherwise(F.array_join(without_runs(F.col("__lines"), F.col("__runs")), "\n")).alias(c)
           for c in docs.columns],
         F.size("__lines").cast("bigint").alias("n_lines"),
         F.coalesce(removed, F.lit(0)).cast("bigint").alias("n_removed"),
-        F.coalesce(F.size("runs"), F.lit(0)).cast("bigint").alias("n_runs"),
+        F.coalesce(F.size("__runs"), F.lit(0)).cast("bigint").alias("n_runs"),
     )
 
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.registry import documents, query
+from tidelog.llm.registry import documents, query, set_aside
 
 BUCKETS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
@@ -108,7 +108,7 @@ def mix(
     cells = (
         cells.withColumn("__before", F.coalesce(F.sum("__cell").over(running), F.lit(0).cast("bigint")))
         .join(sources, ["__none", "__source"])
-        .drop("__cell")
+        .drop("__cell", "weight")
     )
     inside = Window.partitionBy(*cell).orderBy("__draw", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     epochs = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -125,8 +125,9 @@ def mix(
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as often as it is taken, with the columns it came with."""
-    found = mix(docs, carry=True, **options).where("copies > 0")
-    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select(*docs.columns)
+    plain, columns = set_aside(docs, ADDED)
+    found = mix(plain, carry=True, **options).where("copies > 0")
+    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select(*columns)
 
 
 @query(

@@ -35,3 +35,10 @@ def bounded(table: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
     Beyond the bound it stays unmarked, and joins shuffle."""
     return F.broadcast(table) if table.count() <= most else table
+
+
+def set_aside(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, list]:
+    """``docs`` with columns of the given names renamed, and what to select to have all of its
+    columns back: for operators that add columns of those names and give them up again."""
+    clash = {c: f"__own_{c}" for c in docs.columns if c in names}
+    return docs.withColumnsRenamed(clash), [F.col(clash.get(c, c)).alias(c) for c in docs.columns]
