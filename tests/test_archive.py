@@ -190,7 +190,8 @@ def test_restore_purge_and_compaction_agree(spark, root):
     for lsn in (8000, 16000):
         assert restored(lsn) == wanted[lsn]
     assert jobs.purge(spark, root).isEmpty()
-    jobs.compact(spark, root, OID)
+    plan = spark.createDataFrame([(OID,), (OID + 1,)], "relation_oid bigint")
+    assert jobs.compact_due(spark, root, plan) == {OID: 16000}
     assert store.latest_snapshot(spark, root, OID)["start_lsn"] == 16000
     assert store.latest_snapshot(spark, root, OID, 15999)["start_lsn"] == 8000
     assert table(jobs.restore(spark, root, "public", "test")) == wanted[16000]

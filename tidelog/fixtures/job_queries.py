@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidelog.fixtures import tables as t
 from tidelog.fixtures.catalog_queries import INSPECT_SQL, publication
 from tidelog.fixtures.oracles import with_fixtures
-from tidelog.fixtures.registry import query
+from tidelog.fixtures.registry import ORACLES, QUERIES, query
 from tidelog.functions.lsn import as_micros
 from tidelog.operators import catalog, segments, transactions
 from tidelog.plans import jobs
@@ -49,13 +49,13 @@ def _union(parts: Iterator[DataFrame]) -> DataFrame:
     return out
 
 
-def _restored(spark: SparkSession, root: str, **options) -> DataFrame:
-    """All tables of the archive, restored one by one."""
+def _restored(spark: SparkSession, root: str, tables: list | None = None, **options) -> DataFrame:
+    """All tables of the archive (or the given ones), restored one by one."""
     return _union(
         jobs.restore_table(spark, root, r["relation_oid"], **options).rows.withColumn(
             "relation_oid", F.lit(r["relation_oid"])
         )
-        for r in _tables(spark, root)
+        for r in tables or _tables(spark, root)
     )
 
 
@@ -106,6 +106,39 @@ def compact(spark: SparkSession, sf: str) -> DataFrame:
     return _snapshots(spark, root)
 
 
+@query("purge", with_fixtures("done_image", body=_BY_OID.format(image="done_image")))
+def purge(spark: SparkSession, sf: str) -> DataFrame:
+    """Two batches, snapshots at the end of the first, a real purge of it: restores do not change."""
+    root = scratch_dir(spark, "archive")
+    changes = t.chg(spark, sf)
+    log = cut_lineage(t.messages(changes))
+    cut = (changes.agg(F.max("final_lsn")).first()[0] or 0) // 16 * 8
+    first = F.col("pos") <= cut * 100 + 50
+    for batch, rows in enumerate((log.where(first), log.where(~first))):
+        ing.store_batch(rows, batch, root, MESSAGES_PER_SEGMENT)
+    tables = _tables(spark, root)
+    for r in tables:
+        jobs.compact(spark, root, r["relation_oid"], cut)
+    gone = jobs.purge(spark, root, dry_run=False)
+    if gone.count() != len(tables):
+        raise ValueError("every table's first batch is superseded and must go")
+    # The first schema messages are gone with it; the snapshots hold the schema now.
+    return _restored(spark, root, tables)
+
+
+@query("table_state_stored", ORACLES["table_state"])
+def table_state_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The state of all tables, stored over an older version and read back."""
+    root = scratch_dir(spark, "archive")
+    current = cut_lineage(QUERIES["table_state"](spark, sf))
+    older = current.select(*[
+        (F.col(c) if c == "relation_oid" else F.lit(None).cast(kind)).alias(c) for c, kind in current.dtypes
+    ])
+    store.write_table_state(older, root)
+    store.write_table_state(current, root)
+    return store.read_table_state(spark, None, root)
+
+
 def _snapshots(spark: SparkSession, root: str) -> DataFrame:
     """Rows of the newest snapshot of every table, through the manifest."""
     rows = store.latest_snapshots(store.read_snapshots(spark, root)).collect()

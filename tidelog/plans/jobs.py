@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -288,6 +289,8 @@ def restore(
 def compact(spark: SparkSession, root: str, oid: int, upto_lsn: int | None = None) -> int:
     """Write a new snapshot from the last one and the changes up to a committed position."""
     log = store.read_changes(spark, root, oid)
+    if log is None:
+        raise LookupError(f"no changes of table {oid}")
     commits = log.where("msg_type = 'commit' and final_lsn is not null")
     if upto_lsn is not None:
         commits = commits.where(F.col("final_lsn") <= upto_lsn)
@@ -299,11 +302,36 @@ def compact(spark: SparkSession, root: str, oid: int, upto_lsn: int | None = Non
     return start_lsn
 
 
-def initial_base(spark: SparkSession, relations: Sequence[Row], read_table, start_lsn: int, root: str) -> DataFrame:
+def _side_by_side(run, items: Sequence, at_once: int) -> list:
+    """Spark jobs of several tables at a time; the first failure is raised when all have ended."""
+    with ThreadPoolExecutor(max(1, at_once)) as pool:
+        return list(pool.map(run, items))
+
+
+def compact_due(spark: SparkSession, root: str, plan: DataFrame, at_once: int = 5) -> dict[int, int]:
+    """Carry out a snapshot plan (see ``state.compaction_plan``): new snapshots of its tables,
+    several at a time. Position of each one; tables without a committed change are left out.
+
+    Meant to run beside an ingest, not inside its batches. A plan has one row per table that
+    is due, and a limit of its own."""
+
+    def one(oid: int) -> int | None:
+        try:
+            return compact(spark, root, oid)
+        except LookupError:
+            return None
+
+    oids = [r["relation_oid"] for r in plan.select("relation_oid").collect()]
+    return {oid: lsn for oid, lsn in zip(oids, _side_by_side(one, oids, at_once)) if lsn is not None}
+
+
+def initial_base(
+    spark: SparkSession, relations: Sequence[Row], read_table, start_lsn: int, root: str, at_once: int = 5
+) -> DataFrame:
     """A first snapshot of every table of a publication. ``read_table(relation)`` gives the
-    table's rows, e.g. from ``spark.read.jdbc``; every table is a Spark job of its own."""
-    for relation in relations:
-        store.write_snapshot(read_table(relation), relation, start_lsn, root)
+    table's rows, e.g. from ``spark.read.jdbc``; every table is a Spark job of its own, and
+    ``at_once`` of them run side by side."""
+    _side_by_side(lambda r: store.write_snapshot(read_table(r), r, start_lsn, root), relations, at_once)
     return store.read_snapshots(spark, root)
 
 

@@ -15,6 +15,7 @@ a repeated batch replaces itself. A snapshot counts only once its manifest row i
 
 from __future__ import annotations
 
+import threading
 import time
 import uuid
 from collections.abc import Sequence
@@ -28,6 +29,9 @@ from tidelog.operators.segments import segment_stats
 from tidelog.schema import CHANGES, NAME_HISTORY, SEGMENTS, SNAPSHOTS
 
 
+_MANIFEST = threading.Lock()
+
+
 def _read(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
     """Parquet below ``path``, or None where nothing was written yet."""
     reader = spark.read.option("basePath", path)
@@ -106,7 +110,9 @@ def write_snapshot(df: DataFrame, relation: Row, start_lsn: int, root: str) -> s
     entry = spark.createDataFrame(
         [(oid, start_lsn, None, time.time() - began, row, path)], SNAPSHOTS
     ).withColumn("created_at", F.current_timestamp())
-    entry.coalesce(1).write.mode("append").parquet(f"{root}/snapshots")
+    # Jobs of several tables may run side by side; two commits into one directory must not.
+    with _MANIFEST:
+        entry.coalesce(1).write.mode("append").parquet(f"{root}/snapshots")
     return path
 
 
