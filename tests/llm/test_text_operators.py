@@ -47,6 +47,18 @@ def test_thresholds_follow_the_group(spark):
     assert all(found.values())
 
 
+def test_share_cutoffs_follow_the_upper_tail(spark):
+    shares = [r.name for r in rules.RULES if not r.both]
+    value = lambda group, i: 0.0 if group == "even" or i % 5 < 3 else 0.05 + i / 2000
+    table = [("en", g, *[value(g, i)] * len(shares), 5.0) for g in ("even", "tail") for i in range(200)]
+    stats = spark.createDataFrame(table, ", ".join(["__lang string", "__source string", *[f"{n} double" for n in shares], "mean_word double"]))
+    found = {r["__source"]: r for r in rules.fences(stats, rules.RULES, 100).collect()}
+    for r in rules.RULES:
+        if not r.both:
+            assert found["even"][f"{r.name}_high"] == r.least
+            assert found["tail"][f"{r.name}_high"] > 2 * r.least
+
+
 def test_sketch_quantiles(spark):
     values = [(float(v),) for v in np.random.default_rng(3).lognormal(0, 2, 4000)] + [(0.0,)] * 50
     sketch = rules.sketches(spark.createDataFrame(values, "v double").repartition(5), [], ["v"])

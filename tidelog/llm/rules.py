@@ -7,8 +7,10 @@ so sketches merge by summing: across tasks (map-side combined), and from (langua
 language to everything, which serves groups too small to speak for themselves. Being counts,
 they give the same thresholds in every run.
 
-A rule rejects what lies beyond a fence around the group's median. The fence's width is
-measured on the lower half of the group, so junk spoils it only once it is the majority.
+A rule rejects what lies beyond a fence. The upper fence starts from a high quantile of the
+group and adds a multiple of its distance from the median; a lower fence does the same below.
+Shares are zero for most texts, so only their upper quantiles tell groups apart. Junk spoils an
+upper fence once it is more than ``1 - UPPER`` of the group.
 """
 
 from __future__ import annotations
@@ -27,13 +29,15 @@ ACCURACY = 0.01
 _LOG_BASE = math.log((1 + ACCURACY) / (1 - ACCURACY))
 #: Values below this count as zero, which has a bin of its own.
 SMALLEST = 1e-6
+#: Quantiles from which fences start.
+LOWER, UPPER = 0.15, 0.85
 _ZERO = -(2**31)
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A ratio of two counts, and how far from the median it may lie: ``widths`` times the
-    distance from the lower quartile to the median, or ``least`` if that is more."""
+    """A ratio of two counts, and how far beyond the outer quantile it may lie: ``widths`` times the
+    distance from the median to that quantile, or ``least`` if that is more."""
 
     name: str
     over: str
@@ -45,9 +49,9 @@ class Rule:
 
 RULES = (
     Rule("symbol_share", "n_symbols", "word_chars", 0.03),
-    Rule("dup_line_share", "n_dup_lines", "n_lines", 0.45),
-    Rule("repeat_share", "n_repeat_words", "n_words", 0.35),
-    Rule("mean_word", "word_chars", "n_words", 1.75, both=True),
+    Rule("dup_line_share", "n_dup_lines", "n_lines", 0.2),
+    Rule("repeat_share", "n_repeat_words", "n_words", 0.05),
+    Rule("mean_word", "word_chars", "n_words", 0.5, widths=3.0, both=True),
 )
 
 
@@ -89,23 +93,24 @@ def quantiles(sketch: DataFrame, keys: list[str], ranks: dict[str, float]) -> Da
 def fences(stats: DataFrame, rules: tuple[Rule, ...], fewest: int) -> DataFrame:
     """(lang, source, ``<rule>_low``, ``<rule>_high``): a group with fewer than ``fewest`` rows
     takes the fences of its language, a language with too few those of all rows."""
-    ranks = {"low": 0.25, "mid": 0.5}
+    ranks = {"low": LOWER, "mid": 0.5, "top": UPPER}
     fine = cut_lineage(sketches(stats, ["__lang", "__source"], [r.name for r in rules]))
     coarse = merged(fine, ["__lang"])
     chosen = quantiles(fine, ["__lang", "__source"], ranks)
-    by_lang = quantiles(coarse, ["__lang"], ranks).select("__lang", "metric", *[F.col(c).alias(f"{c}_l") for c in ("total", "low", "mid")])
-    overall = quantiles(merged(coarse, []), [], ranks).select("metric", *[F.col(c).alias(f"{c}_a") for c in ("total", "low", "mid")])
+    by_lang = quantiles(coarse, ["__lang"], ranks).select("__lang", "metric", *[F.col(c).alias(f"{c}_l") for c in ("total", *ranks)])
+    overall = quantiles(merged(coarse, []), [], ranks).select("metric", *[F.col(c).alias(f"{c}_a") for c in ("total", *ranks)])
     both = chosen.join(by_lang, ["__lang", "metric"]).join(overall, "metric")
     pick = lambda c: (
         F.when(F.col("total") >= fewest, F.col(c)).when(F.col("total_l") >= fewest, F.col(f"{c}_l")).otherwise(F.col(f"{c}_a"))
     )
-    both = both.select("__lang", "__source", "metric", pick("low").alias("low"), pick("mid").alias("mid"))
+    both = both.select("__lang", "__source", "metric", *[pick(c).alias(c) for c in ranks])
     made = []
     for rule in rules:
-        width = F.greatest((F.col("mid") - F.col("low")) * rule.widths, F.lit(rule.least))
+        beyond = lambda spread: F.greatest(spread * rule.widths, F.lit(rule.least))
+        above, below = beyond(F.col("top") - F.col("mid")), beyond(F.col("mid") - F.col("low"))
         here = F.col("metric") == rule.name
-        made.append(F.max(F.when(here, F.col("mid") + width)).alias(f"{rule.name}_high"))
-        made.append(F.max(F.when(here & F.lit(rule.both), F.col("mid") - width)).alias(f"{rule.name}_low"))
+        made.append(F.max(F.when(here, F.col("top") + above)).alias(f"{rule.name}_high"))
+        made.append(F.max(F.when(here & F.lit(rule.both), F.col("low") - below)).alias(f"{rule.name}_low"))
     return both.groupBy("__lang", "__source").agg(*made)
 
 
