@@ -113,7 +113,9 @@ def _cliques(members: DataFrame, angle: float) -> DataFrame:
     near = math.cos(angle / 2 - 1e-6)
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
     close = dot(F.col("vec"), F.col("mean")) >= near * F.sqrt(dot(F.col("vec"), F.col("vec"))) * F.sqrt(dot(F.col("mean"), F.col("mean")))
-    found = members.join(bounded(cut_lineage(means), MEANS), _BUCKET).where(close)
+    largest = F.array_max(F.transform("vec", F.abs)).cast("double")
+    scaled = members.withColumn("vec", F.transform("vec", lambda x: x / largest))
+    found = scaled.join(bounded(cut_lineage(means), MEANS), _BUCKET).where(close)
     return cut_lineage(found.groupBy("k").agg(F.min(F.struct(*_BUCKET)).alias("clique")))
 
 
