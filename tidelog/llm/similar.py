@@ -9,13 +9,18 @@ value sieve out documents that can have no near copy, since too few of theirs st
 other prefix; for the rest the order is rarest first, so passages that many documents share come
 last and rarely name a pair.
 
-Dense groups stay cheap: the index reports a forest, every shared shingle a star, and only
-shingles whose documents are still in different components have their pairs listed.
+Dense groups stay cheap: the index reports a forest, and every shared shingle a star. Only
+shingles whose documents are still in different components are joined, a set as the smaller one
+of a pair by the first ninth of its shingles, as the larger one by the first fifth, and only as far
+as those that come after the shared one can still make up the overlap, and sketches of both
+sets do not rule it out. A passage that many documents share comes last in their order, so
+what passes is alike but for the last bits, and few such pairs are not linked by then.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +35,8 @@ from tidelog.session import cut_lineage
 SHINGLE = 5
 #: Differing bits of the links that the index proposes.
 DISTANCE = 4
+#: Bits of a set's sketch.
+SKETCH = 512
 
 
 def needed(n: int) -> int:
@@ -47,36 +54,45 @@ def extra(n: int) -> int:
     return max(1, head(n) // 2)
 
 
+def sketch(own: np.ndarray) -> list[int]:
+    """Per value of ``SKETCH`` low bits whether the set holds an odd number of such hashes, as longs.
+
+    Two sketches differ in no more bits than their sets differ in elements."""
+    odd = np.bincount(own.astype(np.int64) & (SKETCH - 1), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8").tolist()
+
+
 def _hashed(docs: DataFrame, id_col: str, text_col: str, whole: bool) -> DataFrame:
     """Per row: id, ``node`` (names the set), ``n``, ``fp``, ``least``, ``hashes``: the set, or the sieve's prefix, of which
-    ``least`` or more stand in the prefix of any similar set (whose size is ``needed(n)`` or more)."""
+    ``least`` or more stand in the prefix of any similar set (whose size is ``needed(n)`` or more); ``sketch`` of a whole set."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, prints, parts = [], [], [], []
+            nodes, sizes, prints, parts, sketches = [], [], [], [], []
             for t in batch.column(1):
                 hashes = shingle_hashes(t.as_py(), SHINGLE)
                 own = np.unique(hashes)
                 nodes.append(xxhash.xxh3_128_hexdigest(own.astype("<u8").tobytes(), SEED))
                 sizes.append(len(own))
                 prints.append(fold(hashes))
+                sketches.append(sketch(own) if whole else None)
                 parts.append((own if whole else own[: head(len(own)) + extra(len(own)) - 1]).view(np.int64))
             ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
             flat = np.concatenate([*parts, np.empty(0, np.int64)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(nodes, pa.string()), pa.array(sizes, pa.int32()),
                  pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array([extra(needed(n)) for n in sizes], pa.int32()),
-                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                ["doc_id", "node", "n", "fp", "least", "hashes"],
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(sketches, pa.list_(pa.int64()))],
+                ["doc_id", "node", "n", "fp", "least", "hashes", "sketch"],
             )
 
-    return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['doc_id']}, node string, n int, fp long, least int, hashes array<long>")
+    return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['doc_id']}, node string, n int, fp long, least int, hashes array<long>, sketch array<long>")
 
 
-def _fits(a: Column, b: Column) -> Column:
-    """Whether sets of these sizes can overlap by 0.8."""
-    return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
+def _may_fit(n: Column, rest: Column, other_n: Column, other_rest: Column) -> Column:
+    """Whether sets of these sizes can overlap by 0.8 if they share a shingle from which on each has so many others to share."""
+    return 9 * F.least(rest, other_rest) >= 4 * (n + other_n)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -120,19 +136,19 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     each = sets.select("k", "n", F.explode("hashes").alias("h"))
     common = cut_lineage(each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
     shared = each.join(bounded(common), "h").groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("in_order"))
-    length = F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1 - (F.col("n") - F.size("in_order"))
-    keys = cut_lineage(
-        shared.where(length > 0).select("k", "n", F.explode(F.slice("in_order", F.lit(1), length.cast("int"))).alias("s"))
-        .select("k", "n", "s.h")
-    )
+    # From a shared shingle on, ``rest`` of a set's shingles stand in other sets at all: if it is the first
+    # that two sets share, they share ``rest`` at most. ``short`` marks what the smaller of two sets needs.
+    keys = shared.select("k", "n", F.size("in_order").alias("left"), F.posexplode("in_order").alias("at", "s"))
+    keys = keys.select("k", "n", "s.h", (F.col("left") - F.col("at")).alias("rest")).where("5 * rest >= 4 * n")
+    keys = cut_lineage(keys.withColumn("short", F.expr("9 * rest >= 8 * n")))
 
     # The index's forest and a star per shingle, confirmed.
     low = cut_lineage(nodes.groupBy("fp").agg(F.min("k").alias("low")))
     named = lambda x: low.select(F.col("fp").alias(x), F.col("low").alias(f"{x}_k"))
     index = links(low.select("fp"), DISTANCE).distinct().join(named("a"), "a").join(named("b"), "b")
     same = nodes.join(low, "fp")
-    centre = keys.groupBy("h").agg(F.min(F.struct("k", "n")).alias("c"))
-    star = keys.join(centre, "h").where(_fits(F.col("n"), F.col("c.n")))
+    centre = keys.where("short").groupBy("h").agg(F.min(F.struct("k", "n", "rest")).alias("c"))
+    star = keys.join(centre, "h").where(_may_fit(F.col("n"), F.col("rest"), F.col("c.n"), F.col("c.rest")))
     first = cut_lineage(
         index.select(*_pairs(F.col("a_k"), F.col("b_k")))
         .unionByName(same.select(*_pairs(F.col("k"), F.col("low"))))
@@ -142,16 +158,21 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     edges = _confirmed(first, sets)
     roots = components(edges).withColumnRenamed("node", "k")
 
-    # Every pair that shares a shingle of its prefixes and is not yet in one component.
-    placed = cut_lineage(
-        keys.join(roots, "k", "left").select("h", "k", "n", F.coalesce("root", "k").alias("root"))
-    )
-    split = placed.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("h")
-    open_ = cut_lineage(placed.join(split, "h", "left_semi"))
-    other = open_.select("h", F.col("k").alias("b"), F.col("n").alias("b_n"), F.col("root").alias("b_root"))
+    # What a star left apart: pairs of a smaller set and a larger one by their first shared shingle.
+    placed = cut_lineage(keys.join(roots, "k", "left").select("h", "k", "n", "rest", "short", F.coalesce("root", "k").alias("root")))
+    split = placed.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("short").alias("some")).where("some and r0 != r1").select("h")
+    open_ = placed.join(bounded(cut_lineage(split)), "h", "left_semi").join(full.select("k", "sketch"), "k")
+    open_ = cut_lineage(open_)
+    other = open_.select("h", *[F.col(c).alias(f"b_{c}") for c in ("k", "n", "rest", "root", "sketch")])
+    smaller = (F.col("n") < F.col("b_n")) | ((F.col("n") == F.col("b_n")) & (F.col("k") < F.col("b_k")))
+    apart = F.col("root") != F.col("b_root")
+    # Sets that overlap by 0.8 differ in a ninth of their sizes at most.
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("b_sketch")[i])) for i in range(SKETCH // 64)])
+    alike = 9 * differ <= F.col("n") + F.col("b_n")
     rest = (
-        open_.join(other, "h").where((F.col("k") < F.col("b")) & (F.col("root") != F.col("b_root")) & _fits(F.col("n"), F.col("b_n")))
-        .select(F.col("k").alias("a"), "b").distinct().join(first, ["a", "b"], "left_anti")
+        open_.where("short").join(other, "h")
+        .where(smaller & apart & _may_fit(F.col("n"), F.col("rest"), F.col("b_n"), F.col("b_rest")) & alike)
+        .select(*_pairs(F.col("k"), F.col("b_k"))).distinct().join(first, ["a", "b"], "left_anti")
     )
     more = _confirmed(rest, sets)
     if not more.isEmpty():
