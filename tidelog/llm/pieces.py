@@ -173,11 +173,10 @@ def loaded(raw: bytes, threads: int = THREADS):
 
 
 def encode_batch(raw: bytes, texts: list[str], threads: int) -> tuple[list[list[int]], list[bool]]:
-    """(ids, whether both libraries agree) of each text."""
+    """(ids, whether the sentencepiece library gives the same ones) of each text."""
     tokenizer, processor = loaded(raw, threads)
-    own = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-    model = processor.encode(texts, num_threads=threads)
-    return model, [a == b for a, b in zip(own, model)]
+    ids = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    return ids, [a == b for a, b in zip(ids, processor.encode(texts, num_threads=threads))]
 
 
 def _chunks(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
@@ -202,8 +201,8 @@ def _model_bytes(path: str) -> bytes:
 def encode(
     docs: DataFrame, text_col: str = "text", *, model: str = MODEL, carry: list[str] | None = None, threads: int = THREADS, digest: bool = False
 ) -> DataFrame:
-    """The ``carry`` columns (all by default) with ``n_tokens``, ``ids`` and ``parity`` (both
-    libraries agree); with ``digest`` the SHA-256 of the ids as 32-bit little-endian numbers and
+    """The ``carry`` columns (all by default) with ``n_tokens``, ``ids`` and ``parity`` (the
+    sentencepiece library gives the same ids); with ``digest`` the SHA-256 of the ids as 32-bit little-endian numbers and
     ``round_trip`` (the decoded ids are the text) instead of the ids.
 
     The model file is read on the driver and travels with the tasks. A null text is encoded as

@@ -32,6 +32,8 @@ from tidelog.session import cut_lineage
 MOST = 8192
 #: Members of a leaf of the index, and children of an upper node.
 FAN = 16
+#: Texts whose hashes a task holds at once.
+SLICE = 512
 SEED = 42
 ADDED = ("fingerprint", "component_id")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -71,7 +73,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, size: int) -> Data
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, len(whole), SLICE)):
             found = np.array([fold(shingle_hashes(t.as_py(), size)) for t in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.registry import bounded
-from tidelog.llm.simhash import SEED, components, fold, links, shingle_hashes
+from tidelog.llm.simhash import SEED, SLICE, components, fold, links, shingle_hashes
 from tidelog.session import cut_lineage
 
 SHINGLE = 5
@@ -68,7 +68,7 @@ def _hashed(docs: DataFrame, id_col: str, text_col: str, whole: bool) -> DataFra
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole_.slice(at, SLICE) for whole_ in batches for at in range(0, len(whole_), SLICE)):
             nodes, sizes, prints, parts, sketches = [], [], [], [], []
             for t in batch.column(1):
                 hashes = shingle_hashes(t.as_py(), SHINGLE)
@@ -77,7 +77,7 @@ def _hashed(docs: DataFrame, id_col: str, text_col: str, whole: bool) -> DataFra
                 sizes.append(len(own))
                 prints.append(fold(hashes))
                 sketches.append(sketch(own) if whole else None)
-                parts.append((own if whole else own[: head(len(own)) + extra(len(own)) - 1]).view(np.int64))
+                parts.append((own if whole else own[: head(len(own)) + extra(len(own)) - 1].copy()).view(np.int64))
             ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
             flat = np.concatenate([*parts, np.empty(0, np.int64)])
             yield pa.RecordBatch.from_arrays(
@@ -122,7 +122,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Low bits are enough to sieve: values that clash only let more rows through.
     heads = heads.withColumn("h", F.col("h").bitwiseAND(F.lit((1 << 40) - 1)))
     twice = cut_lineage(heads.groupBy("h").agg(F.count("*").alias("df")).where("df > 1").select("h"))
-    some = heads.join(bounded(twice), "h", "left_semi").groupBy("k", "least").agg(F.count("*").alias("met")).where("met >= least")
+    # Plain joins here, so that tables of any size take the same way.
+    some = heads.join(twice, "h", "left_semi").groupBy("k", "least").agg(F.count("*").alias("met")).where("met >= least")
     ids = rows.join(bounded(cut_lineage(some.select("k"))), "k", "left_semi").select(F.col("doc_id").alias(id_col)).distinct()
     ids = cut_lineage(ids.where(F.col(id_col).isNotNull()))
     asked = docs.select(id_col, text_col).join(bounded(ids), id_col, "left_semi")
@@ -135,7 +136,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Their prefixes with the rarest shingles first. Those that stand in one set only come before all others.
     each = sets.select("k", "n", F.explode("hashes").alias("h"))
     common = cut_lineage(each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
-    shared = each.join(bounded(common), "h").groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("in_order"))
+    shared = each.join(common, "h").groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("in_order"))
     # From a shared shingle on, ``rest`` of a set's shingles stand in other sets at all: if it is the first
     # that two sets share, they share ``rest`` at most. ``short`` marks what the smaller of two sets needs.
     keys = shared.select("k", "n", F.size("in_order").alias("left"), F.posexplode("in_order").alias("at", "s"))
