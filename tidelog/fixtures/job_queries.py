@@ -18,9 +18,11 @@ from tidelog.fixtures.oracles import with_fixtures
 from tidelog.fixtures.registry import ORACLES, QUERIES, query
 from tidelog.functions.lsn import as_micros
 from tidelog.operators import catalog, segments, transactions
+from tidelog.operators.scan import RowNumber, ordered_scan
 from tidelog.plans import jobs
 from tidelog.session import cut_lineage, scratch_dir
 from tidelog.sources import store
+from tidelog.sources.segments import write_segment_files
 from tidelog.streaming import ingest as ing
 from tidelog.streaming import live
 
@@ -299,6 +301,119 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return _stored(spark, root)
 
 
+_ORDINAL = "row_number() OVER (PARTITION BY relation_oid ORDER BY pos) AS n"
+
+
+def _landed_binary(spark: SparkSession, log: DataFrame, whole_log: bool, parts: int = 3) -> str:
+    """An encoded log as segment files that land in ``parts`` instalments, each ingested when it is there.
+
+    Instalments end inside transactions. Only messages are counted, so files of a later one
+    never come before files of an earlier one."""
+    landing, root = scratch_dir(spark, "landing"), scratch_dir(spark, "archive")
+    stitched = transactions.stitch_transactions(log)
+    cut = cut_lineage(segments.segment_by_count(stitched, MESSAGES_PER_SEGMENT // 4))
+    last = cut.agg(F.max("segment_id")).first()[0] or 0
+    for i in range(parts):
+        low, high = ((last + 1) * k // parts for k in (i, i + 1))
+        own = (F.col("segment_id") >= low) & (F.col("segment_id") < high)
+        cut_lineage(write_segment_files(cut, landing, own))
+        run = ing.ingest(spark, landing, root, f"{root}/checkpoint", binary=True, messages_per_segment=MESSAGES_PER_SEGMENT, whole_log=whole_log)
+        run.awaitTermination()
+    return root
+
+
+def _stored_in_order(spark: SparkSession, root: str) -> DataFrame:
+    rows = ordered_scan(store.read_changes(spark, root), ["relation_oid"], ["pos"], [RowNumber("n")], levels=2)
+    return rows.select("relation_oid", "n", "msg_type", "xid", "final_lsn", F.unix_micros("commit_ts").alias("commit_us"))
+
+
+@query(
+    "stream_ingest_binary",
+    with_fixtures("messages", body=f"SELECT relation_oid, {_ORDINAL}, msg_type, xid, final_lsn, commit_us FROM messages"),
+)
+def stream_ingest_binary(spark: SparkSession, sf: str) -> DataFrame:
+    """Segment files of every table, read by byte range as they land."""
+    return _stored_in_order(spark, _landed_binary(spark, t.with_raw(t.messages(t.chg(spark, sf))), whole_log=False))
+
+
+@query(
+    "stream_whole_log",
+    with_fixtures(
+        "chg",
+        body=f"""SELECT relation_oid, {_ORDINAL}, msg_type, m.xid, m.final_lsn, us AS commit_us
+FROM (SELECT relation_oid, lsn * 100 AS pos, CASE op WHEN 'I' THEN 'insert' WHEN 'U' THEN 'update' ELSE 'delete' END AS msg_type, xid, final_lsn FROM chg
+      UNION ALL SELECT relation_oid, min(lsn) * 100 - 40, 'begin', xid, final_lsn FROM chg GROUP BY relation_oid, xid, final_lsn
+      UNION ALL SELECT relation_oid, max(lsn) * 100 + 50, 'commit', xid, final_lsn FROM chg WHERE xid < (SELECT max(xid) FROM chg) GROUP BY relation_oid, xid, final_lsn
+      UNION ALL SELECT 0, min(lsn) * 100 - 40, 'begin', xid, final_lsn FROM chg GROUP BY xid, final_lsn
+      UNION ALL SELECT 0, max(lsn) * 100 + 50, 'commit', xid, final_lsn FROM chg WHERE xid < (SELECT max(xid) FROM chg) GROUP BY xid, final_lsn
+      UNION ALL SELECT relation_oid, min(lsn) * 100 - 20, 'relation', arg_min(xid, lsn), arg_min(final_lsn, lsn) FROM chg GROUP BY relation_oid) m
+JOIN (SELECT xid, final_lsn, epoch_us(max(ts)) AS us FROM chg GROUP BY xid, final_lsn) x ON x.xid = m.xid AND x.final_lsn = m.final_lsn""",
+    ),
+)
+def stream_whole_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Segment files of the log itself: one begin and one commit per transaction, routed to its tables."""
+    changes = t.chg(spark, sf)
+    log = t.messages(changes)
+    # The same messages with the control messages of the whole log.
+    whole = t.messages(changes.withColumn("relation_oid", F.lit(0).cast("bigint"))).where("msg_type in ('begin', 'commit')")
+    rows = log.where("msg_type not in ('begin', 'commit')").unionByName(whole)
+    return _stored_in_order(spark, _landed_binary(spark, _as_one_stream(rows), whole_log=True))
+
+
+def _as_one_stream(rows: DataFrame) -> DataFrame:
+    """Messages encoded with their own relations, in one stream, that of relation 0."""
+    return t.with_raw(rows).withColumn("relation_oid", F.lit(0).cast("bigint"))
+
+
+@query("merge_batches", with_fixtures("done_image", body=_BY_OID.format(image="done_image")))
+def merge_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Many small batches become few directories; a restore after it reads those."""
+    root = scratch_dir(spark, "archive")
+    changes = t.chg(spark, sf)
+    log = cut_lineage(t.messages(changes))
+    top = log.agg(F.max("pos")).first()[0] + 1
+    for batch in range(FILES):
+        part = log.where((F.col("pos") >= top * batch // FILES) & (F.col("pos") < top * (batch + 1) // FILES))
+        ing.store_batch(part, batch, root, MESSAGES_PER_SEGMENT)
+    before = store.read_segment_manifest(spark, root).select("path").distinct().count()
+    store.merge_batches(spark, root, fan=2)
+    after = store.read_segment_manifest(spark, root).select("path").distinct().count()
+    if after >= before:
+        raise ValueError(f"{before} directories were not merged")
+    return _restored(spark, root)
+
+
+_FALLING = "CASE WHEN xid % 3 = 0 THEN ts - INTERVAL 2 HOUR ELSE ts END"
+
+
+@query(
+    "restore_at_ts",
+    with_fixtures(
+        "done",
+        body=f"""SELECT a.relation_oid, a.k, v.value, p.props
+FROM (SELECT d.relation_oid, k, max(CASE WHEN op = 'I' THEN lsn END) AS li, max(CASE WHEN op = 'D' THEN lsn END) AS ld,
+             max(CASE WHEN value_kind <> 'u' THEN lsn END) AS mv, max(CASE WHEN props_kind <> 'u' THEN lsn END) AS mp
+      FROM done d LEFT JOIN (
+          SELECT c.relation_oid, min(final_lsn) AS first FROM (SELECT relation_oid, final_lsn, max({_FALLING}) AS us FROM done GROUP BY relation_oid, final_lsn) c
+          WHERE us > (SELECT max({_FALLING}) FROM done WHERE final_lsn <= (SELECT max(final_lsn) FROM done) // 2) GROUP BY c.relation_oid) f
+        ON f.relation_oid = d.relation_oid
+      WHERE f.first IS NULL OR d.final_lsn < f.first GROUP BY d.relation_oid, k) a
+JOIN done v ON v.lsn = a.mv JOIN done p ON p.lsn = a.mp
+WHERE a.li > coalesce(a.ld, 0)""",
+    ),
+)
+def restore_at_ts(spark: SparkSession, sf: str) -> DataFrame:
+    """Tables as of a time, where commit times fall now and then: up to the first later commit."""
+    root = scratch_dir(spark, "archive")
+    falling = F.when(F.col("xid") % 3 == 0, F.col("ts") - F.expr("INTERVAL 2 HOURS")).otherwise(F.col("ts"))
+    changes = cut_lineage(t.chg(spark, sf).withColumn("ts", falling))
+    ing.store_batch(cut_lineage(t.messages(changes)), 0, root, MESSAGES_PER_SEGMENT)
+    done = changes.where(F.col("xid") < changes.agg(F.max("xid")).first()[0])
+    half = done.agg(F.max("final_lsn")).first()[0] // 2
+    at = done.where(F.col("final_lsn") <= half).agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
+    return _restored(spark, root, at_ts=at)
+
+
 @query("stream_restart", with_fixtures("messages", body=_STORED))
 def stream_restart(spark: SparkSession, sf: str) -> DataFrame:
     """Ingest stops half way, is started again, and gets the second quarter once more."""
@@ -440,6 +555,8 @@ def stream_idle_clock(spark: SparkSession, sf: str) -> DataFrame:
                 told = spark.read.schema(idle.schema).parquet(f"{work}/out").count()
     finally:
         running.stop()
+    if told < tables:
+        raise TimeoutError(f"{told} of {tables} tables were told idle")
     return spark.read.schema(idle.schema).parquet(f"{work}/out")
 
 

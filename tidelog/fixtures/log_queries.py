@@ -211,8 +211,9 @@ def tx_summary(spark: SparkSession, sf: str) -> DataFrame:
 def dedupe_redelivery(spark: SparkSession, sf: str) -> DataFrame:
     """The whole log delivered twice, the second time at later positions."""
     log = t.chg(spark, sf).select("relation_oid", "final_lsn", F.col("lsn").alias("seq"), F.col("lsn").alias("pos"), "op", "k")
-    again = log.withColumn("pos", F.col("pos") + 1_000_000_000)
-    return transactions.dedupe(log.unionByName(again)).drop("pos")
+    log = log.withColumn("tx_pos", F.col("final_lsn") - 8)
+    again = log.withColumns({c: F.col(c) + 1_000_000_000 for c in ("pos", "tx_pos")})
+    return transactions.dedupe(log.unionByName(again)).drop("pos", "tx_pos")
 
 
 @query(

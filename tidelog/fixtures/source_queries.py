@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 from tidelog.fixtures import tables as t
 from tidelog.fixtures import wire
+from tidelog.fixtures.catalog_queries import INSPECT_SQL
 from tidelog.fixtures.oracles import with_fixtures
 from tidelog.fixtures.registry import query
 from tidelog.functions.cells import cell, text_cell
 from tidelog.functions.lsn import as_micros
 from tidelog.operators import segments, transactions
-from tidelog.session import scratch_dir
+from tidelog.operators.scan import RowNumber, ordered_scan
+from tidelog.plans import jobs
+from tidelog.session import cut_lineage, scratch_dir
 from tidelog.sources import copytext, store
-from tidelog.sources.segments import split_frames, with_header
+from tidelog.sources.segments import list_segments, read_frames, read_headers, split_frames, write_segment_files
 from tidelog.sources.wire import decode_control, decode_messages, message_type
 
 FRAMES_PER_SEGMENT = 50
@@ -25,6 +28,14 @@ def encoded(spark: SparkSession, sf: str) -> DataFrame:
     return t.with_raw(t.messages(t.chg(spark, sf))).select("relation_oid", "pos", "raw")
 
 
+def written_segments(spark: SparkSession, sf: str) -> str:
+    """Folder of segment files with the change log as binary messages."""
+    root = scratch_dir(spark, "segments")
+    log = transactions.stitch_transactions(t.with_raw(t.messages(t.chg(spark, sf))))
+    cut_lineage(write_segment_files(cut_lineage(segments.segment_by_count(log, FRAMES_PER_SEGMENT)), root))
+    return root
+
+
 _SEGMENTED = f"""(SELECT relation_oid, pos, msg_type, final_lsn, commit_us, CAST(floor((rn - 1) / {FRAMES_PER_SEGMENT}) AS BIGINT) AS segment_id, (rn - 1) % {FRAMES_PER_SEGMENT} AS frame_no
 FROM (SELECT *, row_number() OVER (PARTITION BY relation_oid ORDER BY pos) AS rn FROM messages) n)"""
 
@@ -39,16 +50,43 @@ FROM {_SEGMENTED} s JOIN (SELECT relation_oid, segment_id, count(*) AS messages,
     ),
 )
 def segment_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """Segments packed from the log, then read: header and frames."""
-    log = transactions.stitch_transactions(t.with_raw(t.messages(t.chg(spark, sf))))
-    cut = segments.segment_by_count(log, FRAMES_PER_SEGMENT).withColumn("micros", F.unix_micros("commit_ts"))
-    content = wire.segment_content(cut, ["relation_oid", "segment_id"])
-    frames = split_frames(with_header(content))
+    """Segment files written from the log, listed and read again: header and frames."""
+    files = read_headers(list_segments(spark, written_segments(spark, sf)))
+    numbered = ordered_scan(files, ["relation_oid"], ["min_lsn", "postfix"], [RowNumber("__n")], levels=2)
+    numbered = numbered.withColumn("segment_id", F.col("__n") - 1).drop("__n")
+    frames = read_frames(numbered.select("relation_oid", "segment_id", "messages", "min_lsn", "max_lsn", "path", "length"))
     return frames.select(
         "relation_oid", "segment_id", "frame_no", message_type(F.col("raw")).alias("msg_type"), "messages", "min_lsn", "max_lsn"
     )
 
 
+@query(
+    "segment_files",
+    with_fixtures(
+        "messages",
+        body=f"""SELECT relation_oid, CASE WHEN postfix = 0 THEN printf('%016x', min_lsn) ELSE printf('%016x', min_lsn) || '.' || postfix END AS segment_name,
+       min_lsn, postfix, max_lsn, messages
+FROM (SELECT *, row_number() OVER (PARTITION BY relation_oid, min_lsn ORDER BY segment_id) - 1 AS postfix
+      FROM (SELECT relation_oid, segment_id, min(final_lsn) AS min_lsn, max(final_lsn) AS max_lsn, count(*) AS messages
+            FROM {_SEGMENTED} s GROUP BY relation_oid, segment_id) h) p""",
+    ),
+)
+def segment_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The same files by name and header; their frames are not read."""
+    files = read_headers(list_segments(spark, written_segments(spark, sf)))
+    return files.select("relation_oid", "segment_name", "min_lsn", "postfix", "max_lsn", "messages")
+
+
+@query(
+    "inspect_segments",
+    with_fixtures("messages", body=f"SELECT relation_oid, row_number() OVER (PARTITION BY relation_oid ORDER BY pos) AS n, line FROM ({INSPECT_SQL}) i"),
+)
+def inspect_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """From segment files to lines that describe their messages, in the order of the log."""
+    lines = jobs.inspect(spark, written_segments(spark, sf))
+    return ordered_scan(lines, ["relation_oid"], ["pos"], [RowNumber("n")], levels=2).select("relation_oid", "n", "line")
+
+
 def _cell_columns():
     new = [F.get("new_row", F.lit(i)) for i in range(3)]
     return [

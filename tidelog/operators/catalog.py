@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.operators.lookup import join_small
 from tidelog.operators.scan import Prev, asof_join, ordered_scan
 
 MAX_LSN = 9223372036854775807
@@ -182,13 +183,13 @@ def latest_relations(relations: DataFrame) -> DataFrame:
 
 
 def with_relation(changes: DataFrame, relations: DataFrame) -> DataFrame:
-    """Changes with the columns of their relation (one row per relation). The relation side
-    is broadcast by Spark only while its size stays below the broadcast threshold."""
+    """Changes with the columns of their relation (one row per relation). The relations are
+    counted: so many are broadcast, beyond that both sides are salted."""
     side = relations.select(
         "relation_oid",
         *[c for c in ("namespace", "name", "replica_identity", "columns") if c in relations.columns],
     )
-    return changes.drop(*[c for c in side.columns if c != "relation_oid"]).join(side, "relation_oid")
+    return join_small(changes.drop(*[c for c in side.columns if c != "relation_oid"]), side, ["relation_oid"], "inner")
 
 
 def relation_for(

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions.cells import zip_columns
+from tidelog.operators.lookup import join_small
 from tidelog.operators.scan import Last, Prev, ordered_scan
 from tidelog.schema import NULL_CELL, TEXT_CELL, UNCHANGED_CELL
 from tidelog.session import cut_lineage
@@ -219,9 +220,8 @@ def after_truncate(
     order columns; the newest one per relation is the barrier."""
     at = F.struct(*order)
     barrier = truncates.groupBy(by).agg(F.max(at).alias("__barrier"))
-    return changes.join(barrier, by, "left").where(F.col("__barrier").isNull() | (at > F.col("__barrier"))).drop(
-        "__barrier"
-    )
+    marked = join_small(changes, barrier, [by])
+    return marked.where(F.col("__barrier").isNull() | (at > F.col("__barrier"))).drop("__barrier")
 
 
 def base_as_inserts(base: DataFrame, columns: Sequence[str], order: Sequence[str] = ORDER, start_lsn: str = "start_lsn") -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.operators.lookup import join_small, where_key, with_value
 from tidelog.operators.scan import Last, RowNumber, ordered_scan
 from tidelog.schema import DML_TYPES
 from tidelog.session import cut_lineage
@@ -92,13 +93,27 @@ def tx_summary(changes: DataFrame, bytes_column: str | None = "bytes") -> DataFr
 def dedupe(changes: DataFrame, identity: Sequence[str] = ("relation_oid", "final_lsn", "seq")) -> DataFrame:
     """Drop messages delivered again after a restart: one row per message identity.
 
-    Copies of a message are equal but for ``pos`` and ``tx_pos``; the first delivery stays.
-    Rows without a transaction header have no identity and are all kept.
+    Copies of a message are equal but for ``pos`` and ``tx_pos``; the first delivery stays. A
+    transaction is delivered again from its begin, so ``tx_pos`` tells its deliveries apart. Only
+    transactions with several deliveries are compared, by the range of ``seq`` each delivery holds: a
+    message goes if an earlier one's range has it. All else stays in its partition, and no payload is
+    aggregated. Rows without a transaction header have no identity and are all kept.
+
+    Without ``tx_pos`` the copies are told by their identities alone, which are counted first.
     """
-    rest = [c for c in changes.columns if c not in identity]
-    headless = F.when(F.col("final_lsn").isNull(), F.col("pos")).alias("__headless")
-    first = changes.groupBy(*identity, headless).agg(F.min_by(F.struct(*rest), "pos").alias("__row"))
-    return first.select(*[F.col(c) if c in identity else F.col(f"__row.{c}").alias(c) for c in changes.columns])
+    tx = [c for c in identity if c != "seq"]
+    headed = changes.where("final_lsn is not null")
+    if "tx_pos" in changes.columns:
+        held = headed.groupBy(*tx, "tx_pos").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
+        again = held.groupBy(*tx).agg(F.array_sort(F.collect_list(F.struct("tx_pos", "lo", "hi"))).alias("__held")).where("size(__held) > 1")
+        earlier = F.exists("__held", lambda h: (h["tx_pos"] < F.col("tx_pos")) & F.col("seq").between(h["lo"], h["hi"]))
+    else:
+        again = headed.groupBy(*identity).agg(F.count("*").alias("n"), F.min("pos").alias("__held")).where("n > 1").drop("n")
+        tx, earlier = list(identity), F.col("pos") > F.col("__held")
+    again = cut_lineage(again)
+    if again.isEmpty():
+        return changes
+    return join_small(changes, again, tx).where(~F.coalesce(earlier, F.lit(False))).select(*changes.columns)
 
 
 def after_base(changes: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -106,24 +121,22 @@ def after_base(changes: DataFrame, snapshots: DataFrame) -> DataFrame:
 
     ``snapshots`` holds one row per relation (see ``latest_snapshots``)."""
     bases = snapshots.select("relation_oid", F.col("start_lsn").alias("__base"))
-    joined = changes.join(bases, "relation_oid", "left")
-    return joined.where("__base is null or final_lsn > __base").drop("__base")
+    return with_value(changes, bases, "__base").where("__base is null or final_lsn > __base").drop("__base")
 
 
 def drop_superseded(changes: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Changes that ingest stores: everything not older than the base (equal is stored)."""
     bases = snapshots.select("relation_oid", F.col("start_lsn").alias("__base"))
-    joined = changes.join(bases, "relation_oid", "left")
-    return joined.where("__base is null or final_lsn >= __base").drop("__base")
+    return with_value(changes, bases, "__base").where("__base is null or final_lsn >= __base").drop("__base")
 
 
 def tracked(changes: DataFrame, tables: DataFrame) -> DataFrame:
-    return changes.join(tables.select("relation_oid"), "relation_oid", "left_semi")
+    return where_key(changes, tables)
 
 
 def orphans(changes: DataFrame, tables: DataFrame) -> DataFrame:
     """Changes of relations nobody registered."""
-    return changes.join(tables.select("relation_oid"), "relation_oid", "left_anti")
+    return where_key(changes, tables, inside=False)
 
 
 def explode_truncate(changes: DataFrame) -> DataFrame:

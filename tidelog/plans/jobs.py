@@ -16,7 +16,7 @@ from tidelog.operators.render import inspect as inspect_lines
 from tidelog.operators.scan import Prev, ordered_scan
 from tidelog.schema import RELATIONS
 from tidelog.session import cut_lineage
-from tidelog.sources import store
+from tidelog.sources import commits, store
 from tidelog.sources.segments import read_segments
 from tidelog.sources.wire import decode_messages
 
@@ -94,6 +94,24 @@ def _lsn_at(changes: DataFrame, at_ts) -> int | None:
     return upto.agg(F.max("final_lsn")).first()[0]
 
 
+def _before_later(spark: SparkSession, root: str, oid: int, at_ts) -> int | None:
+    """A position before the first commit that is later than a time, or None if there is none.
+
+    The manifest has the latest commit time of each segment, so the log is read only from the
+    first segment on that holds a later one. Commit times need not grow with positions: nothing
+    at or after that commit is restored, and so nothing that was committed after ``at_ts``."""
+    live = store.read_segment_manifest(spark, root)
+    if live is None:
+        return None
+    later = live.where((F.col("relation_oid") == oid) & (F.col("max_ts") > F.lit(at_ts)))
+    low = later.agg(F.min("min_lsn")).first()[0]
+    if low is None:
+        return None
+    commits_ = store.read_changes(spark, root, oid, after_lsn=low - 1).where("msg_type = 'commit' and final_lsn is not null")
+    first = commits_.where(F.col("commit_ts") > F.lit(at_ts)).agg(F.min("final_lsn")).first()[0]
+    return None if first is None else first - 1
+
+
 def restore_table(
     spark: SparkSession,
     root: str,
@@ -108,17 +126,14 @@ def restore_table(
     ``expected`` is the schema of the table to restore into; a difference is an error.
     """
     if at_ts is not None:
-        log = store.read_changes(spark, root, oid)
-        found = None if log is None else _lsn_at(log, at_ts)
-        found = 0 if found is None else found
-        at_lsn = found if at_lsn is None else min(at_lsn, found)
+        found = _before_later(spark, root, oid, at_ts)
+        if found is not None:
+            at_lsn = found if at_lsn is None else min(at_lsn, found)
     snapshot = store.latest_snapshot(spark, root, oid, at_lsn) if replay_from_base else None
     start = None if snapshot is None else snapshot["start_lsn"]
-    log = store.read_changes(spark, root, oid, after_lsn=start)
+    log = store.read_changes(spark, root, oid, after_lsn=start, upto_lsn=at_lsn)
     if log is None:
         log = store.empty_changes(spark)
-    if at_lsn is not None:
-        log = log.where((F.col("final_lsn") <= at_lsn) | F.col("final_lsn").isNull())
 
     effective = transactions.committed(log)
     layouts = _layouts(log, effective, None if snapshot is None else snapshot["relation"])
@@ -133,10 +148,11 @@ def restore_table(
 
     columns = relation["columns"]
     names = [c["name"] for c in columns]
-    # Ingest has routed every truncate to each relation it lists.
-    truncates = effective.where("msg_type = 'truncate'")
+    # Ingest has routed every truncate to each relation it lists. The newest one is one row.
+    barrier = effective.where("msg_type = 'truncate'").agg(F.max(F.struct(*replay.ORDER)).alias("at")).first()["at"]
     rows = effective.where(F.col("msg_type").isin("insert", "update", "delete"))
-    rows = replay.after_truncate(rows, truncates)
+    if barrier is not None:
+        rows = rows.where(F.struct(*replay.ORDER) > F.struct(*[F.lit(barrier[c]).cast(rows.schema[c].dataType).alias(c) for c in replay.ORDER]))
     text = None
     if snapshot is not None:
         base = store.read_snapshot(spark, snapshot, text=True)
@@ -144,7 +160,7 @@ def restore_table(
         text = base.select(*[(F.col(n) if n in base.columns else F.lit(None).cast("string")).alias(n) for n in names])
         text = text.withColumn("relation_oid", F.lit(oid).cast("bigint")).withColumn("start_lsn", F.lit(start).cast("bigint"))
         # A later truncate removes all of them.
-        text = text.join(truncates.select("relation_oid").distinct(), "relation_oid", "left_anti")
+        text = text if barrier is None else text.where("false")
 
     if any(c["is_key"] for c in columns) and relation["replica_identity"] != "n":
         changes = None
@@ -287,16 +303,19 @@ def restore(
 
 
 def compact(spark: SparkSession, root: str, oid: int, upto_lsn: int | None = None) -> int:
-    """Write a new snapshot from the last one and the changes up to a committed position."""
-    log = store.read_changes(spark, root, oid)
-    if log is None:
-        raise LookupError(f"no changes of table {oid}")
-    commits = log.where("msg_type = 'commit' and final_lsn is not null")
-    if upto_lsn is not None:
-        commits = commits.where(F.col("final_lsn") <= upto_lsn)
-    start_lsn = commits.agg(F.max("final_lsn")).first()[0]
+    """Write a new snapshot from the last one and the changes up to a committed position; returns
+    the position. Only changes after the last snapshot are read; without any it stays the newest."""
+    last = store.latest_snapshot(spark, root, oid, upto_lsn)
+    base = None if last is None else last["start_lsn"]
+    log = store.read_changes(spark, root, oid, after_lsn=base, upto_lsn=upto_lsn)
+    found = None
+    if log is not None:
+        found = log.where("msg_type = 'commit' and final_lsn is not null").agg(F.max("final_lsn")).first()[0]
+    start_lsn = base if found is None else found
     if start_lsn is None:
         raise LookupError(f"no committed changes of table {oid} up to {upto_lsn}")
+    if start_lsn == base:
+        return base
     restored = restore_table(spark, root, oid, at_lsn=start_lsn)
     store.write_snapshot(restored.text, restored.relation, start_lsn, root)
     return start_lsn
@@ -340,7 +359,7 @@ def purge(spark: SparkSession, root: str, dry_run: bool = True) -> DataFrame:
 
     The unit is one relation in one batch: it goes once all its segments are obsolete, so a
     restore at or after the base never misses a change. Unless ``dry_run``, the directories
-    are marked as purged first and removed afterwards.
+    leave the commit log first and are removed afterwards, by tasks.
     """
     manifest = store.read_segment_manifest(spark, root)
     snapshots = store.latest_snapshots(store.read_snapshots(spark, root))
@@ -353,9 +372,9 @@ def purge(spark: SparkSession, root: str, dry_run: bool = True) -> DataFrame:
     obsolete = segments.obsolete_segments(per_directory, snapshots)
     if not dry_run:
         obsolete = cut_lineage(obsolete)
-        paths = [r["path"] for r in obsolete.select("path").toLocalIterator()]
-        store.mark_purged(obsolete, root)
-        store.delete_directories(spark, paths)
+        if not obsolete.isEmpty():
+            commits.commit(spark, root, "purge", removed=obsolete)
+            commits.delete_directories(obsolete)
     return obsolete
 
 
@@ -367,8 +386,9 @@ def promote_segments(spark: SparkSession, staging: str, archive: str, snapshots:
     live = segments.live_segments(manifest, snapshots).select("relation_oid", "segment_id")
     staged = store.read_changes(spark, staging).drop("batch_id")
     source = staged.join(live, ["relation_oid", "segment_id"], "left_semi")
-    store.write_segments(source, archive, batch_id)
-    target = spark.read.parquet(f"{archive}/changes/batch_id={batch_id}")
+    written = store.write_segments(source, archive, batch_id)
+    paths = [r["path"] for r in written.select("path").distinct().collect()]
+    target = store.read_directories(spark, archive, paths) if paths else source.where("false")
     return segments.audit(source, target.select(*source.columns))
 
 

@@ -2,15 +2,16 @@
 
 Layout below ``root``::
 
-    changes/batch_id=<n>/relation_oid=<oid>/*.parquet     changes, clustered by segment
-    segments/batch_id=<n>/*.parquet                       one row per segment
-    purged/*.parquet                                      (batch_id, relation_oid) no longer needed
+    changes/batch_id=<n>/attempt=<a>/relation_oid=<oid>/  changes, clustered by segment
+    commits/<version>.json                                which of these directories are live
+    manifests/*/<id>/*.parquet                            what a commit adds, removes, or finds
+    ingest_state/<id>/*.parquet                           what a batch tells the next one
     data/<oid>/<lsn>-<id>/*.parquet                       snapshot rows
     snapshots/*.parquet                                   one row per snapshot, written last
     names/version=<n>/*.parquet                           name history
 
-A batch directory is written with dynamic partition overwrite semantics of its own path, so
-a repeated batch replaces itself. A snapshot counts only once its manifest row is there.
+Readers see a batch when its commit is there (see ``commits``), and a snapshot when its manifest
+row is. Until then what was written lies beside what they read.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.types import as_text, strictly_typed
 from tidelog.operators.segments import segment_stats
-from tidelog.schema import CHANGES, NAME_HISTORY, SEGMENTS, SNAPSHOTS
-
+from tidelog.schema import CHANGES, NAME_HISTORY, SNAPSHOTS
+from tidelog.session import cut_lineage
+from tidelog.sources import commits
 
 _MANIFEST = threading.Lock()
 
@@ -45,57 +47,126 @@ def _read(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
         raise
 
 
-def write_segments(changes: DataFrame, root: str, batch_id: int = 0) -> DataFrame:
-    """Store changes that carry ``segment_id``; returns the manifest rows.
+def write_segments(
+    changes: DataFrame, root: str, batch_id: int = 0, ingest_state: str | None = None
+) -> DataFrame:
+    """Store changes that carry ``segment_id`` as one commit; returns its manifest rows.
 
     Rows are rebalanced by segment, so that a hot relation is spread over many files of
-    even size, and sorted by it, so that readers skip row groups by position.
-    """
+    even size, and sorted by it, so that readers skip row groups by position. A repeated batch
+    takes the place of its earlier attempt in the same commit. ``ingest_state``: path of the
+    state that belongs to the batch."""
     spark = changes.sparkSession
-    path = f"{root}/changes/batch_id={batch_id}"
+    path = f"{root}/changes/batch_id={batch_id}/attempt=a{uuid.uuid4().hex}"
     clustered = changes.hint("rebalance", F.col("relation_oid"), F.col("segment_id"))
-    clustered.sortWithinPartitions("relation_oid", "segment_id", "pos").write.mode("overwrite").partitionBy(
-        "relation_oid"
-    ).parquet(path)
+    clustered.sortWithinPartitions("relation_oid", "segment_id", "pos").write.partitionBy("relation_oid").parquet(path)
     # The schema is given: a batch may hold nothing new and then has no files.
     stored = spark.read.schema(changes.schema).parquet(path)
-    manifest = segment_stats(stored).withColumn(
-        "path", F.concat(F.lit(f"{path}/relation_oid="), F.col("relation_oid").cast("string"))
-    )
-    target = f"{root}/segments/batch_id={batch_id}"
-    manifest.select([f.name for f in SEGMENTS.fields if f.name in manifest.columns]).write.mode("overwrite").parquet(target)
-    return spark.read.parquet(target)
+    manifest = segment_stats(stored).withColumns({
+        "path": F.concat(F.lit(f"{path}/relation_oid="), F.col("relation_oid").cast("string")),
+        "batch_id": F.lit(batch_id).cast("bigint"),
+    })
+    manifest = cut_lineage(manifest)
+    live = commits.live_segments(spark, root)
+    earlier = None
+    if live is not None:
+        earlier = live.where(F.col("batch_id") == batch_id).select("path").distinct()
+        earlier = None if earlier.isEmpty() else cut_lineage(earlier)
+    commits.commit(spark, root, "batch", manifest, earlier, None if ingest_state is None else (batch_id, ingest_state))
+    return manifest
 
 
 def read_segment_manifest(spark: SparkSession, root: str) -> DataFrame | None:
-    """Segments that are not purged."""
-    segments = _read(spark, f"{root}/segments")
-    purged = _read(spark, f"{root}/purged")
-    if segments is None or purged is None:
-        return segments
-    return segments.join(purged.select("batch_id", "relation_oid").distinct(), ["batch_id", "relation_oid"], "left_anti")
+    """Segments that are live."""
+    return commits.live_segments(spark, root)
+
+
+def _of(live: DataFrame, relation_oid: int | None, after_lsn: int | None, upto_lsn: int | None = None) -> DataFrame:
+    """Segments that hold changes of a relation in a range of positions, or schema messages."""
+    if relation_oid is not None:
+        live = live.where(F.col("relation_oid") == relation_oid)
+    if after_lsn is not None:
+        live = live.where((F.col("max_lsn") > after_lsn) | F.col("max_lsn").isNull())
+    if upto_lsn is not None:
+        live = live.where((F.col("min_lsn") <= upto_lsn) | F.col("min_lsn").isNull())
+    return live
+
+
+def read_directories(spark: SparkSession, root: str, paths: Sequence[str]) -> DataFrame:
+    """Stored changes of some directories."""
+    return spark.read.option("basePath", f"{root}/changes").parquet(*paths).drop("attempt")
 
 
 def read_changes(
-    spark: SparkSession, root: str, relation_oid: int | None = None, after_lsn: int | None = None
+    spark: SparkSession, root: str, relation_oid: int | None = None, after_lsn: int | None = None, upto_lsn: int | None = None
 ) -> DataFrame | None:
-    """Stored changes. The relation prunes directories and ``after_lsn`` reaches the scan.
+    """Stored changes. Relation and positions pick the directories to open, by the commit log, and
+    reach the scan of those.
 
     Changes without a header position are schema messages and always stay."""
-    changes = _read(spark, f"{root}/changes")
-    if changes is None:
+    live = commits.live_segments(spark, root)
+    if live is None:
         return None
-    if relation_oid is not None:
-        changes = changes.where(F.col("relation_oid") == relation_oid)
+    # Metadata: one path per batch and relation that the bounds leave, few after a merge.
+    paths = [r["path"] for r in _of(live, relation_oid, after_lsn, upto_lsn).select("path").distinct().collect()]
+    if not paths:
+        any_path = live.select("path").first()
+        if any_path is None:
+            return None
+        return read_directories(spark, root, [any_path["path"]]).where("false")
+    changes = read_directories(spark, root, paths)
     if after_lsn is not None:
         changes = changes.where((F.col("final_lsn") > after_lsn) | F.col("final_lsn").isNull())
-    purged = _read(spark, f"{root}/purged")
-    if purged is not None:
-        gone = purged.select("batch_id", "relation_oid").distinct()
-        changes = changes.join(gone, ["batch_id", "relation_oid"], "left_anti")
+    if upto_lsn is not None:
+        changes = changes.where((F.col("final_lsn") <= upto_lsn) | F.col("final_lsn").isNull())
     return changes
 
 
+def merge_batches(spark: SparkSession, root: str, fan: int = 8) -> int:
+    """Merge small directories of a relation into larger ones, in one commit; how many went into it.
+
+    Directories are of one tier if their message counts have the same power of ``fan``. Once a
+    relation has ``fan`` of a tier they become one of the next, so a change is rewritten once per
+    tier. The newest batch stays as it is, since it may be repeated. Segments keep their names and
+    statistics; only where they lie changes. What was merged away stays on disk for readers that
+    still use it, until ``clean``."""
+    version = commits.newest_version(spark, root)
+    live = commits.live_segments(spark, root, version) if version else None
+    newest = None if live is None else live.agg(F.max("batch_id")).first()[0]
+    if newest is None:
+        return 0
+    per = live.where(F.col("batch_id") < newest).groupBy("path", "relation_oid", "batch_id").agg(F.sum("messages").alias("messages"))
+    tier = F.floor(F.log(F.greatest("messages", F.lit(1)).cast("double")) / F.log(F.lit(float(fan))) + 1e-9)
+    per = cut_lineage(per.withColumn("tier", tier))
+    full = per.groupBy("relation_oid", "tier").agg(F.count("*").alias("n")).where(F.col("n") >= fan)
+    chosen = cut_lineage(per.join(full.select("relation_oid", "tier"), ["relation_oid", "tier"], "left_semi"))
+    paths = [r["path"] for r in chosen.select("path").collect()]
+    if not paths:
+        return 0
+    last = chosen.agg(F.max("batch_id")).first()[0]
+    target = f"{root}/changes/batch_id={last}/attempt=m{uuid.uuid4().hex}"
+    # Tiers of a relation lie in directories of their own, so that each keeps its size.
+    rows = read_directories(spark, root, paths)
+    moved = cut_lineage(
+        chosen.select("path", "relation_oid", "batch_id", F.concat_ws("/", F.lit(target), F.concat(F.lit("relation_oid="), F.col("relation_oid").cast("string"))).alias("target"))
+    )
+    rows.drop("batch_id").hint("rebalance", F.col("relation_oid"), F.col("segment_id")).sortWithinPartitions(
+        "relation_oid", "segment_id", "pos"
+    ).write.partitionBy("relation_oid").parquet(target)
+    entries = live.join(moved.select("path", "target"), "path").withColumns({"path": F.col("target"), "batch_id": F.lit(last).cast("bigint")})
+    commits.commit(spark, root, "merge", entries, moved.select("path"))
+    return len(paths)
+
+
+def clean(spark: SparkSession, root: str) -> int:
+    """Delete, by tasks, directories that no version from the newest whole table on has live."""
+    version = commits.newest_version(spark, root)
+    first = version - version % commits.EVERY
+    old = [v for v in range(max(1, first - commits.EVERY), first + 1)] if first else []
+    removed = [c["removed"] for c in (commits.read_commit(spark, root, v) for v in old) if c["removed"]]
+    return commits.delete_directories(spark.read.parquet(*removed)) if removed else 0
+
+
 def write_snapshot(df: DataFrame, relation: Row, start_lsn: int, root: str) -> str:
     """Store a full snapshot: rows first, the manifest row last.
 
@@ -196,19 +267,5 @@ def read_table_state(spark: SparkSession, staging: str | None, archive: str) ->
     return picked.select("relation_oid", *[F.col(f"__s.{c}").alias(c) for c in rest])
 
 
-def mark_purged(obsolete: DataFrame, root: str) -> None:
-    obsolete.select("batch_id", "relation_oid").distinct().write.mode("append").parquet(f"{root}/purged")
-
-
-def delete_directories(spark: SparkSession, paths: Sequence[str]) -> None:
-    """Remove purged change directories through the file system of their paths."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in paths:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        files = target.getFileSystem(conf)
-        if not files.delete(target, True) and files.exists(target):
-            raise OSError(f"could not delete {path}")
-
-
 def empty_changes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], CHANGES)

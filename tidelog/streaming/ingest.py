@@ -2,35 +2,33 @@
 
 A micro-batch is decoded, stitched, numbered, cleaned of redelivered and superseded
 messages, cut into segments and written under its batch id. What one batch must tell the
-next is one row per relation: how far it is committed and which transaction is still open.
-That row is stored per batch, so that a repeated batch starts from the same state and
-replaces its own output. Files arrive in log order; a redelivery starts with a ``begin``. A
-batch that shows a hole in the log fails before anything of it is stored.
+next is one row per relation: how far it is committed, which transaction is still open, and
+where the next message and segment are counted from. That row is published in one commit with
+the batch, so that a repeated batch starts from the same state and takes the place of its own
+output. Files arrive in log order; a redelivery starts with a ``begin``. A batch that shows a
+hole in the log fails before anything of it is stored.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tidelog.functions.lsn import segment_lsn, segment_postfix_of
 from tidelog.operators import segments as seg
 from tidelog.operators import transactions
+from tidelog.operators.lookup import join_small, with_value
 from tidelog.operators.scan import Last, Prev, RowNumber, ordered_scan
 from tidelog.schema import CHANGES, DML_TYPES
 from tidelog.session import cut_lineage
-from tidelog.sources import store
-from tidelog.sources.segments import split_frames
+from tidelog.sources import commits, store
+from tidelog.sources.segments import named_segments, read_frames, with_stream_position
 from tidelog.sources.wire import decode_messages
 
-# Layout of a delivery position for landed binary files.
-_FRAME_BITS, _FILE_BITS = 24, 16
-MAX_FILES_PER_BATCH = 1 << _FILE_BITS
 _CARRY_POS = -1
 GAP = "__gap"
 LOG_STREAM = 0  # no table has this id
@@ -43,6 +41,9 @@ STATE = T.StructType(
         T.StructField("open_lsn", T.LongType()),
         T.StructField("open_ts", T.TimestampType()),
         T.StructField("open_seq", T.IntegerType()),
+        # Bytes of the relation's stream that were read, and segments that were cut.
+        T.StructField("next_pos", T.LongType()),
+        T.StructField("next_segment", T.LongType()),
     ]
 )
 _BINARY_FILE = T.StructType(
@@ -56,29 +57,31 @@ _BINARY_FILE = T.StructType(
 
 
 def stream_changes(spark: SparkSession, landing: str, binary: bool = False, max_files: int = 1000) -> DataFrame:
-    """Stream of landed files: decoded changes as Parquet, or binary segments."""
-    reader = spark.readStream.option("maxFilesPerTrigger", min(max_files, MAX_FILES_PER_BATCH))
+    """Stream of landed files: decoded changes as Parquet, or binary segments by path and length.
+    The contents of segments are read by the tasks that decode them (see ``decode_batch``)."""
+    reader = spark.readStream.option("maxFilesPerTrigger", max_files)
     if binary:
-        return reader.format("binaryFile").schema(_BINARY_FILE).option("recursiveFileLookup", "true").load(landing)
+        files = reader.format("binaryFile").schema(_BINARY_FILE).option("recursiveFileLookup", "true").load(landing)
+        return files.select("path", "length")
     return reader.schema(CHANGES).parquet(landing)
 
 
-def decode_batch(files: DataFrame, batch_id: int, mode: str = "FAILFAST") -> DataFrame:
-    """Binary files of one batch to changes; ``pos`` continues after the batch before."""
-    name = F.substring_index("path", "/", -1)
-    named = files.select(
-        "path",
-        F.regexp_extract("path", r"/(\d+)/[^/0-9]*/?[^/]+$", 1).try_cast("bigint").alias("relation_oid"),
-        segment_lsn(name).alias("min_lsn"),
-        segment_postfix_of(name).cast("bigint").alias("postfix"),
+def decode_batch(files: DataFrame, state: DataFrame, mode: str = "FAILFAST") -> tuple[DataFrame, DataFrame]:
+    """Binary files (path, length) of one batch to changes, and (relation_oid, next_pos) after them.
+
+    ``pos`` counts the bytes of the relation's stream before the message, from where the batch
+    before ended: files in order of (first position, postfix), frames in order inside a file."""
+    placed = cut_lineage(with_stream_position(named_segments(files)))
+    ended = placed.groupBy("relation_oid").agg(F.max(F.col("start") + F.col("length")).alias("bytes"))
+    known = state.select("relation_oid", F.coalesce("next_pos", F.lit(0).cast("bigint")).alias("from"))
+    # One row per file and relation; both are metadata.
+    based = placed.join(known, "relation_oid", "left").withColumn("start", F.col("start") + F.coalesce("from", F.lit(0)))
+    frames = read_frames(based.select("relation_oid", "path", "length", "start"), mode)
+    changes = decode_messages(frames.select("relation_oid", (F.col("start") + F.col("byte")).alias("pos"), "raw"), mode)
+    after = ended.join(known, "relation_oid", "left").select(
+        "relation_oid", (F.col("bytes") + F.coalesce("from", F.lit(0))).alias("next_pos")
     )
-    named = named.withColumn("relation_oid", F.coalesce("relation_oid", F.lit(0)))
-    ordinals = ordered_scan(named, ["relation_oid"], ["min_lsn", "postfix"], [RowNumber("__file")], levels=2)
-    content = files.select("path", "content").join(ordinals.select("path", "relation_oid", "__file"), "path")
-    frames = split_frames(content, mode=mode)
-    file_no = F.shiftleft(F.lit(batch_id).cast("bigint"), _FILE_BITS) + F.col("__file") - 1
-    frames = frames.withColumn("pos", F.shiftleft(file_no, _FRAME_BITS) + F.col("frame_no"))
-    return decode_messages(frames.select("relation_oid", "pos", "raw"), mode)
+    return changes, after
 
 
 def route_log(batch: DataFrame, state: DataFrame) -> DataFrame:
@@ -192,21 +195,28 @@ def advance(batch: DataFrame, state: DataFrame) -> DataFrame:
     )
     once = transactions.dedupe(numbered)
     known = state.select("relation_oid", "committed_lsn", "open_lsn", "open_seq")
-    joined = once.join(known, "relation_oid", "left")
+    joined = join_small(once, known, ["relation_oid"])
     beyond = F.col("committed_lsn").isNull() | (F.col("final_lsn") > F.col("committed_lsn"))
     stored = F.coalesce((F.col("final_lsn") == F.col("open_lsn")) & (F.col("seq") <= F.col("open_seq")), F.lit(False))
     fresh = joined.where(F.col(GAP) | F.col("final_lsn").isNull() | (beyond & ~stored))
     return fresh.drop("committed_lsn", "open_lsn", "open_seq")
 
 
-def next_state(rows: DataFrame, state: DataFrame) -> DataFrame:
-    """State after the new messages of a batch. One row per relation."""
+def next_state(rows: DataFrame, state: DataFrame, read: DataFrame | None = None, cut: DataFrame | None = None) -> DataFrame:
+    """State after the new messages of a batch. One row per relation.
+
+    ``read``: (relation_oid, next_pos) after the files of the batch. ``cut``: (relation_oid, next_segment)."""
     last = F.struct("final_lsn", "seq")
     seen = rows.where("final_lsn is not null").groupBy("relation_oid").agg(
         F.max(F.when(F.col("msg_type") == "commit", F.col("final_lsn"))).alias("committed"),
         F.max_by(F.struct("xid", "final_lsn", "commit_ts", "seq"), last).alias("last"),
     )
-    joined = state.join(seen, "relation_oid", "full")
+    joined = state.withColumnsRenamed({"next_pos": "pos_before", "next_segment": "segment_before"}).join(seen, "relation_oid", "full")
+    for part, name in ((read, "next_pos"), (cut, "next_segment")):
+        if part is None:
+            joined = joined.withColumn(name, F.lit(None).cast("bigint"))
+        else:
+            joined = joined.join(part.select("relation_oid", name), "relation_oid", "full")
     committed = F.greatest("committed_lsn", "committed")
     before = F.struct(
         F.col("open_xid").alias("xid"),
@@ -223,28 +233,15 @@ def next_state(rows: DataFrame, state: DataFrame) -> DataFrame:
         F.when(is_open, current["final_lsn"]).alias("open_lsn"),
         F.when(is_open, current["commit_ts"]).alias("open_ts"),
         F.when(is_open, current["seq"]).alias("open_seq"),
+        F.coalesce("next_pos", "pos_before").alias("next_pos"),
+        F.coalesce("next_segment", "segment_before").alias("next_segment"),
     )
 
 
-def read_state(spark: SparkSession, root: str, before_batch: int) -> DataFrame:
-    """State the given batch starts from: the newest one stored by an earlier batch.
-
-    As a rule that is the batch just before, whose path is opened directly."""
-    try:
-        return spark.read.schema(STATE).parquet(f"{root}/ingest_state/batch_id={before_batch - 1}")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-    try:
-        states = spark.read.option("basePath", f"{root}/ingest_state").parquet(f"{root}/ingest_state")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], STATE)
-    newest = states.where(F.col("batch_id") < before_batch).agg(F.max("batch_id")).first()[0]
-    if newest is None:
-        return spark.createDataFrame([], STATE)
-    return states.where(F.col("batch_id") == newest).drop("batch_id")
+def read_state(spark: SparkSession, root: str, before_batch: int | None = None) -> DataFrame:
+    """State the given batch starts from, or the newest one: its path stands in the newest commit."""
+    path = commits.ingest_state(spark, root, before_batch)
+    return spark.createDataFrame([], STATE) if path is None else spark.read.schema(STATE).parquet(path)
 
 
 def store_batch(
@@ -255,11 +252,13 @@ def store_batch(
     tables: DataFrame | None = None,
     after_store: Callable[[SparkSession, int], None] | None = None,
     whole_log: bool = False,
+    read: DataFrame | None = None,
 ) -> None:
-    """Write one batch of decoded changes; repeating it replaces what it wrote.
+    """Write one batch of decoded changes; repeating the newest batch replaces what it wrote.
 
     ``whole_log``: the messages are the log itself, in one order, and control messages
-    belong to no relation. Otherwise every relation has a stream of its own."""
+    belong to no relation. Otherwise every relation has a stream of its own. ``read``: how far
+    the streams of the relations were read with this batch (see ``decode_batch``)."""
     spark = batch.sparkSession
     state = read_state(spark, root, batch_id)
     if whole_log:
@@ -286,10 +285,17 @@ def store_batch(
         late = transactions.drop_superseded(rows.where("final_lsn is not null"), store.latest_snapshots(snapshots))
         kept = late.unionByName(rows.where("final_lsn is null"))
     cut = seg.segment_by_count(kept, messages_per_segment)
-    first = F.shiftleft(F.lit(batch_id).cast("bigint"), 32)
-    store.write_segments(cut.withColumn("segment_id", first + F.col("segment_id")), root, batch_id)
+    cut = with_value(cut, state.select("relation_oid", F.col("next_segment").alias("__from")), "__from")
+    cut = cut.withColumn("segment_id", F.coalesce("__from", F.lit(0).cast("bigint")) + F.col("segment_id")).drop("__from")
+    # A count of what is kept, since segments are cut every so many messages.
+    segments = kept.groupBy("relation_oid").agg(F.ceil(F.count("*") / messages_per_segment).alias("n"))
+    ended = segments.join(state.select("relation_oid", "next_segment"), "relation_oid", "left").select(
+        "relation_oid", (F.coalesce("next_segment", F.lit(0)) + F.col("n")).alias("next_segment")
+    )
     # Superseded messages still move the state on, so it comes from all new messages.
-    next_state(rows, state).write.mode("overwrite").parquet(f"{root}/ingest_state/batch_id={batch_id}")
+    path = f"{root}/ingest_state/{uuid.uuid4().hex}"
+    next_state(rows, state, read, ended).write.parquet(path)
+    store.write_segments(cut, root, batch_id, path)
     if after_store is not None:
         after_store(spark, batch_id)
 
@@ -312,8 +318,10 @@ def ingest(
     ``continuous`` (a processing interval) keeps running."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        changes = decode_batch(batch, batch_id, mode) if binary else batch
-        store_batch(changes, batch_id, root, messages_per_segment, tables, after_store, whole_log)
+        spark, changes, read = batch.sparkSession, batch, None
+        if binary:
+            changes, read = decode_batch(batch, read_state(spark, root, batch_id), mode)
+        store_batch(changes, batch_id, root, messages_per_segment, tables, after_store, whole_log, read)
 
     writer = stream_changes(spark, landing, binary, max_files).writeStream.foreachBatch(run)
     writer = writer.option("checkpointLocation", checkpoint)

@@ -70,7 +70,7 @@ def stream_idle_by_clock(changes: DataFrame, idle_ms: int, lsn: str = "final_lsn
 def stream_flush_lsn(spark: SparkSession, root: str, before_batch: int | None = None) -> DataFrame:
     """Position up to which an ingest has stored every transaction of every table: just before
     the first one that is still open, else the newest commit. One row, null before any commit."""
-    known = ing.read_state(spark, root, 1 << 62 if before_batch is None else before_batch)
+    known = ing.read_state(spark, root, before_batch)
     return state.global_flush_lsn(
         known.select(F.col("open_lsn").alias("first_buffered_lsn"), F.col("committed_lsn").alias("final_lsn"))
     )
