@@ -9,17 +9,19 @@ from __future__ import annotations
 import time
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.fixtures import tables as t
 from tidelog.fixtures.catalog_queries import INSPECT_SQL, publication
 from tidelog.fixtures.oracles import with_fixtures
 from tidelog.fixtures.registry import ORACLES, QUERIES, query
+from tidelog.functions.cells import cell, text_cell
 from tidelog.functions.lsn import as_micros
 from tidelog.operators import catalog, segments, transactions
 from tidelog.operators.scan import RowNumber, ordered_scan
 from tidelog.plans import jobs
+from tidelog.schema import CHANGES
 from tidelog.session import cut_lineage, scratch_dir
 from tidelog.sources import store
 from tidelog.sources.segments import write_segment_files
@@ -414,6 +416,56 @@ def restore_at_ts(spark: SparkSession, sf: str) -> DataFrame:
     return _restored(spark, root, at_ts=at)
 
 
+@query(
+    "restore_rekeyed",
+    """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 = 0 THEN 'm' ELSE 'c' END || o_orderkey AS code,
+       CASE WHEN o_orderkey % 11 = 0 THEN 'moved' WHEN o_orderkey % 3 = 0 THEN 'later' WHEN o_orderkey % 5 = 0 THEN 'early' ELSE o_orderstatus END AS status
+FROM orders WHERE o_orderkey % 7 <> 0""",
+)
+def restore_rekeyed(spark: SparkSession, sf: str) -> DataFrame:
+    """Inside one log the key of a table moves from one column to another; nothing has a snapshot."""
+    root, oid, step = scratch_dir(spark, "archive"), 20001, 1 << 40
+    orders = t.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
+    code = F.concat(F.lit("c"), F.col("id").cast("string"))
+    same, none = cell(F.lit("u"), F.lit(None)), cell(F.lit("n"), F.lit(None))
+
+    def rows(phase: int, chosen: str, msg_type: str, new_row=None, ident=None) -> DataFrame:
+        fields = {"new_row": new_row, "ident": ident, "ident_is_key": None if ident is None else F.lit(True)}
+        return orders.where(chosen).select(
+            (F.lit(phase * step) + F.col("id")).alias("pos"), F.lit(msg_type).alias("msg_type"), *[v.alias(k) for k, v in fields.items() if v is not None]
+        )
+
+    def control(phase: int, msg_type: str, at: int, **fields) -> DataFrame:
+        stamp = F.timestamp_seconds(F.lit(1_700_000_000 + phase))
+        made = {"commit_ts": stamp, **{k: v if isinstance(v, Column) else F.lit(v) for k, v in fields.items()}}
+        return spark.range(1).select(F.lit(phase * step + at).alias("pos"), F.lit(msg_type).alias("msg_type"), *[v.alias(k) for k, v in made.items()])
+
+    def schema(phase: int, key: str) -> DataFrame:
+        columns = [{"is_key": n == key, "name": n, "type_oid": o, "typmod": -1} for n, o in (("id", 20), ("code", 25), ("status", 25))]
+        return control(phase, "relation", -2, namespace="public", name="orders", replica_identity="d", columns=t.columns_literal(columns)).drop("commit_ts")
+
+    whole = lambda status: F.array(text_cell(F.col("id")), text_cell(code), status)
+    moved = F.array(text_cell(F.col("id")), text_cell(F.concat(F.lit("m"), F.col("id").cast("string"))), text_cell(F.lit("moved")))
+    by_code = F.array(none, text_cell(code), none)
+    parts = [
+        control(1, "begin", -3, xid=1, final_lsn=1000), schema(1, "id"), rows(1, "true", "insert", whole(text_cell(F.col("status")))),
+        rows(2, "id % 5 = 0", "update", F.array(text_cell(F.col("id")), same, text_cell(F.lit("early")))),
+        control(3, "commit", 0, commit_lsn=1000, end_lsn=1001, flags=0),
+        control(4, "begin", -3, xid=2, final_lsn=2000), schema(4, "code"), rows(4, "id % 3 = 0", "update", F.array(same, text_cell(code), text_cell(F.lit("later")))),
+        rows(5, "id % 7 = 0", "delete", ident=by_code), rows(6, "id % 11 = 0 and id % 7 <> 0", "update", moved, by_code),
+        control(7, "commit", 0, commit_lsn=2000, end_lsn=2001, flags=0),
+    ]
+    log = None
+    for part in parts:
+        have = set(part.columns)
+        part = part.withColumn("relation_oid", F.lit(oid)).select(
+            *[(F.col(f.name) if f.name in have or f.name == "relation_oid" else F.lit(None)).cast(f.dataType).alias(f.name) for f in CHANGES.fields]
+        )
+        log = part if log is None else log.unionByName(part)
+    ing.store_batch(cut_lineage(log), 0, root, MESSAGES_PER_SEGMENT)
+    return jobs.restore_table(spark, root, oid).rows
+
+
 @query("stream_restart", with_fixtures("messages", body=_STORED))
 def stream_restart(spark: SparkSession, sf: str) -> DataFrame:
     """Ingest stops half way, is started again, and gets the second quarter once more."""

@@ -135,8 +135,8 @@ def restore_table(
     if log is None:
         log = store.empty_changes(spark)
 
-    effective = transactions.committed(log)
-    layouts = _layouts(log, effective, None if snapshot is None else snapshot["relation"])
+    effective = _effective(spark, root, log, oid)
+    layouts, barrier = _layouts(log, effective, None if snapshot is None else snapshot["relation"])
     if not layouts:
         raise LookupError(f"no schema for table {oid}")
     relation = layouts[-1][1]
@@ -146,27 +146,37 @@ def restore_table(
         if not differences.isEmpty():
             raise ValueError(f"tables are different: {[r.asDict() for r in differences.take(20)]}")
 
-    columns = relation["columns"]
-    names = [c["name"] for c in columns]
-    # Ingest has routed every truncate to each relation it lists. The newest one is one row.
-    barrier = effective.where("msg_type = 'truncate'").agg(F.max(F.struct(*replay.ORDER)).alias("at")).first()["at"]
+    # Ingest has routed every truncate to each relation it lists.
     rows = effective.where(F.col("msg_type").isin("insert", "update", "delete"))
     if barrier is not None:
         rows = rows.where(F.struct(*replay.ORDER) > F.struct(*[F.lit(barrier[c]).cast(rows.schema[c].dataType).alias(c) for c in replay.ORDER]))
     text = None
     if snapshot is not None:
-        base = store.read_snapshot(spark, snapshot, text=True)
-        # Columns added since the snapshot are null in its rows.
-        text = base.select(*[(F.col(n) if n in base.columns else F.lit(None).cast("string")).alias(n) for n in names])
-        text = text.withColumn("relation_oid", F.lit(oid).cast("bigint")).withColumn("start_lsn", F.lit(start).cast("bigint"))
+        text = store.read_snapshot(spark, snapshot, text=True)
         # A later truncate removes all of them.
         text = text if barrier is None else text.where("false")
-
-    if any(c["is_key"] for c in columns) and relation["replica_identity"] != "n":
+    groups = _key_groups(layouts)
+    for i, spans in enumerate(groups):
+        text = _image(rows, spans, text, oid, start)
+        if i + 1 < len(groups):
+            # Another key from here on: the image goes on as inserts under it.
+            text = cut_lineage(text)
+    return Restored(text, relation, start)
+
+
+def _image(rows: DataFrame, spans: list, text: DataFrame | None, oid: int, start: int | None) -> DataFrame:
+    """Rows of a table after the changes of some spans, all of one key, and the rows before them (or None)."""
+    columns = spans[-1][2]["columns"]
+    names = [c["name"] for c in columns]
+    if text is not None:
+        # Columns added since are null in earlier rows.
+        text = text.select(*[(F.col(n) if n in text.columns else F.lit(None).cast("string")).alias(n) for n in names])
+        text = text.withColumn("relation_oid", F.lit(oid).cast("bigint")).withColumn("start_lsn", F.lit(start or 0).cast("bigint"))
+    if _keyed(spans[-1][2]):
         changes = None
-        for low, high, layout in _spans(layouts):
+        for low, high, layout in spans:
             part, keys, _ = replay.row_changes(_between(rows, low, high), layout["columns"])
-            part = _as_layout(part, keys, columns)
+            part = _as_layout(part, columns)
             changes = part if changes is None else changes.unionByName(part)
         keys, data = [c["name"] for c in columns if c["is_key"]], [c["name"] for c in columns if not c["is_key"]]
         if text is not None:
@@ -176,60 +186,81 @@ def restore_table(
             if c["is_key"]:
                 for k in (c["name"], f"old_{c['name']}"):
                     changes = changes.withColumn(k, canonical_text(F.col(k), c["type_oid"], c["typmod"]))
-        image = replay.replay(changes, ["relation_oid", *keys], data)
-    else:
-        signed = None
-        for low, high, layout in _spans(layouts):
-            part = replay.signed_rows(_between(rows, low, high), layout["columns"])
-            have = set(part.columns)
-            part = part.select(
-                *[(F.col(n) if n in have else F.lit(None).cast("string")).alias(n) for n in names], "w"
-            )
-            signed = part if signed is None else signed.unionByName(part)
-        if text is not None:
-            signed = signed.unionByName(text.select(*names, F.lit(1).cast("bigint").alias("w")))
-        signed = signed.select(
-            *[canonical_text(F.col(c["name"]), c["type_oid"], c["typmod"]).alias(c["name"]) for c in columns], "w"
-        )
-        image = replay.replay_full(signed, names)
-    image = image.select(*names)
-    return Restored(image, relation, start)
+        return replay.replay(changes, ["relation_oid", *keys], data).select(*names)
+    signed = None
+    for low, high, layout in spans:
+        part = replay.signed_rows(_between(rows, low, high), layout["columns"])
+        have = set(part.columns)
+        part = part.select(*[(F.col(n) if n in have else F.lit(None).cast("string")).alias(n) for n in names], "w")
+        signed = part if signed is None else signed.unionByName(part)
+    if text is not None:
+        signed = signed.unionByName(text.select(*names, F.lit(1).cast("bigint").alias("w")))
+    signed = signed.select(
+        *[canonical_text(F.col(c["name"]), c["type_oid"], c["typmod"]).alias(c["name"]) for c in columns], "w"
+    )
+    return replay.replay_full(signed, names).select(*names)
+
+
+def _keyed(relation: Row) -> bool:
+    return any(c["is_key"] for c in relation["columns"]) and relation["replica_identity"] != "n"
+
+
+def _key_groups(layouts: list) -> list[list]:
+    """Spans with one column layout each, as runs that have the same key."""
+    groups: list[list] = []
+    before = None
+    for span in _spans(layouts):
+        key = sorted(c["name"] for c in span[2]["columns"] if c["is_key"]) if _keyed(span[2]) else None
+        if not groups or key != before:
+            groups.append([])
+        groups[-1].append(span)
+        before = key
+    return groups
 
 
-def _layouts(log: DataFrame, effective: DataFrame, pinned: Row | None) -> list[tuple[int | None, Row]]:
-    """Schemas in force along a table's log: the position each one starts at, and the schema.
+def _effective(spark: SparkSession, root: str, log: DataFrame, oid: int) -> DataFrame:
+    """Changes of committed transactions. A table's transactions follow one another, so those up to
+    the position that the ingest state has as committed are; an archive without a state is counted."""
+    path = commits.ingest_state(spark, root)
+    if path is None:
+        return transactions.committed(log)
+    known = spark.read.parquet(path).where(F.col("relation_oid") == oid).select("committed_lsn").first()
+    upto = None if known is None else known["committed_lsn"]
+    return log.where(F.col("final_lsn") <= upto) if upto is not None else log.where("false")
 
-    The snapshot pins the first one. Schema changes are few and are read to the driver;
+
+def _layouts(log: DataFrame, effective: DataFrame, pinned: Row | None) -> tuple[list[tuple[int | None, Row]], Row | None]:
+    """Schemas in force along a table's log (the position each one starts at, and the schema), and
+    where its newest truncate stands.
+
+    The snapshot pins the first schema. Schema changes are few and are read to the driver;
     messages that repeat the schema in force are dropped before that. Without a snapshot,
     schemas sent outside any transaction count too.
     """
-    sent = effective.where("msg_type = 'relation'")
+    sent = effective.where("msg_type in ('relation', 'truncate')")
     if pinned is None:
         sent = sent.unionByName(log.where("msg_type = 'relation' and final_lsn is null"))
-    sent = sent.select(
-        "relation_oid",
-        "pos",
-        F.coalesce("final_lsn", F.lit(0)).cast("bigint").alias("lsn"),
-        "namespace",
-        "name",
-        "replica_identity",
-        "columns",
-    )
-    version = F.struct("namespace", "name", "replica_identity", "columns")
-    one = sent.groupBy("namespace", "name", "replica_identity", "columns").agg(
-        F.min("pos").alias("pos"), F.min_by("relation_oid", "pos").alias("relation_oid"), F.min_by("lsn", "pos").alias("lsn")
-    ).take(2)
+    version = ["namespace", "name", "replica_identity", "columns"]
+    lsn = F.coalesce("final_lsn", F.lit(0)).cast("bigint").alias("lsn")
+    # One row per schema, and one for all truncates: usually two at most.
+    found = sent.select("msg_type", "relation_oid", "pos", "seq", "final_lsn", lsn, *version).groupBy("msg_type", *version).agg(
+        F.min("pos").alias("pos"), F.min_by("relation_oid", "pos").alias("relation_oid"), F.min_by("lsn", "pos").alias("lsn"),
+        F.max(F.struct(*replay.ORDER)).alias("at"),
+    ).collect()
+    barrier = max((r["at"] for r in found if r["msg_type"] == "truncate"), default=None)
+    one = [r for r in found if r["msg_type"] == "relation"]
     if len(one) < 2:
         # The usual case: one schema all along.
         if pinned is not None:
-            return [(None, pinned), *[(r["pos"], r) for r in one]]
-        return [(None, r) for r in one]
-    marked = ordered_scan(sent, ["relation_oid"], ["pos"], [Prev("__prev", version)])
-    found = marked.where(~F.col("__prev").eqNullSafe(version)).orderBy("pos").collect()
-    layouts = [(r["pos"], r) for r in found]
+            return [(None, pinned), *[(r["pos"], r) for r in one]], barrier
+        return [(None, r) for r in one], barrier
+    sent = sent.where("msg_type = 'relation'").select("relation_oid", "pos", lsn, *version)
+    marked = ordered_scan(sent, ["relation_oid"], ["pos"], [Prev("__prev", F.struct(*version))])
+    changed = marked.where(~F.col("__prev").eqNullSafe(F.struct(*version))).orderBy("pos").collect()
+    layouts = [(r["pos"], r) for r in changed]
     if pinned is not None:
-        return [(None, pinned), *layouts]
-    return [(None, layouts[0][1]), *layouts[1:]] if layouts else []
+        return [(None, pinned), *layouts], barrier
+    return [(None, layouts[0][1]), *layouts[1:]] if layouts else [], barrier
 
 
 def _spans(layouts: list[tuple[int | None, Row]]):
@@ -250,12 +281,10 @@ def _between(rows: DataFrame, low: int | None, high: int | None) -> DataFrame:
     return rows
 
 
-def _as_layout(part: DataFrame, keys: list[str], columns: Sequence) -> DataFrame:
-    """Row changes of an older layout under the newest one: dropped columns go, columns
-    added later are null."""
+def _as_layout(part: DataFrame, columns: Sequence) -> DataFrame:
+    """Row changes of an older layout with the same key under the newest one: dropped columns
+    go, columns added later are null."""
     wanted = [c["name"] for c in columns if c["is_key"]]
-    if sorted(keys) != sorted(wanted):
-        raise ValueError(f"the key changed from {keys} to {wanted}; take a snapshot after the change")
     have = set(part.columns)
     out = [F.col(c) for c in ("relation_oid", *replay.ORDER, "op", *wanted, *[f"old_{k}" for k in wanted])]
     for c in columns:
