@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline
 from brute import WORD
 from data import COLUMNS, empty, rows
@@ -50,11 +52,12 @@ def near(seed=4):
     return out
 
 
-def test_every_pair_over_the_bound_links(spark):
+@pytest.mark.parametrize("most", [8192, 4])
+def test_every_pair_over_the_bound_links(spark, most):
     docs = near()
     docs += [(None, " \n"), (2000, None), (2001, ""), (None, docs[0][1]), (2002, "  " + docs[0][1].upper()), (None, "alone")]
     want = components(docs)
-    found = similar.similar_components(spark.createDataFrame(docs, "doc_id long, text string"))
+    found = similar.similar_components(spark.createDataFrame(docs, "doc_id long, text string"), most=most)
     assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
     assert 40 < len({c for _, c in want}) < len(docs)
 

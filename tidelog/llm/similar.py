@@ -10,17 +10,16 @@ other prefix; for the rest the order is rarest first, so passages that many docu
 last and rarely name a pair.
 
 Dense groups stay cheap: the index reports a forest, and every shared shingle a star. Only
-shingles whose documents are still in different components are joined, a set as the smaller one
-of a pair by the first ninth of its shingles, as the larger one by the first fifth, and only as far
-as those that come after the shared one can still make up the overlap, and sketches of both
-sets do not rule it out. A passage that many documents share comes last in their order, so
-what passes is alike but for the last bits, and few such pairs are not linked by then.
+shingles whose documents are still in different components have their sets compared: a set as the
+smaller one of a pair by the first ninth of its shingles, as the larger one by the first fifth. A
+pair goes on only if the shingles after the shared one can still make up the overlap and sketches
+of both sets do not rule it out. A passage that many documents share comes last in their order,
+so what passes is nearly alike.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.registry import bounded
-from tidelog.llm.simhash import SEED, SLICE, components, fold, links, shingle_hashes
+from tidelog.llm.simhash import MOST, SEED, SLICE, _starts, components, fold, links, shingle_hashes
 from tidelog.session import cut_lineage
 
 SHINGLE = 5
@@ -108,7 +107,62 @@ def _pairs(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _partners(open_: DataFrame, most: int) -> DataFrame:
+    """(a, bs): per shingle and set, which larger sets of other components might overlap with it by 0.8.
+
+    The sets of a shingle are compared in numpy, a slice against all. Those of a shingle that over
+    ``most`` sets share are cut into chunks, and each pair of chunks meets in a task of its own."""
+    crowd = open_.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > most)
+    crowd = cut_lineage(crowd.select("h", F.ceil(2 * F.col("m") / most).cast("int").alias("chunks")))
+    rows = open_.join(bounded(crowd), "h", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    home = F.pmod(F.xxhash64("k"), F.col("chunks")).cast("int")
+    rows = rows.withColumn("home", home).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.select(
+        "h", F.least("home", "other").alias("low"), F.greatest("home", "other").alias("high"), (F.col("home") > F.col("other")).alias("side"),
+        "k", "n", "rest", "short", "root", "sketch",
+    )
+    key = ["h", "low", "high"]
+
+    def compared(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        k, n, rest, root = (table[c].to_numpy().astype(np.int64) for c in ("k", "n", "rest", "root"))
+        side, short = (table[c].to_numpy() for c in ("side", "short"))
+        words = table["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(k), -1)
+        across = table["low"][0].as_py() != table["high"][0].as_py()
+        for at in range(0, len(k), SLICE):
+            rows = np.flatnonzero(short[at : at + SLICE]) + at
+            fits = (root[rows, None] != root) & (9 * np.minimum(rest[rows, None], rest) >= 4 * (n[rows, None] + n))
+            fits &= (n[rows, None] < n) | ((n[rows, None] == n) & (k[rows, None] < k))
+            if across:
+                fits &= side[rows, None] != side
+            a, b = np.nonzero(fits)
+            near = np.zeros(len(a), bool)
+            for start in range(0, len(a), 1 << 18):
+                part = slice(start, start + (1 << 18))
+                differ = np.bitwise_count(words[rows[a[part]]] ^ words[b[part]]).sum(axis=1, dtype=np.int64)
+                # Sets that overlap by 0.8 differ in a ninth of their sizes at most.
+                near[part] = 9 * differ <= n[rows[a[part]]] + n[b[part]]
+            a, b = rows[a[near]], b[near]
+            if len(a):
+                cuts = np.flatnonzero(np.diff(a, prepend=-1))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(k[a[cuts]]), pa.ListArray.from_arrays(pa.array(np.append(cuts, len(a)).astype(np.int32)), pa.array(k[b]))], ["a", "bs"]
+                )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            starts = _starts(table, key)
+            for start, end in zip(starts[:-1], starts[1:]):
+                yield from compared(table.slice(start, end - start))
+            held = table.slice(starts[-1]) if len(starts) else None
+        if held is not None and len(held):
+            yield from compared(held)
+
+    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, bs array<long>")
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
     """One row per row of ``docs``: id and ``component_id``, the smallest id reachable over links.
 
     Texts of fewer than five words are one shingle. Null and blank texts have no shingle and
@@ -162,19 +216,11 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # What a star left apart: pairs of a smaller set and a larger one by their first shared shingle.
     placed = cut_lineage(keys.join(roots, "k", "left").select("h", "k", "n", "rest", "short", F.coalesce("root", "k").alias("root")))
     split = placed.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("short").alias("some")).where("some and r0 != r1").select("h")
-    open_ = placed.join(bounded(cut_lineage(split)), "h", "left_semi").join(full.select("k", "sketch"), "k")
-    open_ = cut_lineage(open_)
-    other = open_.select("h", *[F.col(c).alias(f"b_{c}") for c in ("k", "n", "rest", "root", "sketch")])
-    smaller = (F.col("n") < F.col("b_n")) | ((F.col("n") == F.col("b_n")) & (F.col("k") < F.col("b_k")))
-    apart = F.col("root") != F.col("b_root")
-    # Sets that overlap by 0.8 differ in a ninth of their sizes at most.
-    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("b_sketch")[i])) for i in range(SKETCH // 64)])
-    alike = 9 * differ <= F.col("n") + F.col("b_n")
-    rest = (
-        open_.where("short").join(other, "h")
-        .where(smaller & apart & _may_fit(F.col("n"), F.col("rest"), F.col("b_n"), F.col("b_rest")) & alike)
-        .select(*_pairs(F.col("k"), F.col("b_k"))).distinct().join(first, ["a", "b"], "left_anti")
-    )
+    open_ = cut_lineage(placed.join(bounded(cut_lineage(split)), "h", "left_semi").join(full.select("k", "sketch"), "k"))
+    # Partners of a set as one list per shingle; a pair that shares many shingles is one row in the end.
+    partners = _partners(open_, most).groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs"))
+    rest = partners.select("a", F.explode("bs").alias("b")).select(*_pairs(F.col("a"), F.col("b")))
+    rest = rest.join(first, ["a", "b"], "left_anti")
     more = _confirmed(rest, sets)
     if not more.isEmpty():
         roots = components(edges.unionByName(more)).withColumnRenamed("node", "k")
