@@ -32,6 +32,13 @@ SOME = [
     "lsn_text",
     "typed_projection",
     "segment_scan",
+    "segment_files",
+    "segment_stream",
+    "inspect_segments",
+    "stream_ingest_binary",
+    "restore_rekeyed",
+    "restore_at_ts",
+    "dedupe_redelivery",
     "decode_roundtrip",
     "decode_insert",
     "copy_text_roundtrip",

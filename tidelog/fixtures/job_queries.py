@@ -310,7 +310,7 @@ def _landed_binary(spark: SparkSession, log: DataFrame, whole_log: bool, parts:
     """An encoded log as segment files that land in ``parts`` instalments, each ingested when it is there.
 
     Instalments end inside transactions. Only messages are counted, so files of a later one
-    never come before files of an earlier one."""
+    never come before files of an earlier one. Files of the whole log are taken by name."""
     landing, root = scratch_dir(spark, "landing"), scratch_dir(spark, "archive")
     stitched = transactions.stitch_transactions(log)
     cut = cut_lineage(segments.segment_by_count(stitched, MESSAGES_PER_SEGMENT // 4))
@@ -319,7 +319,7 @@ def _landed_binary(spark: SparkSession, log: DataFrame, whole_log: bool, parts:
         low, high = ((last + 1) * k // parts for k in (i, i + 1))
         own = (F.col("segment_id") >= low) & (F.col("segment_id") < high)
         cut_lineage(write_segment_files(cut, landing, own))
-        run = ing.ingest(spark, landing, root, f"{root}/checkpoint", binary=True, messages_per_segment=MESSAGES_PER_SEGMENT, whole_log=whole_log)
+        run = ing.ingest(spark, landing, root, f"{root}/checkpoint", binary=True, messages_per_segment=MESSAGES_PER_SEGMENT, whole_log=whole_log, by_name=whole_log)
         run.awaitTermination()
     return root
 

@@ -16,9 +16,10 @@ from tidelog.operators import segments, transactions
 from tidelog.operators.scan import RowNumber, ordered_scan
 from tidelog.plans import jobs
 from tidelog.session import cut_lineage, scratch_dir
-from tidelog.sources import copytext, store
+from tidelog.sources import copytext, datasource, store
 from tidelog.sources.segments import list_segments, read_frames, read_headers, split_frames, write_segment_files
 from tidelog.sources.wire import decode_control, decode_messages, message_type
+from tidelog.streaming import live
 
 FRAMES_PER_SEGMENT = 50
 
@@ -77,6 +78,21 @@ def segment_files(spark: SparkSession, sf: str) -> DataFrame:
     return files.select("relation_oid", "segment_name", "min_lsn", "postfix", "max_lsn", "messages")
 
 
+@query(
+    "segment_stream",
+    with_fixtures("messages", body="SELECT relation_oid, row_number() OVER (PARTITION BY relation_oid ORDER BY pos) AS n, msg_type, k FROM messages"),
+)
+def segment_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same files through the streaming data source, whose offsets are files and bytes."""
+    datasource.register(spark)
+    work = scratch_dir(spark, "stream")
+    stream = spark.readStream.format("tidelog_segments").load(written_segments(spark, sf))
+    live.write_append(stream.select("relation_oid", "pos", "raw"), f"{work}/out", f"{work}/checkpoint").awaitTermination()
+    decoded = decode_messages(spark.read.parquet(f"{work}/out"))
+    ordered = ordered_scan(decoded, ["relation_oid"], ["pos"], [RowNumber("n")], levels=2)
+    return ordered.select("relation_oid", "n", "msg_type", _cell_columns()[0])
+
+
 @query(
     "inspect_segments",
     with_fixtures("messages", body=f"SELECT relation_oid, row_number() OVER (PARTITION BY relation_oid ORDER BY pos) AS n, line FROM ({INSPECT_SQL}) i"),

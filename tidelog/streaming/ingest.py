@@ -25,7 +25,7 @@ from tidelog.operators.lookup import join_small, with_value
 from tidelog.operators.scan import Last, Prev, RowNumber, ordered_scan
 from tidelog.schema import CHANGES, DML_TYPES
 from tidelog.session import cut_lineage
-from tidelog.sources import commits, store
+from tidelog.sources import commits, datasource, store
 from tidelog.sources.segments import named_segments, read_frames, with_stream_position
 from tidelog.sources.wire import decode_messages
 
@@ -313,17 +313,28 @@ def ingest(
     after_store: Callable[[SparkSession, int], None] | None = None,
     continuous: str | None = None,
     whole_log: bool = False,
+    by_name: bool = False,
 ) -> StreamingQuery:
     """Start the ingest of a landing directory. Processes what is there and stops, or with
-    ``continuous`` (a processing interval) keeps running."""
+    ``continuous`` (a processing interval) keeps running.
+
+    Binary files are taken in the order of their times, up to ``max_files`` at once, or with
+    ``by_name`` in log order, all that are there at once (see ``sources.datasource``)."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark, changes, read = batch.sparkSession, batch, None
-        if binary:
+        if by_name:
+            changes = decode_messages(batch.select("relation_oid", "pos", "raw"), mode)
+        elif binary:
             changes, read = decode_batch(batch, read_state(spark, root, batch_id), mode)
         store_batch(changes, batch_id, root, messages_per_segment, tables, after_store, whole_log, read)
 
-    writer = stream_changes(spark, landing, binary, max_files).writeStream.foreachBatch(run)
+    if by_name:
+        datasource.register(spark)
+        stream = spark.readStream.format("tidelog_segments").option("mode", mode).load(landing)
+    else:
+        stream = stream_changes(spark, landing, binary, max_files)
+    writer = stream.writeStream.foreachBatch(run)
     writer = writer.option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=continuous) if continuous else writer.trigger(availableNow=True)
     return writer.start()
