@@ -4,9 +4,8 @@ The model's protobuf is read field by field, and normaliser, metaspace marker, s
 fallback are rebuilt as a tokenizers pipeline: a unigram model takes the scores as they are, a
 BPE model turns them into ranked merges. Batches are encoded on all threads the task may use.
 
-Every batch is also encoded by the sentencepiece library. Where the two differ (ties between
-equal scores can be broken differently), the row says so and carries the library's ids, so
-ids always are the model's own.
+Every batch is also encoded by the sentencepiece library. The ids are those of the rebuilt
+pipeline; where the library gives others, the row says so.
 """
 
 from __future__ import annotations

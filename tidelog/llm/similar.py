@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.registry import bounded
-from tidelog.llm.simhash import MOST, SEED, SLICE, _starts, components, fold, links, shingle_hashes
+from tidelog.llm.simhash import MOST, SEED, _starts, components, fold, links, shingle_hashes
 from tidelog.session import cut_lineage
 
 SHINGLE = 5
@@ -36,6 +36,8 @@ SHINGLE = 5
 DISTANCE = 4
 #: Bits of a set's sketch.
 SKETCH = 512
+#: Texts whose hashes, or sets whose comparisons, a task holds at once.
+SLICE = 512
 
 
 def needed(n: int) -> int:
