@@ -26,7 +26,7 @@ from tidelog.session import cut_lineage, scratch_dir
 from tidelog.sources import store
 from tidelog.sources.segments import write_segment_files
 from tidelog.streaming import ingest as ing
-from tidelog.streaming import live
+from tidelog.streaming import image, live
 
 MESSAGES_PER_SEGMENT = 200
 FILES = 6
@@ -515,13 +515,13 @@ def stream_late_drop(spark: SparkSession, sf: str) -> DataFrame:
     with_fixtures("done_image", body=_BY_OID.format(image="done_image")),
 )
 def stream_replay(spark: SparkSession, sf: str) -> DataFrame:
-    """A maintained image: ingest takes a snapshot every second batch, readers replay the tail."""
-    oids = [16384 + i for i in range(4)]
+    """A maintained image: each batch rewrites the key buckets of the tables that it changed."""
     landing, root = scratch_dir(spark, "landing"), scratch_dir(spark, "archive")
     land(spark, t.messages(t.chg(spark, sf)), landing)
-    hook = live.compact_every(root, 2, oids)
-    ing.ingest(spark, landing, root, f"{root}/checkpoint", max_files=2, after_store=hook).awaitTermination()
-    return _restored(spark, root)
+    ing.ingest(spark, landing, root, f"{root}/checkpoint", max_files=2, after_store=image.keep(root, 8)).awaitTermination()
+    return _union(
+        image.read_image(spark, root, r["relation_oid"]).withColumn("relation_oid", F.lit(r["relation_oid"])) for r in _tables(spark, root)
+    )
 
 
 def _event_stream(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
