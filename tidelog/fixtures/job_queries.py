@@ -524,10 +524,10 @@ def stream_replay(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _event_stream(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
-    """The stitched change rows of the log as a stream of files."""
+def _event_stream(spark: SparkSession, sf: str, chosen: str = "true") -> tuple[DataFrame, str]:
+    """The stitched change rows of the log, or some of them, as a stream of files."""
     work = scratch_dir(spark, "stream")
-    log = t.chg(spark, sf).select(
+    log = t.chg(spark, sf).where(chosen).select(
         "relation_oid",
         F.col("lsn").alias("pos"),
         F.when(F.col("op") == "I", "insert").when(F.col("op") == "U", "update").otherwise("delete").alias("msg_type"),
@@ -569,6 +569,31 @@ def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_HELD = "(relation_oid % 2 = 0 OR epoch_us(ts) <= (SELECT epoch_us(min(ts)) + (epoch_us(max(ts)) - epoch_us(min(ts))) * 2 // 3 FROM chg))"
+
+
+@query(
+    "stream_sessions_held_back",
+    with_fixtures(
+        "chg",
+        body=f"""SELECT relation_oid, min_us, closed_us, messages, min_lsn, max_lsn FROM {_SESSIONS.format(gap=3600000000).replace("FROM chg WINDOW", f"FROM chg WHERE {_HELD} WINDOW")} s
+WHERE closed_us <= (SELECT min(us) FROM (SELECT epoch_us(max(ts)) // 1000 * 1000 AS us FROM chg WHERE {_HELD} GROUP BY relation_oid % 2) m)""",
+    ),
+)
+def stream_sessions_held_back(spark: SparkSession, sf: str) -> DataFrame:
+    """Two streams, of which one has not sent its last third: nothing closes that it may still touch."""
+    span = t.chg(spark, sf).agg(*[as_micros(f("ts")).alias(n) for f, n in ((F.min, "low"), (F.max, "high"))]).first()
+    cut = span["low"] + (span["high"] - span["low"]) * 2 // 3
+    whole, work = _event_stream(spark, sf, "relation_oid % 2 = 0")
+    held, _ = _event_stream(spark, sf, f"relation_oid % 2 = 1 and unix_micros(cast(ts as timestamp)) <= {cut}")
+    closed = live.stream_segments(live.merged_streams([whole, held], "0 seconds"), "1 hour", None)
+    live.write_append(closed, f"{work}/out", f"{work}/checkpoint").awaitTermination()
+    out = spark.read.parquet(f"{work}/out")
+    return out.select(
+        "relation_oid", as_micros(F.col("min_ts")).alias("min_us"), as_micros(F.col("closed_at")).alias("closed_us"), "messages", "min_lsn", "max_lsn"
+    )
+
+
 @query(
     "stream_idle",
     with_fixtures(

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -14,13 +18,22 @@ from tidelog.plans import jobs
 from tidelog.streaming import ingest as ing
 
 
-def stream_segments(changes: DataFrame, gap: str, delay: str, ts: str = "commit_ts", lsn: str = "final_lsn") -> DataFrame:
+def merged_streams(streams: Sequence[DataFrame], delay: str, ts: str = "commit_ts") -> DataFrame:
+    """Several change streams as one whose watermark is that of the stream furthest behind.
+
+    What one stream has not sent yet is never late, and nothing closes before it."""
+    streams[0].sparkSession.conf.set("spark.sql.streaming.multipleWatermarkPolicy", "min")
+    return reduce(DataFrame.unionByName, [s.withWatermark(ts, delay) for s in streams])
+
+
+def stream_segments(changes: DataFrame, gap: str, delay: str | None, ts: str = "commit_ts", lsn: str = "final_lsn") -> DataFrame:
     """Segments that close after an idle gap. A session is emitted once the watermark has
-    passed its end; sessions of a partition are merged before the shuffle."""
+    passed its end, so the last one of a table waits for later changes of any table; sessions of a
+    partition are merged before the shuffle. ``delay=None``: the stream has its watermark already."""
     spark = changes.sparkSession
     spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     return (
-        changes.withWatermark(ts, delay)
+        (changes if delay is None else changes.withWatermark(ts, delay))
         .groupBy("relation_oid", F.session_window(ts, gap).alias("session"))
         .agg(F.count("*").alias("messages"), F.min(lsn).alias("min_lsn"), F.max(lsn).alias("max_lsn"))
         .select("relation_oid", F.col("session.start").alias("min_ts"), F.col("session.end").alias("closed_at"), "messages", "min_lsn", "max_lsn")
@@ -39,9 +52,15 @@ def stream_idle_by_clock(changes: DataFrame, idle_ms: int, lsn: str = "final_lsn
 
     Event time stands still when a whole database goes quiet; a processing-time timer per
     table fires all the same. State is one count and one position per table. Needs a
-    processing-time trigger, so that batches run without new data."""
+    processing-time trigger, so that batches run without new data. Rows are counted where they
+    are read: a table sends its worker one row per input batch of a task, however hot it is."""
     kind = dict(changes.dtypes)["relation_oid"]
 
+    def counted(batches):
+        for batch in batches:
+            sums = pa.Table.from_batches([batch]).group_by("relation_oid").aggregate([([], "count_all"), ("max_lsn", "max")])
+            yield from sums.select(["relation_oid", "count_all", "max_lsn_max"]).rename_columns(["relation_oid", "messages", "max_lsn"]).to_batches()
+
     def run(key, chunks, held):
         if held.hasTimedOut:
             messages, max_lsn = held.get
@@ -50,15 +69,16 @@ def stream_idle_by_clock(changes: DataFrame, idle_ms: int, lsn: str = "final_lsn
             return
         messages, max_lsn = held.get if held.exists else (0, 0)
         for chunk in chunks:
-            messages += len(chunk)
-            newest = chunk[lsn].max()
+            messages += int(chunk["messages"].sum())
+            newest = chunk["max_lsn"].max()
             if pd.notna(newest):
                 max_lsn = max(max_lsn, int(newest))
         held.update((messages, max_lsn))
         held.setTimeoutDuration(idle_ms)
 
     return (
-        changes.select("relation_oid", F.col(lsn).cast("bigint").alias(lsn))
+        changes.select("relation_oid", F.col(lsn).cast("bigint").alias("max_lsn"))
+        .mapInArrow(counted, f"relation_oid {kind}, messages bigint, max_lsn bigint")
         .groupBy("relation_oid")
         .applyInPandasWithState(
             run, f"relation_oid {kind}, messages bigint, max_lsn bigint", "messages bigint, max_lsn bigint",
