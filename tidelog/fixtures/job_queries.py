@@ -132,15 +132,16 @@ def purge(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("table_state_stored", ORACLES["table_state"])
 def table_state_stored(spark: SparkSession, sf: str) -> DataFrame:
-    """The state of all tables, stored over an older version and read back."""
-    root = scratch_dir(spark, "archive")
+    """The state of all tables: half of it archived over an older version, the rest staged over archived rows."""
+    staging, root = scratch_dir(spark, "staging"), scratch_dir(spark, "archive")
     current = cut_lineage(QUERIES["table_state"](spark, sf))
     older = current.select(*[
         (F.col(c) if c == "relation_oid" else F.lit(None).cast(kind)).alias(c) for c, kind in current.dtypes
     ])
     store.write_table_state(older, root)
-    store.write_table_state(current, root)
-    return store.read_table_state(spark, None, root)
+    store.write_table_state(current.where("relation_oid % 2 = 0"), root)
+    store.write_table_state(current.where("relation_oid % 2 = 1"), staging)
+    return store.read_table_state(spark, staging, root)
 
 
 def _snapshots(spark: SparkSession, root: str) -> DataFrame:

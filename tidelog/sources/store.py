@@ -243,28 +243,33 @@ def write_name_history(history: DataFrame, root: str) -> bool:
     return True
 
 
-def write_table_state(state: DataFrame, root: str) -> None:
-    """Store a version of the table state (derived data, kept for readers of the archive)."""
-    versions = _read(state.sparkSession, f"{root}/state")
-    version = 1 if versions is None else versions.agg(F.max("version")).first()[0] + 1
-    state.write.mode("errorifexists").parquet(f"{root}/state/version={version}")
+def _stored_state(spark: SparkSession, root: str) -> DataFrame | None:
+    path = commits.ingest_state(spark, f"{root}/state")
+    return None if path is None else spark.read.parquet(path)
+
+
+def write_table_state(state: DataFrame, root: str) -> int:
+    """Store the table state (derived data, kept for readers of the archive) as the next version.
+
+    A version holds all tables: those that ``state`` leaves out keep their last row. Its number is
+    taken by a commit, so two writers never take the same one."""
+    spark = state.sparkSession
+    before = _stored_state(spark, root)
+    if before is not None:
+        kept = before.join(state.select("relation_oid"), "relation_oid", "left_anti")
+        state = state.unionByName(kept.select(*state.columns))
+    path = f"{root}/state/rows/{uuid.uuid4().hex}"
+    state.write.parquet(path)
+    return commits.commit(spark, f"{root}/state", "state", ingest=(commits.newest_version(spark, f"{root}/state") + 1, path))
 
 
 def read_table_state(spark: SparkSession, staging: str | None, archive: str) -> DataFrame | None:
     """Newest stored state per table; the staging copy wins over the archived one."""
-    found = []
-    for priority, root in ((0, staging), (1, archive)):
-        versions = _read(spark, f"{root}/state") if root else None
-        if versions is not None:
-            found.append(versions.withColumn("__priority", F.lit(priority)))
-    if not found:
-        return None
-    both = found[0] if len(found) == 1 else found[0].unionByName(found[1])
-    rest = [c for c in both.columns if c not in ("relation_oid", "__priority", "version")]
-    picked = both.groupBy("relation_oid").agg(
-        F.max_by(F.struct(*rest), F.struct(-F.col("__priority"), F.col("version"))).alias("__s")
-    )
-    return picked.select("relation_oid", *[F.col(f"__s.{c}").alias(c) for c in rest])
+    staged, archived = (None if root is None else _stored_state(spark, root) for root in (staging, archive))
+    if staged is None or archived is None:
+        return archived if staged is None else staged
+    rest = archived.join(staged.select("relation_oid"), "relation_oid", "left_anti")
+    return staged.unionByName(rest.select(*staged.columns))
 
 
 def empty_changes(spark: SparkSession) -> DataFrame:
