@@ -21,12 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidelog.llm.registry import documents, query
+from tidelog.llm.registry import documents, query, release
 
 MODEL = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers") + "/piece_bpe_32k.model"
 MARK = "▁"
 #: Characters handled at a time, a longer text alone.
-CHARS = 1 << 20
+CHARS = 1 << 18
 #: Threads that encode for one task.
 THREADS = 2
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
@@ -227,6 +227,7 @@ def encode(
                 else:
                     out.append(pa.array(ids, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(out, [*carry, *added])
+            release()
 
     return source.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in zip([*carry, *added], [*(types[c] for c in carry), *kinds])))
 

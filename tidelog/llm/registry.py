@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +40,14 @@ def bounded(table: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(table) if table.count() <= most else table
 
 
+def release() -> None:
+    """Give memory that finished batches leave behind back to the system. Workers outlive their
+    tasks, and what one stage held would count against the next."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def set_aside(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, list]:
     """``docs`` with columns of the given names renamed, and what to select to have all of its
     columns back: for operators that add columns of those names and give them up again."""

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.registry import bounded
+from tidelog.llm.registry import bounded, release
 from tidelog.llm.simhash import MOST, SEED, _starts, components, fold, links, shingle_hashes
 from tidelog.session import cut_lineage
 
@@ -87,6 +87,7 @@ def _hashed(docs: DataFrame, id_col: str, text_col: str, whole: bool) -> DataFra
                  pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(sketches, pa.list_(pa.int64()))],
                 ["doc_id", "node", "n", "fp", "least", "hashes", "sketch"],
             )
+        release()
 
     return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['doc_id']}, node string, n int, fp long, least int, hashes array<long>, sketch array<long>")
 
