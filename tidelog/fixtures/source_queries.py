@@ -10,8 +10,7 @@ from tidelog.fixtures import wire
 from tidelog.fixtures.catalog_queries import INSPECT_SQL
 from tidelog.fixtures.oracles import with_fixtures
 from tidelog.fixtures.registry import query
-from tidelog.functions.cells import cell, text_cell
-from tidelog.functions.lsn import as_micros
+from tidelog.functions.cells import text_cell
 from tidelog.operators import segments, transactions
 from tidelog.operators.scan import RowNumber, ordered_scan
 from tidelog.plans import jobs
