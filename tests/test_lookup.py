@@ -67,3 +67,19 @@ def test_only_repeated_transactions_are_compared(spark):
     assert not re.search(r"(Aggregate|Exchange)[^\n]*payload", plan(found))
     once = spark.createDataFrame(rows, changes.schema)
     assert transactions.dedupe(once) is once
+
+
+def test_a_large_side_is_neither_broadcast_nor_copied_for_every_key(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "BROADCAST", 0)
+    monkeypatch.setattr(lookup, "HOT_ROWS", 500)
+    rows = log(spark).unionByName(log(spark).limit(40).withColumn("relation_oid", F.lit(None).cast("bigint")))
+    small = spark.createDataFrame([(i, f"t{i}") for i in range(2, 20)], "relation_oid long, name string")
+    names = {i: f"t{i}" for i in range(2, 20)}
+    want = [(r.relation_oid, r.final_lsn, names.get(r.relation_oid)) for r in rows.collect()]
+    key = lambda x: tuple((v is None, v) for v in x)
+    for how, kept in (("left", want), ("left_semi", [x for x in want if x[2]]), ("left_anti", [x for x in want if not x[2]])):
+        found = lookup.join_small(rows, small, ["relation_oid"], how)
+        got = [(r.relation_oid, r.final_lsn, names.get(r.relation_oid)) for r in found.collect()]
+        assert sorted(got, key=key) == sorted(kept, key=key)
+        assert "SortMergeJoin" in plan(found) and found.columns[: len(rows.columns)] == rows.columns
+    assert lookup.join_small(rows, small, ["relation_oid"]).columns == [*rows.columns, "name"]

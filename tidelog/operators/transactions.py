@@ -104,16 +104,18 @@ def dedupe(changes: DataFrame, identity: Sequence[str] = ("relation_oid", "final
     tx = [c for c in identity if c != "seq"]
     headed = changes.where("final_lsn is not null")
     if "tx_pos" in changes.columns:
-        held = headed.groupBy(*tx, "tx_pos").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
+        held = cut_lineage(headed.groupBy(*tx, "tx_pos").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"), F.count("*").alias("n")))
+        counts = held.groupBy(*tx).agg(F.sum("n").alias("n"))
         again = held.groupBy(*tx).agg(F.array_sort(F.collect_list(F.struct("tx_pos", "lo", "hi"))).alias("__held")).where("size(__held) > 1")
         earlier = F.exists("__held", lambda h: (h["tx_pos"] < F.col("tx_pos")) & F.col("seq").between(h["lo"], h["hi"]))
     else:
         again = headed.groupBy(*identity).agg(F.count("*").alias("n"), F.min("pos").alias("__held")).where("n > 1").drop("n")
+        counts = None
         tx, earlier = list(identity), F.col("pos") > F.col("__held")
     again = cut_lineage(again)
     if again.isEmpty():
         return changes
-    return join_small(changes, again, tx).where(~F.coalesce(earlier, F.lit(False))).select(*changes.columns)
+    return join_small(changes, again, tx, counts=counts).where(~F.coalesce(earlier, F.lit(False))).select(*changes.columns)
 
 
 def after_base(changes: DataFrame, snapshots: DataFrame) -> DataFrame:
