@@ -98,3 +98,17 @@ def test_data_source_reads_pieces_and_streams_by_file_and_byte(spark, tmp_path):
     rows = run().where(F.col("relation_oid") == OID).orderBy("pos").collect()
     assert [bytes(r.raw) for r in rows] == [*first, b"y", b"z"]
     assert run().count() == 505
+
+
+def test_small_segments_share_batches(spark):
+    """Three frames per segment, the last one torn in every other: one batch for many segments."""
+    frame = lambda raw: struct.pack(">Q", 8 + len(raw)) + raw
+    rows = [(i, bytearray(bytes(40) + frame(b"Ia") + frame(b"") + frame(b"Ic")[: 10 - i % 2])) for i in range(600)]
+    made = segments.split_frames(spark.createDataFrame(rows, "id long, content binary").coalesce(1), mode="PERMISSIVE")
+    found = {(r.id, r.frame_no): bytes(r.raw) for r in made.collect()}
+    assert found == {
+        (i, n): raw for i in range(600) for n, raw in enumerate([b"Ia", b"", frame(b"Ic")[:9] if i % 2 else b"Ic"])
+    }
+    assert made.mapInArrow(lambda bs: (b.slice(0, 1) for b in bs), made.schema).count() < 20
+    with pytest.raises(Exception, match="torn frame 2"):
+        segments.split_frames(spark.createDataFrame(rows[1:2], "id long, content binary")).collect()

@@ -98,36 +98,35 @@ def split_frames(files: DataFrame, content: str = "content", mode: str = "FAILFA
         for batch in batches:
             data = batch.column(batch.schema.get_field_index(content))
             rest = batch.select(names)
+            # Frames of many segments leave in one batch, so a small segment costs what its frames do.
+            rows, numbers, frames, weight = [], [], [], 0
             for row in range(batch.num_rows):
-                buf = data[row].as_buffer()
-                at, size, number = HEADER_BYTES, buf.size, 0
-                frames, weight = [], 0
-                view = memoryview(buf)
-                while at < size or frames:
-                    if at < size:
-                        whole = size - at >= LENGTH_BYTES
-                        length = struct.unpack_from(">Q", view, at)[0] if whole else 0
-                        if length < LENGTH_BYTES or at + length > size:
-                            if fail_fast:
-                                raise ValueError(f"torn frame {number + len(frames)} at byte {at} of {size}")
-                            frames.append(view[at:size])
-                            at = size
-                        else:
-                            frames.append(view[at + LENGTH_BYTES : at + length])
-                            weight += length
-                            at += length
-                    if frames and (at >= size or len(frames) >= _FRAMES_PER_BATCH or weight >= _BYTES_PER_BATCH):
-                        n = len(frames)
-                        repeated = rest.take(pa.array([row] * n))
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                *repeated.columns,
-                                pa.array(range(number, number + n), pa.int64()),
-                                pa.array([bytes(f) for f in frames], pa.binary()),
-                            ],
-                            names=[*names, "frame_no", "raw"],
-                        )
-                        number, frames, weight = number + n, [], 0
+                view = memoryview(data[row].as_buffer())
+                at, size, number = HEADER_BYTES, len(view), 0
+                while at < size:
+                    whole = size - at >= LENGTH_BYTES
+                    length = struct.unpack_from(">Q", view, at)[0] if whole else 0
+                    if length < LENGTH_BYTES or at + length > size:
+                        if fail_fast:
+                            raise ValueError(f"torn frame {number} at byte {at} of {size}")
+                        frame, at = bytes(view[at:size]), size
+                    else:
+                        frame, at = bytes(view[at + LENGTH_BYTES : at + length]), at + length
+                    rows.append(row)
+                    numbers.append(number)
+                    frames.append(frame)
+                    number, weight = number + 1, weight + len(frame)
+                    if len(frames) >= _FRAMES_PER_BATCH or weight >= _BYTES_PER_BATCH:
+                        yield split_batch(rest, rows, numbers, frames)
+                        rows, numbers, frames, weight = [], [], [], 0
+            if frames:
+                yield split_batch(rest, rows, numbers, frames)
+
+    def split_batch(rest: pa.RecordBatch, rows: list[int], numbers: list[int], frames: list[bytes]) -> pa.RecordBatch:
+        repeated = rest.take(pa.array(rows))
+        return pa.RecordBatch.from_arrays(
+            [*repeated.columns, pa.array(numbers, pa.int64()), pa.array(frames, pa.binary())], names=[*names, "frame_no", "raw"]
+        )
 
     return files.mapInArrow(split, schema)
 
