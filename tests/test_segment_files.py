@@ -112,3 +112,24 @@ def test_small_segments_share_batches(spark):
     assert made.mapInArrow(lambda bs: (b.slice(0, 1) for b in bs), made.schema).count() < 20
     with pytest.raises(Exception, match="torn frame 2"):
         segments.split_frames(spark.createDataFrame(rows[1:2], "id long, content binary")).collect()
+
+
+def test_a_segment_is_written_by_one_task_however_the_join_runs(spark, tmp_path):
+    """A merge join that turns into a broadcast while it runs must not part a segment's messages."""
+    made = spark.range(0, 30_000, 1, 7).select(
+        F.lit(OID).cast("bigint").alias("relation_oid"), (F.col("id") % 3000).alias("segment_id"), F.col("id").alias("pos"),
+        F.encode(F.concat(F.lit("I"), F.col("id").cast("string")), "UTF-8").alias("raw"), (F.col("id") % 3000).alias("final_lsn"),
+        F.lit(None).cast("timestamp").alias("commit_ts"),
+    )
+    made.write.parquet(str(tmp_path / "log"))
+    limits = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m"}
+    for name, value in limits.items():
+        spark.conf.set(name, value)
+    try:
+        root = str(tmp_path / "out")
+        assert segments.write_segment_files(spark.read.parquet(str(tmp_path / "log")), root).count() == 3000
+        frames = segments.read_segments(spark, root).groupBy("segment_name").agg(F.count("*").alias("n"))
+        assert frames.where("n = 10").count() == 3000
+    finally:
+        for name in limits:
+            spark.conf.unset(name)

@@ -274,7 +274,9 @@ def write_segment_files(messages: DataFrame, root: str, chosen: Column | None =
     named = segment_postfix(bounds).withColumn("path", F.concat_ws("/", F.lit(root), shard_path(F.col("relation_oid")), F.lit("deltas"), segment_name(F.col("min_lsn"), F.col("postfix"))))
     named = named if chosen is None else named.where(chosen)
     rows = messages.select("relation_oid", "segment_id", "pos", "raw").join(named, ["relation_oid", "segment_id"])
-    rows = rows.repartition("relation_oid", "segment_id").sortWithinPartitions("relation_oid", "segment_id", "pos")
+    # By path: a shuffle by the keys of the join would be left out as done already, and a join that
+    # turns into a broadcast while it runs reads its input unshuffled, parts of a segment in many tasks.
+    rows = rows.repartition("path").sortWithinPartitions("path", "pos")
     facts = ["relation_oid", "segment_name", "path", "min_lsn", "max_lsn", "t0", "t1", "messages"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

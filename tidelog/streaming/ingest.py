@@ -29,6 +29,7 @@ from tidelog.sources import commits, datasource, store
 from tidelog.sources.segments import named_segments, read_frames, with_stream_position
 from tidelog.sources.wire import decode_messages
 
+MAX_FILES = 1000
 _CARRY_POS = -1
 GAP = "__gap"
 LOG_STREAM = 0  # no table has this id
@@ -56,10 +57,16 @@ _BINARY_FILE = T.StructType(
 )
 
 
-def stream_changes(spark: SparkSession, landing: str, binary: bool = False, max_files: int = 1000) -> DataFrame:
+def stream_changes(spark: SparkSession, landing: str, binary: bool = False, max_files: int | None = None) -> DataFrame:
     """Stream of landed files: decoded changes as Parquet, or binary segments by path and length.
-    The contents of segments are read by the tasks that decode them (see ``decode_batch``)."""
-    reader = spark.readStream.option("maxFilesPerTrigger", max_files)
+    The contents of segments are read by the tasks that decode them (see ``decode_batch``).
+
+    Files are taken by their times, ``max_files`` at once: by default ``MAX_FILES`` of Parquet, but
+    all binary ones that are there. Many tasks write those, so their times do not follow the log,
+    and a cut by times would part a relation's files; inside a batch their names give the order."""
+    if max_files is None and not binary:
+        max_files = MAX_FILES
+    reader = spark.readStream if max_files is None else spark.readStream.option("maxFilesPerTrigger", max_files)
     if binary:
         files = reader.format("binaryFile").schema(_BINARY_FILE).option("recursiveFileLookup", "true").load(landing)
         return files.select("path", "length")
@@ -306,7 +313,7 @@ def ingest(
     root: str,
     checkpoint: str,
     binary: bool = False,
-    max_files: int = 1000,
+    max_files: int | None = None,
     messages_per_segment: int = 10_000,
     tables: DataFrame | None = None,
     mode: str = "FAILFAST",
@@ -318,8 +325,9 @@ def ingest(
     """Start the ingest of a landing directory. Processes what is there and stops, or with
     ``continuous`` (a processing interval) keeps running.
 
-    Binary files are taken in the order of their times, up to ``max_files`` at once, or with
-    ``by_name`` in log order, all that are there at once (see ``sources.datasource``)."""
+    Binary files are taken all that are there at once, in log order; ``max_files`` takes so many of
+    them by their times, which then have to follow the log. With ``by_name`` they come from the data
+    source, whose offsets follow the names (see ``sources.datasource``)."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark, changes, read = batch.sparkSession, batch, None
@@ -327,6 +335,7 @@ def ingest(
             changes = decode_messages(batch.select("relation_oid", "pos", "raw"), mode)
         elif binary:
             changes, read = decode_batch(batch, read_state(spark, root, batch_id), mode)
+            changes = cut_lineage(changes)  # files are read and decoded once
         store_batch(changes, batch_id, root, messages_per_segment, tables, after_store, whole_log, read)
 
     if by_name:
