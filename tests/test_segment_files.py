@@ -133,3 +133,16 @@ def test_a_segment_is_written_by_one_task_however_the_join_runs(spark, tmp_path)
     finally:
         for name in limits:
             spark.conf.unset(name)
+
+
+def test_small_files_share_a_task():
+    from tidelog.sources import datasource
+
+    def piece(n, first, last, size):
+        return datasource.Piece(datasource.Segment(OID, n, 0, f"/x/{OID}/{n:016x}", size), 0, first, last, 0)
+
+    small = [piece(n, 40, 140, 140) for n in range(600)]
+    cut = [piece(600, a, a + 1000, 3040) for a in (40, 1040, 2040)]
+    packed = datasource._packed([*small, *cut])
+    assert [len(p.held) for p in packed] == [256, 256, 88, 1, 1, 1]
+    assert [q for p in packed for q in p.held] == [*small, *cut]

@@ -1,6 +1,6 @@
 """Segment files as a data source: ``spark.read.format("tidelog_segments").load(path)``, and the same for streams.
 
-A partition is a byte range of a file. Files longer than ``splitBytes`` are cut where a frame
+A partition is a byte range of a file, or many small files. Files longer than ``splitBytes`` are cut where a frame
 index says (option ``index``: a Parquet table of :func:`tidelog.sources.segments.frame_index`);
 without one a file is one partition. A stream's offset is, per relation, the newest segment that
 was read, how many of its bytes, and how many bytes of the relation's stream there are up to
@@ -29,6 +29,10 @@ _ARROW = pa.schema([
 ])
 
 
+#: Bytes and number of small files that one task reads.
+PACK_BYTES, PACK_FILES = 4 * 1024 * 1024, 256
+
+
 @dataclass
 class Segment:
     """A file: its relation, its place among the relation's files, and its size."""
@@ -59,6 +63,27 @@ class Piece(InputPartition):
     frame_no: int | None
 
 
+@dataclass
+class Pieces(InputPartition):
+    """What one task reads: a piece of a large file, or many small files."""
+
+    held: list[Piece]
+
+
+def _packed(pieces: list[Piece]) -> list[Pieces]:
+    """Pieces dealt to tasks: pieces of one file each alone, whole small files up to ``PACK_BYTES`` and ``PACK_FILES``."""
+    out: list[Pieces] = []
+    room = files = 0
+    for piece in pieces:
+        size, whole = piece.last - piece.first, piece.first == HEADER_BYTES and piece.last == piece.segment.length
+        if not whole or size > room or files >= PACK_FILES:
+            out.append(Pieces([]))
+            room, files = PACK_BYTES if whole else 0, 0
+        out[-1].held.append(piece)
+        room, files = room - size if whole else 0, files + 1
+    return out
+
+
 def _order_of(name: str) -> tuple[int, int]:
     low, _, postfix = name.partition(".")
     return int(low, 16), int(postfix or 0)
@@ -99,7 +124,12 @@ def _index(options: dict) -> dict[str, list[tuple[int, int]]]:
     return {path: sorted(at) for path, at in cuts.items()}
 
 
-def _read(piece: Piece, fail_fast: bool) -> Iterator[pa.RecordBatch]:
+def _read(pieces: Pieces, fail_fast: bool) -> Iterator[pa.RecordBatch]:
+    for piece in pieces.held:
+        yield from _frames_of(piece, fail_fast)
+
+
+def _frames_of(piece: Piece, fail_fast: bool) -> Iterator[pa.RecordBatch]:
     source, inner = file_system(piece.segment.path)
     number = piece.frame_no
 
@@ -129,7 +159,7 @@ class SegmentReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
 
-    def partitions(self) -> Sequence[Piece]:
+    def partitions(self) -> Sequence[Pieces]:
         cuts, out, ahead, relation = _index(self.options), [], 0, None
         for segment in find_segments(self.options["path"]):
             ahead = ahead if segment.relation == relation else 0
@@ -137,9 +167,9 @@ class SegmentReader(DataSourceReader):
             if segment.length > HEADER_BYTES:
                 out += _pieces(segment, ahead, HEADER_BYTES, segment.length, cuts)
             ahead += segment.length
-        return out
+        return _packed(out)
 
-    def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Pieces) -> Iterator[pa.RecordBatch]:
         return _read(partition, self.options.get("mode", "FAILFAST") == "FAILFAST")
 
 
@@ -159,7 +189,7 @@ class SegmentStreamReader(DataSourceStreamReader):
             newest[str(segment.relation)] = {"segment": segment.name, "byte": segment.length, "pos": before["pos"] + segment.length}
         return newest
 
-    def partitions(self, start: dict, end: dict) -> Sequence[Piece]:
+    def partitions(self, start: dict, end: dict) -> Sequence[Pieces]:
         cuts, out, ahead = _index(self.options), [], {}
         for segment in find_segments(self.options["path"]):
             relation = str(segment.relation)
@@ -177,9 +207,9 @@ class SegmentStreamReader(DataSourceStreamReader):
                 first = max(first, done["byte"])
             if first < last:
                 out += _pieces(segment, at, first, last, cuts)
-        return out
+        return _packed(out)
 
-    def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Pieces) -> Iterator[pa.RecordBatch]:
         return _read(partition, self.options.get("mode", "FAILFAST") == "FAILFAST")
 
 

@@ -107,6 +107,7 @@ def route_log(batch: DataFrame, state: DataFrame) -> DataFrame:
         F.col("open_ts").alias("commit_ts"),
     )
     header = F.when(F.col("msg_type") == "begin", F.struct("xid", "final_lsn", "commit_ts", F.col("pos").alias("tx_pos")))
+    # What is read several times below is written once: a plan of it all grows with every use.
     scanned = ordered_scan(
         batch.unionByName(carried, allowMissingColumns=True), [], ["pos"], [Last("__h", header)], materialise=True
     )
@@ -118,6 +119,7 @@ def route_log(batch: DataFrame, state: DataFrame) -> DataFrame:
         own_ts.alias("commit_ts"),
         F.col("__h.tx_pos").alias("tx_pos"),
     )
+    headed = cut_lineage(headed)
     is_control = F.col("msg_type").isin("begin", "commit")
     control = headed.where(is_control)
     spread = transactions.explode_truncate(headed)
@@ -127,6 +129,7 @@ def route_log(batch: DataFrame, state: DataFrame) -> DataFrame:
     touched = rows.where("tx_pos is not null").groupBy("relation_oid", "final_lsn", "tx_pos").agg(
         F.min("pos").alias("first"), F.max("xid").alias("xid")
     )
+    touched = cut_lineage(touched)
     still_open = state.where(f"relation_oid <> {LOG_STREAM} and open_lsn is not null").select(
         "relation_oid", F.col("open_lsn").alias("final_lsn"), F.lit(_CARRY_POS).cast("bigint").alias("tx_pos")
     )
@@ -200,7 +203,10 @@ def advance(batch: DataFrame, state: DataFrame) -> DataFrame:
     numbered = numbered.withColumn("seq", (F.col("__n") + F.coalesce("__stored", F.lit(0))).cast("int")).drop(
         "__n", "__stored"
     )
+    # Written once: the redeliveries, the stored changes and the next state all come from it.
+    numbered = cut_lineage(numbered)
     once = transactions.dedupe(numbered)
+    once = once if once is numbered else cut_lineage(once)
     known = state.select("relation_oid", "committed_lsn", "open_lsn", "open_seq")
     joined = join_small(once, known, ["relation_oid"])
     beyond = F.col("committed_lsn").isNull() | (F.col("final_lsn") > F.col("committed_lsn"))
@@ -280,8 +286,7 @@ def store_batch(
         routed = transactions.tracked(routed, known)
     # Only messages of a relation have a place in its stream.
     routed = routed.where("relation_oid is not null")
-    # Written out once: the stored changes and the next state both come from it.
-    rows = cut_lineage(advance(routed, state))
+    rows = advance(routed, state)
     broken = rows.where(F.col(GAP)).select("relation_oid", "pos", "msg_type").take(5)
     if broken:
         raise ValueError(f"batch {batch_id} is not in log order or misses files before {[tuple(r) for r in broken]}")
@@ -332,7 +337,7 @@ def ingest(
     def run(batch: DataFrame, batch_id: int) -> None:
         spark, changes, read = batch.sparkSession, batch, None
         if by_name:
-            changes = decode_messages(batch.select("relation_oid", "pos", "raw"), mode)
+            changes = cut_lineage(decode_messages(batch.select("relation_oid", "pos", "raw"), mode))
         elif binary:
             changes, read = decode_batch(batch, read_state(spark, root, batch_id), mode)
             changes = cut_lineage(changes)  # files are read and decoded once
