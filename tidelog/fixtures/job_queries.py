@@ -313,7 +313,7 @@ def _landed_binary(spark: SparkSession, log: DataFrame, whole_log: bool, parts:
     Instalments end inside transactions. Only messages are counted, so files of a later one
     never come before files of an earlier one. Files of the whole log are taken by name."""
     landing, root = scratch_dir(spark, "landing"), scratch_dir(spark, "archive")
-    stitched = transactions.stitch_transactions(log)
+    stitched = transactions.stitch_transactions(cut_lineage(log))
     cut = cut_lineage(segments.segment_by_count(stitched, MESSAGES_PER_SEGMENT // 4))
     last = cut.agg(F.max("segment_id")).first()[0] or 0
     for i in range(parts):
