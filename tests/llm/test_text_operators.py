@@ -155,6 +155,31 @@ def test_personal_data_edges(spark):
     assert privacy.find_personal_data(empty(spark), judge).collect() == []
 
 
+def test_judge_learns_from_all_documents(spark):
+    n = 20_400
+    last = [r[0] for r in spark.range(n).orderBy(F.xxhash64("id").desc()).limit(400).collect()]
+    texts = ["call +49 170 1234567 now", "x@y.zz", "order 12345678 of 1234567", "at 1.2.3.4 or 300.2.3.4"]
+    own = {i: " ".join(texts[: k % 5]) for k, i in enumerate(last)}
+    docs = spark.createDataFrame([(i, own.get(i, "")) for i in range(n)], "doc_id long, text string")
+    judge = privacy.fit_judge(docs)
+    assert len(judge.forest.leaf) == 30 and judge.cuts[0] < 1 and judge.cuts[3] == float("inf")
+
+
+def test_sums_of_many_proposals_are_taken_in_tasks(spark, monkeypatch):
+    pick = np.random.default_rng(2)
+    made = [(pick.integers(0, privacy.BINS, privacy.FEATURES).tolist(), bool(k % 3), int(pick.integers(1, 9)), k % 4) for k in range(300)]
+    found = spark.createDataFrame(made, "x array<int>, confirmed boolean, n long, rank int").repartition(3)
+    x, y, n = (np.array([r[c] for r in made], np.int64) for c in range(3))
+    empty_tree = (np.zeros(3, np.int64), np.full(3, np.inf))
+    local = lambda *tree: trees.level_sums(x, y, n, *tree, privacy.BINS)
+    forest = trees.grow(local, int((n * (1 - y)).sum()), int((n * y).sum()), privacy.FEATURES, privacy.BINS, rounds=3, depth=2)
+    again = trees.fit(np.repeat(x, n, 0), np.repeat(y, n), rounds=3, depth=2)
+    assert np.allclose(forest.score(x), again.score(x), atol=1e-4)
+    monkeypatch.setattr(privacy, "LOCAL", 0)
+    spread = privacy._summing(found)(lambda x, y, n, rank: trees.level_sums(x, y, n, forest, *empty_tree, 1, privacy.BINS))
+    assert (spread == local(forest, *empty_tree, 1)).all()
+
+
 @pytest.fixture(scope="module")
 def raw():
     return pieces._model_bytes(pieces.MODEL)

@@ -4,27 +4,32 @@ calibrated thresholds.
 Four strict patterns with their checks (address parts, Luhn sum, digit counts) give the base
 spans, which always stay. Three loose generators propose further spans: runs of digits with
 separators, addresses with spaces or a spelled-out @, and four numbers in a row. Boosted trees
-score a proposal by what it looks like and what stands around it. They learn from proposals
-that a base span confirms against those that none does, on a bounded sample of documents
-(``MAX_DOCS``, those whose ids hash lowest). One half of the sample sets, per kind, the lowest score at which
-nearly all proposals are right; a kind for which there is none adds nothing.
+score a proposal by what it looks like and what stands around it. They learn from the proposals
+of all documents, those that a base span confirms against those that none does. One half of the
+documents grows the trees; the other sets, per kind, the lowest score at which nearly all
+proposals are right; a kind for which there is none adds nothing.
 
-Finding and scoring are built-in functions over arrays inside each row: nothing is shuffled.
+Features are whole numbers, so proposals that look alike are one row with a count. Trees and
+thresholds need only sums over these rows: up to ``LOCAL`` of them are summed on the driver, more
+in tasks, one job per level of a tree. Sums are whole numbers too, and both ways give one judge.
+
+Finding and scoring are built-in functions over arrays inside each row: no text is shuffled.
 Patterns avoid repeated scans of one run of characters, and positions are running sums over
 the pieces between matches, so the work is linear in the text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.registry import documents, query
-from tidelog.llm.trees import Forest, fit
+from tidelog.llm.trees import Forest, grow, level_sums
 from tidelog.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -46,9 +51,14 @@ HINTS = {"email": "@|\\(at\\)|\\[at\\]", "ip": "[0-9]", "card": "[0-9]", "phone"
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
 NEARBY = r"(?i)(?:tel|phone|fax|call|mobile|mail|contact|card|visa|account|iban|addr|host|server|\bip\b)"
 BLOCK = 128
-MAX_DOCS = 20_000
 PRECISION = 0.98
 FEATURES = 14
+#: Values of a feature that are told apart; larger ones count as the largest.
+BINS = 128
+#: Steps between scores 0 and 1 on which a threshold may stand.
+STEPS = 4096
+#: Distinct proposals that the driver sums itself.
+LOCAL = 50_000
 
 
 def running(values: Column, step: Callable[[Column, Column], Column] = lambda a, b: a + b) -> Column:
@@ -200,32 +210,69 @@ class Judge:
     cuts: tuple[float, ...]
 
 
-def fit_judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, max_docs: int = MAX_DOCS, precision: float = PRECISION) -> Judge:
-    """Trees and thresholds from the proposals in ``max_docs`` documents.
+def _arrays(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(features, confirmed, count, rank) of distinct proposals."""
+    x = table.column("x")
+    x = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x).flatten().to_numpy(zero_copy_only=False)
+    confirmed, count, rank = (table.column(c).to_numpy(**({} if isinstance(table, pa.Table) else {"zero_copy_only": False})) for c in ("confirmed", "n", "rank"))
+    return x.reshape(-1, FEATURES).astype(np.int64), confirmed.astype(np.int64), count.astype(np.int64), rank.astype(np.int64)
+
+
+def _summing(rows: DataFrame) -> Callable[[Callable[..., np.ndarray]], np.ndarray]:
+    """How to sum a function of distinct proposals over all of ``rows``: it takes their arrays and gives
+    an array of whole numbers, whose size does not depend on them."""
+    names = ["x", "confirmed", "n", "rank"]
+    if rows.count() <= LOCAL:
+        local = _arrays(rows.select(*names).toArrow())
+        return lambda part: part(*local)
+
+    def spread(part: Callable[..., np.ndarray]) -> np.ndarray:
+        shape = part(*(np.zeros(size, np.int64) for size in ((0, FEATURES), 0, 0, 0))).shape
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(shape, np.int64)
+            for batch in batches:
+                total += part(*_arrays(batch))
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total.ravel()[at], pa.int64())], ["at", "v"])
+
+        out = np.zeros(int(np.prod(shape)), np.int64)
+        # One row per cell of the result.
+        for r in rows.select(*names).mapInArrow(run, "at bigint, v bigint").groupBy("at").agg(F.sum("v").alias("v")).collect():
+            out[r["at"]] = r["v"]
+        return out.reshape(shape)
+
+    return spread
+
+
+def fit_judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, precision: float = PRECISION) -> Judge:
+    """Trees and thresholds from the proposals in all documents.
 
     Proposals that only a scored decision could add are what base spans do not confirm; a
     threshold lets through few enough of those. With no proposals nothing is added."""
-    few = docs.select(F.col(id_col).alias("__id")).where("__id is not null").distinct().orderBy(F.xxhash64("__id"), "__id").limit(max_docs)
-    some = docs.select(F.col(id_col).alias("__id"), F.coalesce(text_col, F.lit("")).alias("__text")).join(F.broadcast(few), "__id")
+    texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(text_col, F.lit("")).alias("__text"))
     # Written first: exploding the expression itself would make the optimiser repeat it per field.
-    found = cut_lineage(proposals(base_spans(some, "__text"), "__text").select("__id", "__proposed"))
-    rows = (
-        found.select("__id", F.explode("__proposed").alias("c"))
-        .select((F.pmod(F.xxhash64("__id", F.lit(1)), F.lit(2))).alias("half"), "c.rank", "c.x", "c.confirmed")
-        .groupBy("half", "rank", "x", "confirmed").count().orderBy("half", "rank", "x", "confirmed").limit(max_docs).collect()
+    found = cut_lineage(proposals(base_spans(texts, "__text"), "__text").select("__id", "__proposed"))
+    alike = F.transform("c.x", lambda v: F.least(v, F.lit(BINS - 1.0)).cast("int")).alias("x")
+    rows = cut_lineage(
+        found.select(F.pmod(F.xxhash64("__id", F.lit(1)), F.lit(2)).alias("half"), F.explode("__proposed").alias("c"))
+        .select("half", "c.rank", alike, "c.confirmed").groupBy("half", "rank", "x", "confirmed").agg(F.count("*").alias("n"))
     )
-    fold = lambda half: [r for r in rows if r["half"] == half for _ in range(min(r["count"], 50))]
-    learn, hold = fold(0), fold(1)
-    table = lambda part: np.array([r["x"] for r in part], np.float64).reshape(len(part), FEATURES)
-    forest = fit(table(learn), np.array([r["confirmed"] for r in learn], np.float64), rounds=30, depth=3)
-    scores, right, kind = forest.score(table(hold)), np.array([r["confirmed"] for r in hold], bool), np.array([r["rank"] for r in hold], int)
+    learn, hold = (_summing(rows.where(F.col("half") == half)) for half in (0, 1))
+    no, yes = learn(lambda x, y, n, rank: np.array([(n * (1 - y)).sum(), (n * y).sum()]))
+    forest = grow(
+        lambda *tree: learn(lambda x, y, n, rank: level_sums(x, y, n, *tree, BINS)), int(no), int(yes), FEATURES, BINS, rounds=30, depth=3
+    )
+
+    def counted(x, y, n, rank) -> np.ndarray:
+        """Proposals by kind and step of the score, and how many of them are right."""
+        at = rank * (STEPS + 1) + np.floor(forest.score(x) * STEPS).astype(np.int64)
+        return np.stack([np.bincount(at, w, len(KINDS) * (STEPS + 1)).astype(np.int64) for w in (n, n * y)])
+
     cuts = []
-    for rank in range(len(KINDS)):
-        order = np.argsort(-scores[kind == rank], kind="stable")
-        value, hits = scores[kind == rank][order], right[kind == rank][order].cumsum()
-        good = hits >= precision * (np.arange(len(hits)) + 2)
-        good &= np.append(value[:-1] != value[1:], True)[: len(good)]
-        cuts.append(float(value[np.flatnonzero(good)[-1]]) if good.any() else float("inf"))
+    for total, right in hold(counted).reshape(2, len(KINDS), STEPS + 1).swapaxes(0, 1):
+        good = (total > 0) & (right[::-1].cumsum()[::-1] >= precision * (total[::-1].cumsum()[::-1] + 1))
+        cuts.append(float(np.flatnonzero(good)[0] / STEPS) if good.any() else float("inf"))
     return Judge(forest, tuple(cuts))
 
 

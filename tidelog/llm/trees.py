@@ -7,10 +7,14 @@ gradients. A fitted forest is three flat arrays in heap order, so scoring a batc
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 
+#: Gradients are summed in whole parts of this, so that no order of summing changes a sum.
+UNIT = 2.0**20
+
 
 @dataclass(frozen=True)
 class Forest:
@@ -100,3 +104,57 @@ def fit(
         threshold.append(t_tree)
         leaf.append(values)
     return Forest(depth, base, np.array(feature), np.array(threshold), np.array(leaf))
+
+
+def level_sums(
+    rows: np.ndarray, labels: np.ndarray, counts: np.ndarray, forest: Forest, feature: np.ndarray, threshold: np.ndarray, level: int, bins: int
+) -> np.ndarray:
+    """Gradients and their weights, in parts of ``UNIT``, of binned rows that occur ``counts`` times: by
+    node, feature and bin of a level of the tree that is being grown, or by leaf below its last one."""
+    p = forest.score(rows)
+    values = (np.rint((labels - p) * UNIT) * counts, np.rint(p * (1 - p) * UNIT) * counts)
+    node = np.zeros(len(rows), np.int64)
+    for depth in range(level):
+        at = 2**depth - 1 + node
+        node = 2 * node + (rows[np.arange(len(rows)), feature[at]] > threshold[at])
+    if level == forest.depth:
+        return np.stack([np.bincount(node, v, 2**level) for v in values]).astype(np.int64)
+    width = rows.shape[1]
+    cell = (node[:, None] * width + np.arange(width)) * bins + rows
+    size = 2**level * width * bins
+    return np.stack([np.bincount(cell.ravel(), np.repeat(v, width), size) for v in values]).astype(np.int64)
+
+
+def grow(
+    sums: Callable[[Forest, np.ndarray, np.ndarray, int], np.ndarray],
+    no: int,
+    yes: int,
+    width: int,
+    bins: int,
+    *,
+    rounds: int,
+    depth: int,
+    rate: float = 0.15,
+    ridge: float = 1.0,
+    least: float = 1.0,
+) -> Forest:
+    """Boosted trees as ``fit`` grows them, from rows that lie elsewhere: features are whole numbers
+    below ``bins``, ``no`` and ``yes`` count the labels, and ``sums`` gives the ``level_sums`` over all rows."""
+    base = float(np.log((yes + 1) / (no + 1)))
+    inner, leaves = 2**depth - 1, 2**depth
+    forest = Forest(depth, base, np.zeros((0, inner), np.int64), np.zeros((0, inner)), np.zeros((0, leaves)))
+    for _ in range(rounds if no and yes else 0):
+        f_tree, t_tree = np.zeros(inner, np.int64), np.full(inner, np.inf)
+        for level in range(depth):
+            g, h = (sums(forest, f_tree, t_tree, level) / UNIT).reshape(2, 2**level, width, bins).cumsum(3)
+            g_all, h_all = g[:, :1, -1:], h[:, :1, -1:]
+            gain = g**2 / (h + ridge) + (g_all - g) ** 2 / (h_all - h + ridge) - g_all**2 / (h_all + ridge)
+            gain[(h < least) | (h_all - h < least)] = -1.0
+            best = gain.reshape(2**level, -1).argmax(1)
+            for k, (f, b) in enumerate(zip(best // bins, best % bins)):
+                if gain[k, f, b] > 1e-9:
+                    f_tree[2**level - 1 + k], t_tree[2**level - 1 + k] = f, b + 0.5
+        g, h = sums(forest, f_tree, t_tree, depth) / UNIT
+        parts = zip((forest.feature, forest.threshold, forest.leaf), (f_tree, t_tree, rate * g / (h + ridge)))
+        forest = Forest(depth, base, *[np.concatenate([done, new[None]]) for done, new in parts])
+    return forest
