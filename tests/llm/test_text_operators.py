@@ -202,6 +202,15 @@ def test_both_libraries_agree(raw):
     assert pieces.loaded(raw)[0].decode_batch(ids, skip_special_tokens=False)[:-1] == texts[:-1]
 
 
+def test_bare_tokenizer_gives_what_the_whole_one_gives(raw):
+    texts = [r[1] or "" for r in rows()] + ["", " ", "  two  spaces \n\t\x00", "é𝔘日本 🙂‍👩", "▁ mark▁", "▁", "x" + " " * 37 + "y ", "<s> <0x0A>"]
+    whole = pieces.loaded(raw)[0]
+    ids = [e.ids for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
+    assert pieces.bare(raw) is not None and whole.pre_tokenizer is None
+    assert pieces.encode_batch(raw, texts, pieces.THREADS)[0] == ids
+    assert pieces.decode_batch(raw, ids) == whole.decode_batch(ids, skip_special_tokens=False)
+
+
 def test_unigram_models_take_scores():
     parts = [("<unk>", 0.0, pieces.UNKNOWN), ("▁", -3.0, 1), ("▁a", -1.0, 1), ("b", -2.0, 1), ("a", -2.5, 1), ("ab", -2.2, 1)]
     tokenizer = pieces.build(pieces.Model(pieces=parts, kind=pieces.UNIGRAM))

@@ -2,7 +2,7 @@
 
 The model's protobuf is read field by field, and normaliser, metaspace marker, scores and byte
 fallback are rebuilt as a tokenizers pipeline: a unigram model takes the scores as they are, a
-BPE model turns them into ranked merges. Batches are encoded on all threads the task may use.
+BPE model turns them into ranked merges and takes a text as a whole.
 
 Every batch is also encoded by the sentencepiece library. The ids are those of the rebuilt
 pipeline; where the library gives others, the row says so.
@@ -27,8 +27,8 @@ MODEL = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers") + "/piece_bpe_32k.mod
 MARK = "▁"
 #: Characters handled at a time, a longer text alone.
 CHARS = 1 << 18
-#: Threads that encode for one task.
-THREADS = 2
+#: Threads that encode for one task: it has one core.
+THREADS = 1
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
 
@@ -149,8 +149,9 @@ def build(model: Model):
     if model.escape:
         steps.append(normalizers.Replace(" ", MARK))
     tokenizer.normalizer = normalizers.Sequence(steps)
-    if not model.mark_after and not any(MARK in p.lstrip(MARK) for p, _, kind in model.pieces if kind in (NORMAL, USER)):
-        # No piece runs across the start of a word, so words can be encoded, and cached, alone.
+    if model.kind != BPE and not model.mark_after and not any(MARK in p.lstrip(MARK) for p, _, kind in model.pieces if kind in (NORMAL, USER)):
+        # No piece runs across the start of a word, so words can be encoded, and cached, alone. Merges
+        # take a whole text in less time than cutting it into words and looking those up.
         tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
     strip = [decoders.Strip(" ", 1, 0)] if model.dummy_prefix else []
     tokenizer.decoder = decoders.Sequence([decoders.ByteFallback(), decoders.Fuse(), decoders.Replace(MARK, " "), *strip])
@@ -161,20 +162,45 @@ def build(model: Model):
 def loaded(raw: bytes, threads: int = THREADS):
     """(tokenizer, sentencepiece processor) of a model, once per Python worker. The thread pool
     is sized before its first use: idle threads of a larger one cost more than they bring."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "true" if threads > 1 else "false")
     os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
     import sentencepiece
 
     return build(parse(raw)), sentencepiece.SentencePieceProcessor(model_proto=raw)
 
 
+@functools.lru_cache(maxsize=2)
+def bare(raw: bytes, threads: int = THREADS):
+    """The model's tokenizer without its steps between spaces and marks, or None where others stand
+    beside them. Replacing in strings takes less time than in texts that keep track of offsets."""
+    from tokenizers import Tokenizer, decoders
+
+    model, whole = parse(raw), loaded(raw, threads)[0]
+    if model.charsmap or model.squeeze or model.mark_after or not model.dummy_prefix or not model.escape:
+        return None
+    tokenizer = Tokenizer(whole.model)
+    if whole.pre_tokenizer is not None:
+        tokenizer.pre_tokenizer = whole.pre_tokenizer
+    tokenizer.decoder = decoders.Sequence([decoders.ByteFallback(), decoders.Fuse()])
+    return tokenizer
+
+
 # ---------------------------------------------------------------- batches
 
 
+def decode_batch(raw: bytes, ids: list[list[int]], threads: int = THREADS) -> list[str]:
+    """The texts that ids stand for."""
+    tokenizer = bare(raw, threads)
+    if tokenizer is None:
+        return loaded(raw, threads)[0].decode_batch(ids, skip_special_tokens=False)
+    return [t.replace(MARK, " ").removeprefix(" ") for t in tokenizer.decode_batch(ids, skip_special_tokens=False)]
+
+
 def encode_batch(raw: bytes, texts: list[str], threads: int) -> tuple[list[list[int]], list[bool]]:
     """(ids, whether the sentencepiece library gives the same ones) of each text."""
-    tokenizer, processor = loaded(raw, threads)
-    ids = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    (tokenizer, processor), plain = loaded(raw, threads), bare(raw, threads)
+    marked = texts if plain is None else [f"{MARK}{t}".replace(" ", MARK) if t else t for t in texts]
+    ids = [e.ids for e in (plain or tokenizer).encode_batch_fast(marked, add_special_tokens=False)]
     return ids, [a == b for a, b in zip(ids, processor.encode(texts, num_threads=threads))]
 
 
@@ -221,7 +247,7 @@ def encode(
                 out = [batch.column(c).slice(first, len(texts)) for c in carry]
                 out += [pa.array([len(i) for i in ids], pa.int64()), pa.array(parity)]
                 if digest:
-                    decoded = loaded(raw, threads)[0].decode_batch(ids, skip_special_tokens=False)
+                    decoded = decode_batch(raw, ids, threads)
                     out.append(pa.array([hashlib.sha256(np.array(i, "<i4").tobytes()).hexdigest() for i in ids]))
                     out.append(pa.array([a == b for a, b in zip(decoded, texts)]))
                 else:
@@ -242,7 +268,7 @@ def decode(tokens: DataFrame, ids_col: str = "ids", text_col: str = "text", *, m
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                texts = loaded(raw)[0].decode_batch([i.as_py() or [] for i in part.column(ids_col)], skip_special_tokens=False)
+                texts = decode_batch(raw, [i.as_py() or [] for i in part.column(ids_col)])
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(texts, pa.string())], [*keep, text_col])
 
     return tokens.mapInArrow(run, ", ".join([f"`{c}` {types[c]}" for c in keep] + [f"`{text_col}` string"]))
