@@ -1,5 +1,13 @@
 """The maintained image: the table's rows at every batch, and only the buckets a batch touches are rewritten."""
 
+import sys
+import threading
+
+import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__  # noqa: F401  loads the queries in their order
 import sequential
 from test_archive import OID, dml, frame, message, table, transactions_of, T0
 from tidelog.sources import commits
@@ -60,3 +68,27 @@ def test_a_truncate_empties_the_image(spark, tmp_path):
     ing.store_batch(frame(spark, tail), 1, root)
     image.advance(spark, root, OID, buckets=4)
     assert table(image.read_image(spark, root, OID)) == {500: {"a": "new", "b": None}}
+
+
+def test_landed_files_follow_the_log_and_split(spark, tmp_path, monkeypatch):
+    job_queries = sys.modules["tidelog.fixtures.job_queries"]
+    monkeypatch.setattr(job_queries, "ROW_GROUP", 1 << 10)
+    log = spark.range(60_000).select(F.lit(1).alias("relation_oid"), F.col("id").alias("pos"), F.sha2(F.col("id").cast("string"), 256).alias("x"))
+    job_queries.land(spark, log.orderBy(F.desc("pos")), str(tmp_path / "in"), 3)
+    files = sorted((tmp_path / "in").glob("*.parquet"), key=lambda f: f.stat().st_mtime_ns)
+    assert len({f.stat().st_mtime_ns // 1_000_000 for f in files}) == 3
+    seen = [pq.read_table(f, columns=["pos"]).column(0).to_pylist() for f in files]
+    assert [(min(s), max(s), len(s)) for s in seen] == [(k * 20_000, k * 20_000 + 19_999, 20_000) for k in range(3)]
+    assert all(pq.ParquetFile(f).num_row_groups > 1 for f in files)
+
+
+def test_tables_of_a_batch_are_brought_forward_side_by_side(spark, monkeypatch):
+    met, done = threading.Barrier(2, timeout=20), []
+    live = spark.createDataFrame([(1, 0), (2, 0), (0, 0), (3, -1)], "relation_oid long, batch_id long")
+    monkeypatch.setattr(image.commits, "live_segments", lambda *_: live)
+    monkeypatch.setattr(image, "advance", lambda spark, root, oid, buckets: (met.wait(), done.append(oid)))
+    image.keep("nowhere")(spark, 0)
+    assert sorted(done) == [1, 2]
+    monkeypatch.setattr(image, "advance", lambda *_: 1 // 0)
+    with pytest.raises(ZeroDivisionError):
+        image.keep("nowhere")(spark, 0)

@@ -23,13 +23,15 @@ from tidelog.operators.scan import RowNumber, ordered_scan
 from tidelog.plans import jobs
 from tidelog.schema import CHANGES
 from tidelog.session import cut_lineage, scratch_dir
-from tidelog.sources import store
+from tidelog.sources import commits, store
 from tidelog.sources.segments import write_segment_files
 from tidelog.streaming import ingest as ing
 from tidelog.streaming import image, live
 
 MESSAGES_PER_SEGMENT = 200
 FILES = 6
+#: Bytes of a row group of a landed file.
+ROW_GROUP = 16 << 20
 
 
 def archive(spark: SparkSession, sf: str) -> str:
@@ -272,12 +274,27 @@ def promote_audit(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def land(spark: SparkSession, log: DataFrame, landing: str, parts: int = FILES) -> None:
-    """The log as landed files, in log order, one file per slice of positions."""
+    """The log as landed files, in log order, one file per slice of positions.
+
+    One job writes all slices, each in a task of its own. Files are taken by their times, so those are
+    set in the order of the slices. Row groups are small, so that many tasks read a file."""
     log = cut_lineage(log)
     top = log.agg(F.max("pos")).first()[0] + 1
-    sliced = log.withColumn("__slice", (F.col("pos") * parts / F.lit(top)).cast("int"))
-    for i in range(parts):
-        sliced.where(F.col("__slice") == i).drop("__slice").coalesce(1).write.mode("append").parquet(landing)
+    sliced = log.withColumn("__slice", (F.col("pos") * parts / F.lit(top)).cast("int")).where(F.col("__slice").between(0, parts - 1))
+    draft = scratch_dir(spark, "slices")
+    sliced.repartitionById(parts, "__slice").withColumn("__part", F.col("__slice")).drop("__slice").write.option(
+        "parquet.block.size", ROW_GROUP).partitionBy("__part").parquet(draft)
+    files, target = commits._hadoop(spark, landing)
+    files.mkdirs(target)
+    path = lambda name: commits._hadoop(spark, name)[1]
+    # One file per slice: metadata.
+    found = [s.getPath() for i in range(parts) if files.exists(path(f"{draft}/__part={i}")) for s in files.listStatus(path(f"{draft}/__part={i}"))]
+    found = [f for f in found if f.getName().endswith(".parquet")]
+    now = int(time.time() * 1000)
+    for at, f in enumerate(found):
+        files.setTimes(f, now + at, -1)
+        if not files.rename(f, path(f"{landing}/{f.getName()}")):
+            raise ValueError(f"{f} did not land")
 
 
 def _ingested(spark: SparkSession, sf: str, **options) -> tuple[str, str]:
