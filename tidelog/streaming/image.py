@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ from tidelog.sources import commits, store
 from tidelog.streaming import ingest as ing
 
 BUCKETS = 64
+#: Tables whose images a batch brings forward side by side.
+TABLES_AT_ONCE = 4
 
 
 def _root(root: str, oid: int) -> str:
@@ -119,7 +122,9 @@ def keep(root: str, buckets: int = BUCKETS, every: int = 1) -> Callable[[SparkSe
         if (batch_id + 1) % every:
             return
         changed = commits.live_segments(spark, root).where(F.col("batch_id") > batch_id - every)
-        for row in changed.where("relation_oid > 0").select("relation_oid").distinct().collect():
-            advance(spark, root, row["relation_oid"], buckets)
+        oids = [row["relation_oid"] for row in changed.where("relation_oid > 0").select("relation_oid").distinct().collect()]
+        # Tables have images and commits of their own, and the jobs of one leave cores to the others.
+        with ThreadPoolExecutor(TABLES_AT_ONCE) as pool:
+            list(pool.map(lambda oid: advance(spark, root, oid, buckets), oids))
 
     return after_store
