@@ -76,3 +76,17 @@ def test_a_hot_key_is_spread_over_blocks(spark):
     assert out.where("n <> pos + 1").isEmpty()
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "__b0" in plan  # window partitions are (key, block)
+
+
+def test_a_table_small_only_in_its_files_is_not_broadcast(spark):
+    """One block per key: the carried values are as many as the rows, a few bytes each in their files."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "400k")
+    try:
+        rows = spark.range(30_000).selectExpr("id div 2 as k", "id as pos")
+        found = ordered_scan(rows, ["k"], ["pos"], [RowNumber("n")], bits=1)
+        assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        assert found.where("n = pos % 2 + 1").count() == 30_000
+        few = ordered_scan(rows.where("k < 50"), ["k"], ["pos"], [RowNumber("n")], bits=1)
+        assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

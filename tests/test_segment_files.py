@@ -146,3 +146,41 @@ def test_small_files_share_a_task():
     packed = datasource._packed([*small, *cut])
     assert [len(p.held) for p in packed] == [256, 256, 88, 1, 1, 1]
     assert [q for p in packed for q in p.held] == [*small, *cut]
+
+
+def test_files_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """The plan of a listing names no files: their number does not reach the driver."""
+    import pyarrow as pa
+
+    from tidelog.sources import files as listing
+
+    root = tmp_path / "in"
+    sizes = {}
+    for oid in (OID, OID + 1, OID + 2):
+        for i in range(40):
+            name = f"{i // 2 + 1:016x}" + (".1" if i % 2 else "")
+            sizes[oid, i // 2 + 1, i % 2] = put(root / f"{oid & 255:02x}" / "40" / "00" / str(oid) / "deltas", name, [b"Ba"] * (1 + i))
+    # A task that saw many entries leaves the other folders to the next round.
+    monkeypatch.setattr(listing, "FOLDER_ENTRIES", 20)
+    deltas = [f"{root}/{n:02x}/40/00/{OID - 1 + n}/deltas" for n in (1, 2, 3)]
+    rows = [r for b in listing._list(iter([pa.RecordBatch.from_arrays([pa.array([deltas[0], str(root)])], ["path"])])) for r in b.to_pylist()]
+    left = {r["path"] for r in rows if r["folder"]}
+    assert len([r for r in rows if not r["folder"]]) == 80 and len(left) == 2 and left < set(deltas)
+    # Left out as before: hidden files and folders, empty files, files that lie elsewhere.
+    put(root / ".draft" / str(OID), f"{9:016x}", [b"B"])
+    put(root / "_old" / str(OID), f"{9:016x}", [b"B"])
+    (root / "01" / "40" / "00" / str(OID) / "deltas" / f".{1:016x}.crc").write_bytes(b"crc")
+    (root / "01" / "40" / "00" / str(OID) / "deltas" / f"{77:016x}").write_bytes(b"")
+    (root / "state").mkdir()
+    (root / "state" / "notes.txt").write_bytes(b"x")
+    found = segments.list_segments(spark, str(root))
+    assert {(r.relation_oid, r.min_lsn, r.postfix): r.length for r in found.collect()} == sizes and found.count() == 120
+    assert len(found.inputFiles()) < 30 and found.rdd.getNumPartitions() == 2
+    # One file, folders by a wildcard, and the path as Spark names it.
+    one = segments.list_segments(spark, str(root / "01" / "40" / "00" / str(OID) / "deltas" / f"{3:016x}.1"))
+    before = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(root)).select("path", "length")
+    assert [(r.path, r.length) for r in one.collect()] == [(r.path, r.length) for r in before.where(f"path like '%/{OID}/deltas/{3:016x}.1'").collect()]
+    assert segments.list_segments(spark, str(root / "0[12]")).count() == 80
+    assert segments.list_segments(spark, str(root / "state")).count() == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        segments.list_segments(spark, str(root / "none"))

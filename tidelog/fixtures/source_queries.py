@@ -51,7 +51,7 @@ FROM {_SEGMENTED} s JOIN (SELECT relation_oid, segment_id, count(*) AS messages,
 )
 def segment_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Segment files written from the log, listed and read again: header and frames."""
-    files = read_headers(list_segments(spark, written_segments(spark, sf)))
+    files = cut_lineage(read_headers(list_segments(spark, written_segments(spark, sf))))  # headers are read once
     numbered = ordered_scan(files, ["relation_oid"], ["min_lsn", "postfix"], [RowNumber("__n")], levels=2)
     numbered = numbered.withColumn("segment_id", F.col("__n") - 1).drop("__n")
     frames = read_frames(numbered.select("relation_oid", "segment_id", "messages", "min_lsn", "max_lsn", "path", "length"))

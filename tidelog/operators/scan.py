@@ -114,6 +114,20 @@ def _carry_in(
     )
 
 
+#: Rows in memory take at least so many times the bytes of their Parquet files.
+_FILE_GROWTH = 10
+
+
+def _unlike_small(carried: DataFrame) -> DataFrame:
+    """``carried`` marked for a merge join unless it is small in memory too.
+
+    Spark takes the bytes of files for the size of a table. Positions shrink to a few bytes a row in
+    them, so a table just below the limit of a broadcast would be many times as large in the driver."""
+    limit = carried.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = int(carried._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return carried.hint("merge") if size * _FILE_GROWTH > limit else carried
+
+
 def ordered_scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -167,7 +181,7 @@ def ordered_scan(
     carried = _carry_in(summary, keys, block, coarse, specs, bits)
     carried = carried.select(*keys, *block, *[F.col(s.name).alias(f"{s.name}__carry") for s in specs])
     if materialise if materialise is not None else _materialise(df.sparkSession):
-        carried = cut_lineage(carried)
+        carried = _unlike_small(cut_lineage(carried))
 
     frame = Window.partitionBy(*keys, *block).orderBy(*full_order)
     upto = frame.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from tidelog.functions.lsn import from_hex, segment_lsn, segment_name, segment_postfix_of, shard_path
 from tidelog.operators.scan import RunningSum, ordered_scan
 from tidelog.operators.segments import segment_postfix
-from tidelog.sources.files import file_system
+from tidelog.sources.files import file_system, list_files
 
 # Byte layout of a segment file.
 HEADER_BYTES = 40
@@ -34,12 +34,12 @@ SEGMENT_NAME = r"^[0-9a-f]{16}(\.\d+)?$"
 
 
 def list_segments(spark: SparkSession, path: str) -> DataFrame:
-    """Segment files below ``path`` by name and size; contents are not read.
+    """Segment files below ``path`` by name and size, listed by tasks; contents are not read.
 
     Segments lie in a directory called ``deltas`` or after the relation's number. A file there
     that is not named like a segment may hold messages, so it is an error; files elsewhere
     (state, snapshots) are no segments."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    files = list_files(spark, path)
     name = F.substring_index(F.col("path"), "/", -1)
     strangers = files.where(~name.rlike(SEGMENT_NAME) & F.col("path").rlike(r"/(deltas|\d+)/[^/]+$")).select("path").take(5)
     if strangers:
