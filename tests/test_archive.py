@@ -13,7 +13,7 @@ from tidelog.fixtures import tables as t
 from tidelog.operators import catalog
 from tidelog.plans import jobs
 from tidelog.schema import CHANGES
-from tidelog.sources import store
+from tidelog.sources import commits, store
 from tidelog.streaming import ingest as ing
 from tidelog.streaming import live
 
@@ -469,3 +469,68 @@ def test_miscounted_copy_lines_fail(spark):
     for line, told in (("1", "without 2 fields"), ("1\tx\ty", "without 2 fields"), ("z\tx", "no bigint in column a")):
         with pytest.raises(Exception, match=told):
             parse_copy_lines(spark.createDataFrame([(line,)], "value string"), columns).collect()
+
+
+def _landed(folder, first, n):
+    folder.mkdir(parents=True, exist_ok=True)
+    for i in range(first, first + n):
+        (folder / f"{i:016x}").write_bytes(struct.pack(">IQQQQI", 0, i, i, 0, 0, 0) + bytes(8))
+    return {f"file:{folder}/{i:016x}" for i in range(first, first + n)}
+
+
+def test_landed_files_are_taken_once_and_not_named_in_the_driver(spark, tmp_path, monkeypatch):
+    from tidelog.streaming import landing
+
+    monkeypatch.setattr(landing, "EVERY", 2)
+    root, cp = str(tmp_path / "in"), str(tmp_path / "cp")
+    want = _landed(tmp_path / "in" / str(OID) / "deltas", 1, 100)
+    first = landing.take(spark, root, cp, 0)
+    assert {r.path for r in first.collect()} == want and first.agg(F.sum("length")).first()[0] == 100 * 48
+    assert len(first.inputFiles()) < 10
+    # A repeated batch takes what it took, whatever has landed since.
+    later = _landed(tmp_path / "in" / str(OID + 1) / "deltas", 1, 3)
+    assert {r.path for r in landing.take(spark, root, cp, 0).collect()} == want
+    assert {r.path for r in landing.take(spark, root, cp, 2).collect()} == later
+    assert landing.take(spark, root, cp, 3) is None
+    for batch in (4, 5, 6):
+        new = _landed(tmp_path / "in" / str(OID) / "deltas", 100 + batch, 1)
+        assert {r.path for r in landing.take(spark, root, cp, batch).collect()} == new
+    assert len(commits.read_commit(spark, cp + "/landed", 5)["taken"]) <= 2
+    assert {r.path for r in landing.take(spark, root, cp, 5).collect()} == {f"file:{tmp_path}/in/{OID}/deltas/{105:016x}"}
+    with pytest.raises(ValueError, match="batch 3"):
+        landing.take(spark, root, cp, 3)
+
+
+def test_binary_ingest_lists_no_files_in_the_driver(spark, tmp_path, monkeypatch):
+    """Batch after batch of what has landed, without Spark's file source; its own checkpoints go on with it."""
+    log = transactions_of(sequential.random_log(7, 30, moves=False))
+    root, deltas = str(tmp_path / "archive"), tmp_path / "landing" / str(OID) / "deltas"
+    deltas.mkdir(parents=True)
+
+    def write(n, part):
+        body = b"".join(struct.pack(">Q", 8 + len(f)) + f for f in map(packed, part))
+        (deltas / f"{n:016x}").write_bytes(struct.pack(">IQQQQI", 0, n, n, 0, 0, len(part)) + body)
+
+    def run(where, cp):
+        ing.ingest(spark, str(tmp_path / "landing"), where, cp, binary=True).awaitTermination()
+
+    half = len(log) // 2
+    write(1, log[:half])
+    seen = []
+    monkeypatch.setattr(ing, "stream_changes", lambda *a, real=ing.stream_changes, **k: seen.append(a) or real(*a, **k))
+    run(root, root + "/cp")
+    write(2, log[half:])
+    run(root, root + "/cp")
+    run(root, root + "/cp")  # nothing new
+    assert not seen
+    assert store.read_changes(spark, root).count() == len(log)
+    assert commits.newest_version(spark, root) == 2
+    # A checkpoint of the file source.
+    old = tmp_path / "old"
+    (old / "cp" / "sources" / "0").mkdir(parents=True)
+    (old / "cp" / "sources" / "0" / "0").write_text("v1")
+    from tidelog.streaming import landing
+
+    assert landing.taken_by_file_source(spark, str(old / "cp")) and not landing.taken_by_file_source(spark, root + "/cp")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        ing.ingest(spark, str(tmp_path / "none"), root, root + "/cp2", binary=True)

@@ -11,6 +11,7 @@ matter when files appear or in which order a store lists them.
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -230,8 +231,40 @@ class SegmentSource(DataSource):
         return SegmentStreamReader(dict(self.options))
 
 
+class LookStreamReader(DataSourceStreamReader):
+    """An offset is the time of a look at the landing directory."""
+
+    def initialOffset(self) -> dict:
+        return {"at": 0}
+
+    def latestOffset(self) -> dict:
+        return {"at": time.time_ns()}
+
+    def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
+        return [InputPartition(end["at"])]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        yield (partition.value,)
+
+
+class LookSource(DataSource):
+    """A stream whose batches say when to look, and hold nothing else. What has landed is then listed by
+    tasks (``streaming.landing``); offsets of files would take all their names through the driver."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "tidelog_looks"
+
+    def schema(self) -> str:
+        return "at bigint"
+
+    def streamReader(self, schema) -> LookStreamReader:
+        return LookStreamReader()
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(SegmentSource)
+    spark.dataSource.register(LookSource)
 
 
 def write_frame_index(spark: SparkSession, root: str, path: str, split_bytes: int = SPLIT_BYTES) -> str:

@@ -84,6 +84,15 @@ def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield batch(held)
 
 
+def named_paths(spark: SparkSession, path: str) -> list[tuple[str, int, bool]]:
+    """(path, length, is it a folder) of what a path names: one file or folder, or those that its wildcards stand for."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(root)
+    if not found:
+        spark.read.format("binaryFile").load(path)  # says that there is no such path
+    return [(s.getPath().toString(), s.getLen(), s.isDirectory()) for s in found]
+
+
 def list_files(spark: SparkSession, path: str, work: str | None = None) -> DataFrame:
     """Files at or below ``path`` (it may have wildcards) by path and length; contents are not read.
 
@@ -91,14 +100,9 @@ def list_files(spark: SparkSession, path: str, work: str | None = None) -> DataF
     left. The driver holds no names, however many files there are. Hidden and empty files are left out,
     as Spark's readers do."""
     work = work or scratch_dir(spark, "listing")
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(root)
-    if not found:
-        spark.read.format("binaryFile").load(path)  # says that there is no such path
     schema = "path string, length bigint, folder boolean"
-    # What the path names is few: one folder, or those that its wildcards stand for.
-    named = [(s.getPath().toString(), s.getLen(), s.isDirectory()) for s in found]
-    level = spark.createDataFrame([n for n in named if n[2] or (n[1] and not _hidden(n[0].rsplit("/", 1)[-1]))], schema)
+    named = [n for n in named_paths(spark, path) if n[2] or (n[1] and not _hidden(n[0].rsplit("/", 1)[-1]))]
+    level = spark.createDataFrame(named, schema)
     rounds, tasks = [level], spark.sparkContext.defaultParallelism
     while not level.where("folder").isEmpty():
         at = f"{work}/round-{len(rounds)}"

@@ -26,8 +26,10 @@ from tidelog.operators.scan import Last, Prev, RowNumber, ordered_scan
 from tidelog.schema import CHANGES, DML_TYPES
 from tidelog.session import cut_lineage
 from tidelog.sources import commits, datasource, store
+from tidelog.sources.files import named_paths
 from tidelog.sources.segments import named_segments, read_frames, with_stream_position
 from tidelog.sources.wire import decode_messages
+from tidelog.streaming import landing as taken
 
 MAX_FILES = 1000
 _CARRY_POS = -1
@@ -61,8 +63,9 @@ def stream_changes(spark: SparkSession, landing: str, binary: bool = False, max_
     """Stream of landed files: decoded changes as Parquet, or binary segments by path and length.
     The contents of segments are read by the tasks that decode them (see ``decode_batch``).
 
-    Files are taken by their times, ``max_files`` at once: by default ``MAX_FILES`` of Parquet, but
-    all binary ones that are there. Many tasks write those, so their times do not follow the log,
+    The names of all files pass through the driver; ``ingest`` takes binary ones this way only with
+    ``max_files``. Files are taken by their times, ``max_files`` at once: by default ``MAX_FILES`` of Parquet,
+    but all binary ones that are there. Many tasks write those, so their times do not follow the log,
     and a cut by times would part a relation's files; inside a batch their names give the order."""
     if max_files is None and not binary:
         max_files = MAX_FILES
@@ -330,22 +333,32 @@ def ingest(
     """Start the ingest of a landing directory. Processes what is there and stops, or with
     ``continuous`` (a processing interval) keeps running.
 
-    Binary files are taken all that are there at once, in log order; ``max_files`` takes so many of
-    them by their times, which then have to follow the log. With ``by_name`` they come from the data
+    Binary files are taken all that are there at once, in log order, and listed by tasks (see
+    ``landing``); ``max_files`` takes so many of them by their times, which then have to follow the log. With ``by_name`` they come from the data
     source, whose offsets follow the names (see ``sources.datasource``)."""
 
+    # A checkpoint that Spark's file source began goes on with it.
+    by_tasks = binary and max_files is None and not by_name and not taken.taken_by_file_source(spark, checkpoint)
+
     def run(batch: DataFrame, batch_id: int) -> None:
         spark, changes, read = batch.sparkSession, batch, None
         if by_name:
             changes = cut_lineage(decode_messages(batch.select("relation_oid", "pos", "raw"), mode))
         elif binary:
-            changes, read = decode_batch(batch, read_state(spark, root, batch_id), mode)
+            files = taken.take(spark, landing, checkpoint, batch_id) if by_tasks else batch
+            if files is None:
+                return  # nothing has landed since
+            changes, read = decode_batch(files, read_state(spark, root, batch_id), mode)
             changes = cut_lineage(changes)  # files are read and decoded once
         store_batch(changes, batch_id, root, messages_per_segment, tables, after_store, whole_log, read)
 
     if by_name:
         datasource.register(spark)
         stream = spark.readStream.format("tidelog_segments").option("mode", mode).load(landing)
+    elif by_tasks:
+        named_paths(spark, landing)  # a landing directory that is not there fails at once
+        datasource.register(spark)
+        stream = spark.readStream.format("tidelog_looks").load()
     else:
         stream = stream_changes(spark, landing, binary, max_files)
     writer = stream.writeStream.foreachBatch(run)
